@@ -94,3 +94,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if total is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root"))
     return total
+
+
+def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for a broadcast if its count proves it to have ``most`` rows or fewer; else left to a shuffle.
+
+    For stored tables of a few numbers or short strings a row, as it counts them first.
+    """
+    return F.broadcast(df) if df.count() <= most else df

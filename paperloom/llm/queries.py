@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_dedup
-from .common import table
+from . import language_id, mixing, secret_scan, simhash_dedup
+from .common import checkpoint, held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +16,32 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("sketch")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    model = language_id.fit_language_model(docs.filter("not held_out"))
+    found = language_id.predict_language(docs, model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "secrets")
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = listed(F.filter("secrets", lambda x: x["kind"].isin("assign", "access", "hex")))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checkpoint(mixing.sized_rows(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_at"))
+    plan = mixing.mix_plan(rows, "doc_id", "source", (5.0, 2.0, 1.0), 3.0)
+    found = mixing.mix_sources(rows, plan)
+    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_language_id": op5_language_id,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_source_mixing": op9_source_mixing,
+}
 ORACLES: dict[str, str] = {}
