@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sized
+from .common import WORD, checkpoint, sized
 
 #: Documents that a bucket of the seeded order holds on average.
 BUCKET_ROWS = 1000
-#: A run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def water_fill(sizes: DataFrame, epochs: float = 3.0) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, secret_scan, simhash_dedup
-from .common import checkpoint, held_out, table
+from . import language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup, toxicity
+from .common import bounded_sample, checkpoint, held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,29 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("sketch")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+#: Lines are numbered by document and place, so numbers order them as the operator does.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS k FROM d),
+w AS (SELECT doc_id, raw, k, doc_id::HUGEINT * 1000000 + k AS id, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS ws FROM l),
+f AS (SELECT ws, min(id) AS id FROM w WHERE len(ws) >= 6 GROUP BY ws),
+g AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS j FROM f),
+gap AS (SELECT id, ws[1:j-1] || [chr(10)] || ws[j+1:] AS holed, ws[1:j-1] || ws[j+1:] AS less FROM g),
+a AS (SELECT id, min(id) OVER (PARTITION BY holed) AS first FROM gap),
+b AS (SELECT greatest(gap.id, f.id) AS id FROM gap JOIN f ON f.ws = gap.less),
+gone AS (SELECT id FROM a WHERE id > first UNION SELECT id FROM b),
+s AS (SELECT w.*, len(w.ws) < 6 OR (f.id IS NOT NULL AND gone.id IS NULL) AS stays FROM w LEFT JOIN f ON f.id = w.id LEFT JOIN gone ON gone.id = w.id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (stays) AS n_kept,
+       md5(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (stays), '')) AS text_md5
+FROM s GROUP BY doc_id
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     model = language_id.fit_language_model(docs.filter("not held_out"))
@@ -31,6 +54,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
+def _with_labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """Documents with their labels. A held-out document gets none. At most 40,000 labelled rows, so they are broadcast."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", column)
+    labels = bounded_sample(labels, ["doc_id"], 40_000, 3)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = toxicity.fit_lexicon(_with_labels(spark, sf_dir, "toxic"))
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), lexicon)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(mixing.sized_rows(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_at"))
     plan = mixing.mix_plan(rows, "doc_id", "source", (5.0, 2.0, 1.0), 3.0)
@@ -38,10 +74,19 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit_quality(_with_labels(spark, sf_dir, "quality"))
+    found = quality.score_quality(table(spark, sf_dir, "documents"), model, tail_from=1.0)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality.expected").alias("expected_grade"), F.col("quality.tail").alias("tail_probability"), (F.col("quality.tail") >= 0.5).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_source_mixing": op9_source_mixing,
+    "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}

@@ -24,7 +24,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_BYTES = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+HEX_BYTES = (re.compile(r"[0-9a-f]{48,}"), re.compile(r"[0-9A-F]{48,}"))
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "pem", "signed", "ssh", "der")
 
@@ -106,9 +106,10 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             found.append(("ssh", m.start(), m.end()))
         elif is_der_key(data):
             found.append(("der", m.start(), m.end()))
-    for m in HEX_BYTES.finditer(text):
-        if is_der_key(bytes.fromhex(m[0])):
-            found.append(("der", m.start(), m.end()))
+    for pattern in HEX_BYTES:
+        for m in pattern.finditer(text):
+            if is_der_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
+                found.append(("der", m.start(), m.end()))
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
