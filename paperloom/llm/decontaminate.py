@@ -59,7 +59,7 @@ def find_leaks(
     items = checkpoint(items.select("item_id", "n", "ih", fingerprint(F.col("ih")).alias("ifp")).withColumn("no", F.monotonically_increasing_id()))
     short = [r["n"] for r in items.filter(F.col("n") < size).select("n").distinct().collect()]
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("doc"), words(lower_ascii(F.col(text_col))).alias("w"))
-    rows = rows.filter(F.size("w") > 0).withColumn("total", F.size("w"))
+    rows = rows.withColumn("total", F.size("w"))
     places = items.select("no", "n", F.size("ih").alias("m"), F.posexplode("ih").alias("ik", "h"))
     windows = None
     for length in [*short, size]:
@@ -81,7 +81,8 @@ def _windows(rows: DataFrame, places: DataFrame, length: int, threshold: float)
 
     A window that is similar enough shares ``threshold`` of the item's shingles at least; other pairs are left out here.
     """
-    hits = rows.select("doc", "total", "dh", F.posexplode("dh").alias("dk", "h")).join(places, "h")
+    # The outer form, as the plain one repeats the shingling in a filter.
+    hits = rows.select("doc", "total", "dh", F.posexplode_outer("dh").alias("dk", "h")).join(places, "h")
     start = F.greatest(F.least(F.col("dk") - F.col("ik"), F.col("total") - F.col("n")), F.lit(0))
     hits = hits.select("doc", "no", "n", "m", start.alias("start"), F.slice("dh", start + 1, F.greatest(F.col("n") - length + 1, F.lit(1))).alias("wh"))
     laid = hits.groupBy("doc", "no", "n", "m", "start").agg(F.count("*").alias("shared"), F.first("wh").alias("wh"))

@@ -93,11 +93,11 @@ def fit_language_model(
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample = bounded_sample(labelled, [*key, text_col], max_docs, seed)
     letters = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), F.lit(1))
-    counts = sample.select(F.col(lang_col).alias("lang"), F.explode(letters).alias("word")).groupBy("lang", "word").count()
+    counts = sample.select(F.col(lang_col).alias("lang"), F.explode_outer(letters).alias("word")).filter("word is not null").groupBy("lang", "word").count()
     counts = checkpoint(counts)
     padded = F.concat(F.lit(" "), F.substring("word", 1, 64), F.lit(" "))
     cut = [F.expr(f"transform(sequence(1, greatest(length(p) - {n - 1}, 1)), i -> substring(p, i, {n}))") for n in GRAMS]
-    grams = counts.select("lang", "count", padded.alias("p")).select("lang", "count", F.explode(F.concat(*cut)).alias("gram"))
+    grams = counts.select("lang", "count", padded.alias("p")).select("lang", "count", F.explode_outer(F.concat(*cut)).alias("gram"))
     grams = grams.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     top = lambda df, name, most: df.orderBy(F.desc("count"), name, "lang").limit(most).toPandas()
     w, g = top(counts.filter("count > 1"), "word", max_words), top(grams.filter("count > 1"), "gram", max_grams)

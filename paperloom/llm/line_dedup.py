@@ -19,9 +19,10 @@ def _key(id_col: str, text_col: str) -> Column:
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc, line, words, w) of every line that has ``min_words`` words or more."""
-    rows = docs.select("doc", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "raw"))
-    rows = rows.select("doc", "line", words(F.col("raw")).alias("words"))
-    return rows.withColumn("w", F.size("words")).filter(F.col("w") >= min_words)
+    # The outer form, as the plain one splits the text once more in a filter.
+    rows = docs.select("doc", F.posexplode_outer(F.split(F.col("text"), "\n")).alias("line", "raw"))
+    rows = rows.filter(F.regexp_count("raw", F.lit(WORD)) >= min_words)
+    return rows.select("doc", "line", words(F.col("raw")).alias("words")).withColumn("w", F.size("words"))
 
 
 def _halves() -> Column:

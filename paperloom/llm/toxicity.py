@@ -125,7 +125,7 @@ def fit_lexicon(
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     terms = F.pandas_udf(lambda texts: pd.Series([terms_of(x) for x in texts]), "array<string>")
-    counts = sample.select("y", F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    counts = sample.select("y", F.explode_outer(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     kept = counts.filter((F.col("bad") >= min_docs) & (F.col("bad") >= precision * (F.col("bad") + F.col("good"))))
     weights: dict[str, float] = {}
     for r in kept.orderBy(F.desc("bad"), F.length("term"), "term").limit(max_terms).toPandas().itertuples():
@@ -156,8 +156,8 @@ def _exceptions(sample: DataFrame, text_col: str, weights: dict[str, float], min
                 out.append(sorted({f"{found[k]} {found[k + 1]}" for k in range(len(found) - 1) if hit[k] or hit[k + 1]}))
             yield pd.Series(out)
 
-    counts = sample.select("y", F.explode(pairs(F.col(text_col))).alias("pair")).groupBy("pair").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    kept = counts.filter((F.col("good") >= min_docs) & (F.col("bad") * 4 < F.col("good")))
+    counts = sample.select("y", F.explode_outer(pairs(F.col(text_col))).alias("pair")).groupBy("pair").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    kept = counts.filter("pair is not null").filter((F.col("good") >= min_docs) & (F.col("bad") * 4 < F.col("good")))
     return [r["pair"] for r in kept.orderBy(F.desc("good"), "pair").limit(1000).collect()]
 
 
