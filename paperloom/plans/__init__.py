@@ -1,0 +1,4 @@
+"""The registered queries of the document-corpus operators and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
