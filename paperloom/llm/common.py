@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 #: A word is a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null, empty or blank text."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD_EDGES, "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda x: x != "")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -38,23 +38,15 @@ class Scorer:
         self.row = {w: k for k, w in enumerate(words)}
         self.gram = {g: k for k, g in enumerate(grams)}
         self.logs = np.vstack([word_logs, np.zeros((1, len(langs)))])
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def of_unseen(self, word: str) -> np.ndarray:
-        """The mean log frequencies of the word's longest known n-grams; zeros if none is known."""
-        known = self.unseen.get(word)
-        if known is None:
-            padded = f" {word[:64]} "
-            known = np.zeros(len(self.langs))
-            for n in GRAMS:
-                rows = [k for i in range(len(padded) - n + 1) if (k := self.gram.get(padded[i : i + n])) is not None]
-                if rows:
-                    known = self.gram_logs[rows].mean(axis=0)
-                    break
-            if len(self.unseen) > 100_000:
-                self.unseen.clear()
-            self.unseen[word] = known
-        return known
+
+    def grams_of(self, word: str) -> list[int]:
+        """The word's longest known n-grams; none, if not even a letter is known."""
+        padded = f" {word[:64]} "
+        for n in GRAMS:
+            rows = [k for i in range(len(padded) - n + 1) if (k := self.gram.get(padded[i : i + n])) is not None]
+            if rows:
+                return rows
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the posterior; ("und", 0.0) for a text without letters."""
@@ -64,10 +56,13 @@ class Scorer:
         rows = np.fromiter((self.row.get(w, -1) for w in found), np.int64, len(found))
         times = np.fromiter(found.values(), np.float64, len(found))
         total = times @ self.logs[rows]
-        if (rows < 0).any():
-            for word, n in found.items():
-                if word not in self.row:
-                    total = total + n * self.of_unseen(word)
+        grams, shares = [], []
+        for word, n in found.items():
+            if word not in self.row and (of := self.grams_of(word)):  # a word counts once, by the mean of its n-grams
+                grams += of
+                shares += [n / len(of)] * len(of)
+        if grams:
+            total = total + np.array(shares) @ self.gram_logs[grams]
         # Words aren't independent; the evidence of a long text is damped.
         p = np.exp((total - total.max()) / max(1.0, times.sum() / 20))
         p /= p.sum()
@@ -81,7 +76,7 @@ def fit_language_model(
     lang_col: str = "lang",
     key: tuple[str, ...] = ("doc_id",),
     max_docs: int = 12_000,
-    max_words: int = 40_000,
+    max_words: int = 120_000,
     max_grams: int = 60_000,
     seed: int = 5,
 ) -> LanguageModel:

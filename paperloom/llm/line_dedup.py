@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, sized, words
+from .common import WHITE, WORD, checkpoint, sized, words
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -18,11 +18,21 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, line, words, w) of every line that has ``min_words`` words or more."""
+    """(doc, line, raw) of every line that has ``min_words`` words or more."""
     # The outer form, as the plain one splits the text once more in a filter.
     rows = docs.select("doc", F.posexplode_outer(F.split(F.col("text"), "\n")).alias("line", "raw"))
-    rows = rows.filter(F.regexp_count("raw", F.lit(WORD)) >= min_words)
-    return rows.select("doc", "line", words(F.col("raw")).alias("words")).withColumn("w", F.size("words"))
+    return rows.filter(_long(F.col("raw"), min_words))
+
+
+def _long(line: Column, min_words: int) -> Column:
+    """Whether a line has so many words; the match ends with the last word that is needed."""
+    if min_words < 1:
+        return line.isNotNull()
+    return line.rlike(rf"(?:{WORD}{WHITE}){{{min_words - 1}}}[^\x20\x09-\x0D]")
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("words", words(F.col("raw"))).withColumn("w", F.size("words"))
 
 
 def _halves() -> Column:
@@ -89,7 +99,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col), F.col(text_col)).select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     lines = _lines(keyed, min_words)
     place = F.struct("doc", "line").alias("id")
-    seen = lines.select(F.xxhash64(F.lit(5), "words").alias("h"), F.xxhash64(F.lit(6), "words").alias("g"), place, _halves().alias("halves"))
+    seen = _worded(lines).select(F.xxhash64(F.lit(5), "words").alias("h"), F.xxhash64(F.lit(6), "words").alias("g"), place, _halves().alias("halves"))
     firsts = checkpoint(seen.groupBy("h", "g").agg(F.min(F.struct("id", "halves")).alias("x")).select("h", "g", "x.id", "x.halves"))
     halves = firsts.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
@@ -97,14 +107,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = checkpoint(firsts.join(chosen, "h").select("id.doc", "id.line"))
     told = sized(chosen.withColumnsRenamed({"doc": "d", "line": "l"}), 300_000)
     near = lines.join(told, (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")))
-    near = near.select(place, "words", "w").dropDuplicates(["id"])
+    near = _worded(near.select(place, "raw").dropDuplicates(["id"])).drop("raw")
     later = near_pairs(near).select(F.col("later").alias("id")).distinct()
     kept = firsts.select("id").join(checkpoint(later), "id", "left_anti")
     kept = checkpoint(kept.groupBy("id.doc").agg(F.collect_list("id.line").alias("_at")))
     rows = docs.withColumn("_doc", _key(id_col, text_col))
     rows = rows.join(kept.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")
     rows = rows.withColumn("_split", F.split(F.col(text_col), "\n"))
-    stays = lambda x, k: (F.regexp_count(x, F.lit(WORD)) < min_words) | F.coalesce(F.array_contains("_at", k), F.lit(False))
+    stays = lambda x, k: ~_long(x, min_words) | F.coalesce(F.array_contains("_at", k), F.lit(False))
     rows = rows.withColumn("_stay", F.filter("_split", stays))
     rows = rows.withColumn("_lines", F.coalesce(F.array_size("_split"), F.lit(0))).withColumn("_kept", F.coalesce(F.array_size("_stay"), F.lit(0)))
     return rows.withColumn(text_col, F.array_join("_stay", "\n")).drop("_doc", "_of", "_at", "_split", "_stay")

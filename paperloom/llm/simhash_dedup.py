@@ -107,23 +107,24 @@ def simhash_near_dups(
 
 
 def _links(node: DataFrame, bits: int, tables: int, longs: int, distance: int) -> DataFrame:
-    """Links (a, b) between nodes, by way of leaders."""
+    """Links (a, b) between nodes, by way of leaders. Rows that move hold a key and a node; sketches join the few pairs that meet."""
+    beside = None
     if tables == 1:
-        leader = node.select(F.lit(0).alias("t"), F.col("sketch")[0].alias("fp"), F.struct("node", "sketch").alias("lead"))
-        beside = None
+        leader = node.select(F.lit(0).cast("long").alias("t"), F.col("sketch")[0].alias("fp"), "node")
     else:
         cut = [F.expr(f"sketch[{t * bits // 64}]" if bits == 64 else f"shiftrightunsigned(sketch[{t * bits // 64}], {t * bits % 64}) & {2**bits - 1}L") for t in range(tables)]
-        rows = node.select("node", "sketch", F.posexplode(F.array(*cut)).alias("t", "fp"))
-        leader = checkpoint(rows.groupBy("t", "fp").agg(F.min(F.struct("node", "sketch")).alias("lead"), F.count("*").alias("n")))
-        beside = rows.join(leader.filter("n > 1").select("t", "fp", "lead"), ["t", "fp"])
-        beside = beside.withColumn("other", F.col("lead.sketch")).filter(_distance("sketch", "other", longs) <= distance).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        rows = node.select("node", F.posexplode(F.array(*cut)).alias("t", "fp")).withColumn("t", F.col("t").cast("long"))
+        leader = checkpoint(rows.groupBy("t", "fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
+        beside = rows.join(leader.filter("n > 1").select("t", "fp", "lead"), ["t", "fp"]).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        leader = leader.select("t", "fp", F.col("lead").alias("node"))
     masks = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(bits)]])
-    ball = leader.select("t", "lead", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    first = Window.partitionBy("t", "value").orderBy("lead.node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = ball.withColumn("first", F.first("lead").over(first)).filter("first.node <> lead.node")
-    met = met.select(F.col("first.node").alias("a"), F.col("lead.node").alias("b"), F.col("first.sketch").alias("x"), F.col("lead.sketch").alias("y"))
-    met = met.filter(_distance("x", "y", longs) <= distance).select("a", "b")
-    return met if beside is None else met.union(beside)
+    ball = leader.select("t", "node", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    ball = ball.select(F.expr(f"shiftleft(t, {bits}) | value" if bits == 32 else "value").alias("value"), "node") if tables > 1 else ball.select("value", "node")
+    first = Window.partitionBy("value").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = ball.withColumn("a", F.first("node").over(first)).filter("a <> node").select("a", F.col("node").alias("b"))
+    met = checkpoint((met if beside is None else met.union(beside)).filter("a <> b").distinct())
+    met = met.join(node.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(node.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    return met.filter(_distance("x", "y", longs) <= distance).select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
