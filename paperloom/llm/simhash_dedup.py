@@ -77,7 +77,7 @@ def simhash_near_dups(
     text_col: str = "text",
     size: int = 5,
     bits: int = 32,
-    tables: int = 12,
+    tables: int = 10,
     similarity: float = 0.8,
     distance: int | None = None,
 ) -> DataFrame:
@@ -86,18 +86,19 @@ def simhash_near_dups(
     ``tables`` fingerprints of ``bits`` bits (32 or 64) are cut from a sketch of as many bits in all. Rows whose
     fingerprints differ by two bits or fewer in any table meet, and are linked if their whole sketches differ by
     ``distance`` bits at most; left out, it is the distance expected at ``similarity`` (weighted Jaccard of the
-    shingles). With one table of 64 bits and distance 2, the links are exactly the pairs within two bits.
+    shingles) and one standard deviation more. With one table of 64 bits and distance 2, the links are exactly the pairs within two bits.
 
     Null and empty texts have a sketch of zeros and so form one group. Repeated rows stay repeated. Rows with a
     null id get the group's smallest id, or null if no row of the group has one. Further columns are ignored.
     """
     longs = bits * tables // 64
     if distance is None:
-        distance = round(64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+        unlike = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        distance = round(64 * longs * unlike + math.sqrt(64 * longs * unlike * (1 - unlike)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = checkpoint(rows.select("id", sketch(F.col("text"), size, longs).alias("sketch")))
     same = rows.groupBy("sketch").agg(F.min("id").alias("id"))
-    node = checkpoint(same.withColumn("node", F.xxhash64("sketch") if longs > 1 else F.col("sketch")[0]))
+    node = checkpoint(same.withColumn("node", F.monotonically_increasing_id()))  # small numbers, stored once
     links = _links(node.select("node", "sketch"), bits, tables, longs, distance)
     roots = connected_components(links)
     ids = node.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
