@@ -1,4 +1,6 @@
 """The registered queries of the document-corpus operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import history
+
+QUERIES = dict(history.QUERIES)
+ORACLES = dict(history.ORACLES)
