@@ -1,6 +1,6 @@
 """The registered queries of the document-corpus operators and their SQL."""
 
-from . import history
+from . import history, pages
 
-QUERIES = dict(history.QUERIES)
-ORACLES = dict(history.ORACLES)
+QUERIES = pages.QUERIES | history.QUERIES
+ORACLES = pages.ORACLES | history.ORACLES
