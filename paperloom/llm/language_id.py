@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,30 +38,39 @@ class Scorer:
         self.langs, self.gram_logs = langs, gram_logs
         self.row = {w: k for k, w in enumerate(words)}
         self.gram = {g: k for k, g in enumerate(grams)}
+        self.unseen: dict[str, list[int]] = {}
         self.logs = np.vstack([word_logs, np.zeros((1, len(langs)))])
 
     def grams_of(self, word: str) -> list[int]:
         """The word's longest known n-grams; none, if not even a letter is known."""
-        padded = f" {word[:64]} "
-        for n in GRAMS:
-            rows = [k for i in range(len(padded) - n + 1) if (k := self.gram.get(padded[i : i + n])) is not None]
-            if rows:
-                return rows
-        return []
+        rows = self.unseen.get(word)
+        if rows is None:
+            padded, rows = f" {word[:64]} ", []
+            for n in GRAMS:
+                rows = [k for k in map(self.gram.get, [padded[i : i + n] for i in range(len(padded) - n + 1)]) if k is not None]
+                if rows:
+                    break
+            if len(self.unseen) > 100_000:
+                self.unseen.clear()
+            self.unseen[word] = rows
+        return rows
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the posterior; ("und", 0.0) for a text without letters."""
         found = Counter(LETTERS.findall((text or "").lower()))
         if not found or not self.langs:
             return "und", 0.0
-        rows = np.fromiter((self.row.get(w, -1) for w in found), np.int64, len(found))
+        rows = np.fromiter(map(self.row.get, found, repeat(-1)), np.int64, len(found))
         times = np.fromiter(found.values(), np.float64, len(found))
         total = times @ self.logs[rows]
         grams, shares = [], []
-        for word, n in found.items():
-            if word not in self.row and (of := self.grams_of(word)):  # a word counts once, by the mean of its n-grams
-                grams += of
-                shares += [n / len(of)] * len(of)
+        unseen = np.flatnonzero(rows < 0)
+        if len(unseen):
+            distinct = list(found)
+            for k in unseen.tolist():  # a word counts once, by the mean of its n-grams
+                if of := self.grams_of(distinct[k]):
+                    grams += of
+                    shares += [times[k] / len(of)] * len(of)
         if grams:
             total = total + np.array(shares) @ self.gram_logs[grams]
         # Words aren't independent; the evidence of a long text is damped.
