@@ -63,8 +63,8 @@ def bounded_sample(df: DataFrame, key: list[str], most: int, seed: int) -> DataF
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that a link joins to another; root is the component's smallest node.
 
-    Each round hooks every node to its smallest neighbour, halves the chains this makes, and rewrites the links
-    between the new roots, so the graph shrinks at least by half. Minima are taken by partial aggregation, and
+    Each round hooks every node to its smallest neighbour, follows the chains this makes to their roots, and rewrites the
+    links between those roots, so the graph shrinks at least by half. Minima are taken by partial aggregation, and
     the joins are plain equi-joins of stored tables, whose hot keys Spark splits.
     Null ends and links of a node to itself are ignored; without links the result is empty.
     """
@@ -75,10 +75,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
         parent = checkpoint(parent)
-        for _ in range(2):
+        while True:  # every chain of parents is halved until all nodes know their root
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            parent = parent.join(up, "root").select("node", F.col("above").alias("root"))
-        parent = checkpoint(parent)
+            higher = checkpoint(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+            parent = higher.select("node", "root")
+            if higher.filter("moved").isEmpty():
+                break
         if total is None:
             total = parent
         else:
