@@ -92,3 +92,117 @@ def summary_section(content: Column) -> Column:
     section = F.regexp_extract(body(content), r"(?ms)^## Summary[ \t]*\n(.*?)(?=^## |\z)", 1)
     lines = F.filter(F.transform(F.split(section, "\n"), trim), lambda x: (x != "") & ~F.startswith(x, F.lit("- ")))
     return F.array_join(F.slice(lines, 1, 3), " ")
+
+
+def ancestors(path: Column) -> Column:
+    """The folders above a path, the root (an empty string) first."""
+    parts = F.split(directory(path), "/")
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.concat(F.array(F.lit("")), F.filter(below, lambda d: d != ""))
+
+
+def demote_headings(text: Column, by: int = 2) -> Column:
+    """Every heading ``by`` levels lower, but no lower than six."""
+    marks = lambda line: F.regexp_extract(line, r"\A(#{1,6})(?=\s+.)", 1)
+    lower = lambda line: F.repeat(F.lit("#"), F.least(F.length(marks(line)) + by, F.lit(6)))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.when(marks(x) != "", F.concat(lower(x), F.regexp_replace(x, r"\A#{1,6}", ""))).otherwise(x))
+    return trim(F.array_join(lines, "\n"))
+
+
+def strip_leading_title(text: Column) -> Column:
+    """The text without a first line that is a level-one heading."""
+    return trim(F.regexp_replace(trim(F.replace(text, F.lit("\r\n"), F.lit("\n"))), r"\A#\s+[^\n]*", ""))
+
+
+def encode_target(path: Column) -> Column:
+    """Per cent sign, brackets and blanks of a link target, percent-encoded."""
+    for sign, code in (("%", "%25"), ("(", "%28"), (")", "%29"), (" ", "%20")):
+        path = F.replace(path, F.lit(sign), F.lit(code))
+    return path
+
+
+def content_lines(text: Column) -> Column:
+    """The trimmed lines of a text that are not blank."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trim), lambda x: x != "")
+
+
+def bullets(section: Column) -> Column:
+    """The list items of a section, without their hyphen."""
+    return F.transform(F.filter(content_lines(section), lambda x: F.startswith(x, F.lit("- "))), lambda x: trim(F.substring(x, 3, 2**31 - 1)))
+
+
+def sanitize_description(text: Column, most: int = 240) -> Column:
+    """P20: the first line that is not blank, without list marks and quotes around it; empty if there is none."""
+    first = F.coalesce(F.try_element_at(content_lines(text), F.lit(1)), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(first, r"\A[>#\-*\s]+", ""), "\\A[\"'`]+|[\"'`]+\\z", "")
+    return F.substring(trim(F.regexp_replace(bare, r"\s+", " ")), 1, most)
+
+
+def sanitize_tokens(text: Column, most: int, chars: int) -> Column:
+    """Up to ``most`` tokens between commas and line ends, cleaned; regardless of case the first spelling stays."""
+    clean = lambda x: F.substring(trim(F.regexp_replace(trim(F.regexp_replace(F.regexp_replace(x, r"[\[\]\r]+", " "), r"\s+", " ")), "\\A[\"'`]+|[\"'`]+\\z", "")), 1, chars)
+    tokens = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\n,]"), clean), lambda x: x != "")
+    lower = F.transform(tokens, F.lower)
+    return F.slice(F.filter(tokens, lambda x, k: F.array_position(lower, F.lower(x)) == k + 1), 1, most)
+
+
+def parse_pointer(content: Column) -> Column:
+    """Struct (oid, size) of a large-file pointer of three exact lines and 1,024 bytes at most; else null."""
+    form = r"\Aversion https://git-lfs\.github\.com/spec/v1\noid sha256:([0-9a-f]{64})\nsize (0|[1-9][0-9]{0,15})\n\z"
+    size = F.regexp_extract(content, form, 2).try_cast("long")
+    fits = (F.octet_length(content) <= 1024) & content.rlike(form) & (size < 2**53)
+    return F.when(fits, F.struct(F.regexp_extract(content, form, 1).alias("oid"), size.alias("size")))
+
+
+def render_pointer(oid: Column, size: Column) -> Column:
+    """P27, the other way round."""
+    return F.concat(F.lit("version https://git-lfs.github.com/spec/v1\noid sha256:"), oid, F.lit("\nsize "), size.cast("string"), F.lit("\n"))
+
+
+def ledger_line(at: Column, fields: dict[str, Column]) -> Column:
+    """A dated ledger line; fields without a value are left out."""
+    parts = [F.when(trim(v.cast("string")) != "", F.concat(F.lit(f"{k}="), trim(v.cast("string")))) for k, v in fields.items()]
+    return F.concat(F.lit("- "), at.cast("string"), F.lit(" | "), F.concat_ws(" | ", *parts))
+
+
+def parse_ledger_line(line: Column) -> Column:
+    """Struct (at, fields) of a ledger line; null for other lines."""
+    parts = F.split(F.regexp_replace(line, r"\A- ", ""), r" \| ")
+    pairs = F.filter(F.slice(parts, 2, 10_000), lambda x: F.contains(x, F.lit("=")))
+    split = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, r"\A[^=]*=", "").alias("v")))
+    last = F.filter(split, lambda x, k: ~F.array_contains(F.transform(F.slice(split, k + 2, F.size(split)), lambda y: y["k"]), x["k"]))
+    return F.when(F.startswith(line, F.lit("- ")), F.struct(parts[0].alias("at"), F.map_from_entries(last).alias("fields")))
+
+
+def is_placeholder(text: Column) -> Column:
+    """nothing but a remark in round brackets."""
+    return trim(text).rlike(r"(?s)\A\(.*\)\z")
+
+
+def is_date(text: Column) -> Column:
+    """a day that the calendar has, as yyyy-mm-dd; false for null."""
+    day = trim(text)
+    return F.coalesce(day.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def is_integer(text: Column, least: int | None = None, exact: int | None = None) -> Column:
+    """a whole number, not below ``least`` and equal to ``exact`` where given; false for null."""
+    n = trim(text).try_cast("decimal(38, 6)")
+    good = n == F.floor(n)
+    if least is not None:
+        good &= n >= least
+    return F.coalesce(good if exact is None else good & (n == exact), F.lit(False))
+
+
+def source_type(source: Column, is_file: Column) -> Column:
+    """url, else file where ``is_file`` (a join with the known paths) is true, else text."""
+    return F.when(trim(source).rlike(r"(?i)\Ahttps?://"), "url").when(is_file, "file").otherwise("text")
+
+
+def short_error(text: Column, most: int = 400) -> Column:
+    """The first line and the last one that names an error, if it is another."""
+    lines = content_lines(text)
+    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    named = F.filter(lines, lambda x: x.rlike(r"(?i)error|fail|denied|refus|not supported|timed out"))
+    last = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(""))
+    return F.substring(F.when((last != "") & (last != first), F.concat(first, F.lit(" … "), last)).otherwise(first), 1, most)

@@ -1,6 +1,6 @@
 """The registered queries of the document-corpus operators and their SQL."""
 
-from . import history, pages
+from . import changes, history, pages, streams
 
-QUERIES = pages.QUERIES | history.QUERIES
-ORACLES = pages.ORACLES | history.ORACLES
+QUERIES = pages.QUERIES | history.QUERIES | changes.QUERIES | streams.QUERIES
+ORACLES = pages.ORACLES | history.ORACLES | changes.ORACLES | streams.ORACLES

@@ -55,3 +55,32 @@ def test_union_merge_keeps_repeats(spark):
     ours = spark.createDataFrame([("x", 1, "l"), ("x", 2, "l"), ("x", 3, "m")], line)
     got = S.union_merge(base, ours, base).select("n", "line", "part").collect()
     assert sorted(map(tuple, got)) == [(1, "l", 0), (2, "l", 0), (3, "m", 1)]
+
+
+def test_text_of_notes(spark):
+    rows = spark.createDataFrame([("# A\r\n## B c\n#no\n##### D",), ("",), (None,)], "x string")
+    got = [tuple(r) for r in rows.select(X.demote_headings(F.col("x")), X.strip_leading_title(F.col("x")), X.sanitize_description(F.col("x")), X.short_error(F.col("x"))).collect()]
+    assert got == [("### A\n#### B c\n#no\n###### D", "## B c\n#no\n##### D", "A", "# A"), ("", "", "", ""), (None, None, "", "")]
+    tokens = spark.createDataFrame([("'Ab', ab\n[x y],, \"\" ,c,d",), (None,)], "x string").select(X.sanitize_tokens(F.col("x"), 3, 40)).collect()
+    assert [r[0] for r in tokens] == [["Ab", "x y", "c"], []]
+
+
+def test_dates_numbers_and_remarks(spark):
+    rows = spark.createDataFrame([("2024-02-29",), ("2023-02-29",), (" 7 ",), ("7.5",), ("(none yet)",), (None,)], "x string")
+    x = F.col("x")
+    assert [r[0] for r in rows.select(X.is_date(x)).collect()] == [True, False, False, False, False, False]
+    assert [r[0] for r in rows.select(X.is_integer(x, 7)).collect()] == [False, False, True, False, False, False]
+    assert [r[0] for r in rows.select(X.is_placeholder(x)).collect()] == [False, False, False, False, True, None]
+
+
+def test_ledger_lines_there_and_back(spark):
+    line = X.ledger_line(F.lit("2024-01-01"), {"a": F.lit(" 1 "), "b": F.lit(""), "c": F.lit(None), "d": F.lit("x=y")})
+    row = spark.range(1).select(line.alias("l")).select("l", X.parse_ledger_line(F.col("l")).alias("p"), X.parse_ledger_line(F.lit("- t | a=1 | a=2")).alias("twice"), X.parse_ledger_line(F.lit("t")).alias("none")).first()
+    assert row.l == "- 2024-01-01 | a=1 | d=x=y"
+    assert (row.p["at"], row.p["fields"]) == ("2024-01-01", {"a": "1", "d": "x=y"})
+    assert row.twice["fields"] == {"a": "2"} and row.none is None
+
+
+def test_ancestors_and_bullets(spark):
+    row = spark.range(1).select(X.ancestors(F.lit("a/b/c.md")), X.ancestors(F.lit("c.md")), X.bullets(F.lit("- x\ny\n - z"))).first()
+    assert tuple(row) == (["", "a", "a/b"], [""], ["x", "z"])
