@@ -77,7 +77,7 @@ def simhash_near_dups(
     text_col: str = "text",
     size: int = 5,
     bits: int = 32,
-    tables: int = 10,
+    tables: int = 12,
     similarity: float = 0.8,
     distance: int | None = None,
 ) -> DataFrame:
