@@ -1,15 +1,14 @@
-"""SimHash near-deduplication by meet-in-the-middle ball hashing.
+"""Near-deduplication: groups of near SimHash fingerprints, and near copies by their exact similarity.
 
-A sketch holds one or more fingerprints. Two fingerprints within ``2 * r`` bits share at least one value within
-``r`` bits of both; so every fingerprint emits the values within one bit of it, and those within two bits of
-each other meet on a common value. A group of equal fingerprints sends one leader, so a value gathers at most
-``bits + 1`` rows, whatever the number of copies. Meeting sketches are verified by their whole distance.
+Two fingerprints of 64 bits within two bits share at least one value within one bit of both; so every fingerprint emits
+the values within one bit of it, and those within two bits meet on a common value. A group of equal fingerprints sends
+one leader, so a value gathers at most 65 rows, whatever the number of copies.
+
+No ball of two bits reaches a similarity of 0.8, so near copies are found by their shingles: see ``near_copies``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -44,62 +43,50 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(run), 42) for run in runs), np.uint64, len(found) - size + 1)
 
 
-def sketch_of(text: str | None, size: int, longs: int) -> list[int]:
-    """``longs`` signed 64-bit words; a bit is set if more than half of the shingles have it set."""
+def sketch_of(text: str | None, size: int) -> list[int]:
+    """One signed 64-bit word; a bit is set if more than half of the shingles have it set."""
     h = shingle_hashes(text or "", size)
-    out = []
-    for k in range(longs):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 8192):
-            part = _mixed(h[at : at + 8192], k).astype(">u8").view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
-        out.append(int(np.packbits(counts * 2 > len(h)).view(">i8")[0]))
-    return out
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 8192):
+        part = h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+    return [int(np.packbits(counts * 2 > len(h)).view(">i8")[0])]
 
 
-def sketch(text: Column, size: int = 5, longs: int = 1) -> Column:
+def sketch(text: Column, size: int = 5) -> Column:
     """The sketch of each text as array<bigint>; null and empty texts have all bits zero."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch_of(x, size, longs) for x in texts])
+        return pd.Series([sketch_of(x, size) for x in texts])
 
     return of(text)
 
 
-def _distance(x: str, y: str, longs: int) -> Column:
-    return F.expr(" + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(longs)))
-
-
 def simhash_near_dups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 5,
-    bits: int = 32,
-    tables: int = 12,
-    similarity: float = 0.8,
-    distance: int | None = None,
+    bits: int = 64,
+    tables: int = 1,
+    distance: int = 2,
 ) -> DataFrame:
     """(id, sketch, component_id) for every row of ``docs``: component_id is the smallest id of its group.
 
-    ``tables`` fingerprints of ``bits`` bits (32 or 64) are cut from a sketch of as many bits in all. Rows whose
-    fingerprints differ by two bits or fewer in any table meet, and are linked if their whole sketches differ by
-    ``distance`` bits at most; left out, it is the distance expected at ``similarity`` (weighted Jaccard of the
-    shingles) and one standard deviation more. With one table of 64 bits and distance 2, the links are exactly the pairs within two bits.
+    The links are exactly the pairs of fingerprints within ``distance`` bits, which can be two at most. Only one table of
+    64 bits is exact, so no other is taken.
 
     Null and empty texts have a sketch of zeros and so form one group. Repeated rows stay repeated. Rows with a
     null id get the group's smallest id, or null if no row of the group has one. Further columns are ignored.
     """
-    longs = bits * tables // 64
-    if distance is None:
-        unlike = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        distance = round(64 * longs * unlike + math.sqrt(64 * longs * unlike * (1 - unlike)))
+    if (bits, tables) != (64, 1) or not 0 <= distance <= 2:
+        raise ValueError("links are exact only with one table of 64 bits and a distance of 2 or less")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = checkpoint(rows.select("id", sketch(F.col("text"), size, longs).alias("sketch")))
+    rows = checkpoint(rows.select("id", sketch(F.col("text"), size).alias("sketch")))
     same = rows.groupBy("sketch").agg(F.min("id").alias("id"))
     node = checkpoint(same.withColumn("node", F.monotonically_increasing_id()))  # small numbers, stored once
-    links = _links(node.select("node", "sketch"), bits, tables, longs, distance)
+    links = _links(node.select("node", "sketch"), distance)
     roots = connected_components(links)
     ids = node.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -107,33 +94,85 @@ def simhash_near_dups(
     return rows.join(found, "sketch").select("id", "sketch", "component_id")
 
 
-def _links(node: DataFrame, bits: int, tables: int, longs: int, distance: int) -> DataFrame:
+def _links(node: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) between nodes, by way of leaders. Rows that move hold a key and a node; sketches join the few pairs that meet."""
-    beside = None
-    if tables == 1:
-        leader = node.select(F.lit(0).cast("long").alias("t"), F.col("sketch")[0].alias("fp"), "node")
-    else:
-        cut = [F.expr(f"sketch[{t * bits // 64}]" if bits == 64 else f"shiftrightunsigned(sketch[{t * bits // 64}], {t * bits % 64}) & {2**bits - 1}L") for t in range(tables)]
-        rows = node.select("node", F.posexplode(F.array(*cut)).alias("t", "fp")).withColumn("t", F.col("t").cast("long"))
-        leader = checkpoint(rows.groupBy("t", "fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
-        beside = rows.join(leader.filter("n > 1").select("t", "fp", "lead"), ["t", "fp"]).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        leader = leader.select("t", "fp", F.col("lead").alias("node"))
-    masks = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(bits)]])
-    ball = leader.select("t", "node", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    ball = ball.select(F.expr(f"shiftleft(t, {bits}) | value" if bits == 32 else "value").alias("value"), "node") if tables > 1 else ball.select("value", "node")
+    masks = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]])
+    ball = node.select("node", F.explode(F.transform(masks, lambda m: F.col("sketch")[0].bitwiseXOR(m))).alias("value"))
     first = Window.partitionBy("value").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = ball.withColumn("a", F.first("node").over(first)).filter("a <> node").select("a", F.col("node").alias("b"))
-    met = checkpoint((met if beside is None else met.union(beside)).filter("a <> b").distinct())
+    met = checkpoint(met.distinct())
     met = met.join(node.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(node.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return met.filter(_distance("x", "y", longs) <= distance).select("a", "b")
+    return met.filter(F.expr("bit_count(x[0] ^ y[0])") <= distance).select("a", "b")
+
+
+def shingle_tokens(text: str | None, size: int) -> np.ndarray:
+    """The shingles as a set: of a shingle that occurs m times, its hash and m - 1 more. A text without words has one token, 0."""
+    h = np.sort(shingle_hashes(text or "", size))
+    if not len(h):
+        return np.zeros(1, np.int64)
+    at = np.arange(len(h))
+    k = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
+    for n in range(1, int(k.max()) + 1):
+        h[k == n] = _mixed(h[k == n], n)
+    return h.view(np.int64)
+
+
+def _tokens(text: Column, size: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_tokens(x, size) for x in texts])
+
+    return of(text)
+
+
+def _least_shared(similarity: float) -> Column:
+    """Tokens that a text of n tokens must share with any text of at least this similarity."""
+    return F.ceil(F.col("n") * similarity - 1e-9)
+
+
+def _candidates(docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+    """(node, n, tokens) of the texts that share enough tokens with others: n counts all, tokens holds the shared ones, the rarest first."""
+    rows = docs.select(F.xxhash64(text_col).alias("node"), _tokens(F.col(text_col), size).alias("t"))
+    rows = rows.select("node", F.size("t").alias("n"), F.explode_outer("t").alias("token"))
+    by = Window.partitionBy("token")
+    rows = rows.withColumn("df", F.count("*").over(by)).withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by))
+    rows = rows.filter("least <> most").groupBy("node").agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "token")).alias("tokens"))
+    rows = rows.filter(F.size("tokens") >= _least_shared(similarity))
+    return rows.select("node", "n", F.array_sort("tokens")["token"].alias("tokens"))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is ``similarity`` or more."""
+    x = texts.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
+    y = texts.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").filter(both >= (F.col("m") + F.col("n") - both) * similarity - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) of every text with a near copy; node is xxhash64 of the text, root the smallest of its group.
+
+    Texts are linked if the weighted Jaccard similarity of their shingles, a shingle's weight being its count, is
+    ``similarity`` or more. Two such texts share a token among the rarest n - ceil(similarity * n) + 1 of each (prefix
+    filter, which loses nothing), so they meet there. Texts without words are alike.
+    """
+    texts = checkpoint(_candidates(docs, text_col, size, similarity))
+    prefix = F.size("tokens") - _least_shared(similarity) + 1
+    met = checkpoint(texts.select("node", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token")))
+    lead = met.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("token", "a")
+    pairs = checkpoint(met.join(lead, "token").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    return connected_components(_alike(pairs, texts, similarity))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group; of rows with equal id, each stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with equal id, each stays.
 
     A group whose ids are all null stays whole.
     """
-    groups = simhash_near_dups(docs.select(id_col, options.get("text_col", "text")), id_col, **options)
-    others = groups.filter("component_id is not null and not (id <=> component_id)").select(F.col("id").alias("_gone"), F.lit(True).alias("_drop")).distinct()
+    groups = near_copies(docs, text_col, **options)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node")).join(groups, "node", "left")
+    rows = checkpoint(rows.select("id", F.coalesce("root", "node").alias("root")))
+    least = rows.groupBy("root").agg(F.min("id").alias("least"))
+    others = rows.join(least, "root").filter("least is not null and not (id <=> least)").select(F.col("id").alias("_gone")).distinct()
     gone = checkpoint(others)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

@@ -73,6 +73,24 @@ def test_keep_one_of_near_copies(spark):
     assert simhash_dedup.keep_one(odd.limit(0)).count() == 0
 
 
+def jaccard(x, y):
+    x, y = (Counter(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in (x, y))
+    return (x & y).total() / (x | y).total()
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        most = rng.choice([8, 10, 11, 12, 14])  # of 100 shingles; 11 changed ones give 89 / 111
+        other = [*words[:-most], *(f"v{rng.randrange(10**6)}" for _ in range(most))]
+        texts += [" ".join(words), " ".join(other)]
+    got = {r["doc_id"] for r in simhash_dedup.keep_one(docs(spark, texts)).collect()}
+    want = {k for k in range(len(texts)) if k % 2 == 0 or jaccard(texts[k - 1], texts[k]) < 0.8}
+    assert got == want and 60 < len(want) < 120
+
+
 def near(x, y):
     if len(x) == len(y):
         return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
