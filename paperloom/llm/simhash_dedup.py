@@ -9,6 +9,8 @@ No ball of two bits reaches a similarity of 0.8, so near copies are found by the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -154,14 +156,54 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
 
     Texts are linked if the weighted Jaccard similarity of their shingles, a shingle's weight being its count, is
     ``similarity`` or more. Two such texts share a token among the rarest n - ceil(similarity * n) + 1 of each (prefix
-    filter, which loses nothing), so they meet there. Texts without words are alike.
+    filter, which loses nothing), so they meet there. Texts without words are alike. Where a token
+    has many, leaders are compared to the rest first, until groups have formed; then all pairs of different groups are.
     """
     texts = checkpoint(_candidates(docs, text_col, size, similarity))
     prefix = F.size("tokens") - _least_shared(similarity) + 1
     met = checkpoint(texts.select("node", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token")))
-    lead = met.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("token", "a")
-    pairs = checkpoint(met.join(lead, "token").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
-    return connected_components(_alike(pairs, texts, similarity))
+    links, left, best, turn, stale = None, met.select("token", "node", F.col("node").alias("root")), math.inf, 0, 0
+    while True:
+        left, cross = _apart(left)
+        if not cross:
+            break
+        stale = 0 if cross < best / 2 else stale + 1
+        last = cross <= 4 * left.count() or stale == 3  # leaders that join no more groups: these texts are unlike
+        pairs = checkpoint((_across(left) if last else _led(left, turn)).distinct())
+        found = _alike(pairs, texts, similarity)
+        links = checkpoint(found if links is None else links.union(found))
+        if last:
+            break
+        roots = connected_components(links).withColumnRenamed("root", "_root")
+        left = left.join(roots, "node", "left").select("token", "node", F.coalesce("_root", "node").alias("root"))
+        best, turn = min(best, cross), turn + 1
+    if links is None:
+        return met.select("node", F.col("node").alias("root")).limit(0)
+    return connected_components(links)
+
+
+def _apart(met: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (token, node, root) of tokens that hold several groups, and the number of pairs of different groups in them."""
+    sizes = met.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    sizes = checkpoint(sizes.filter("s * s > q"))
+    cross = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
+    return checkpoint(met.join(sizes.select("token"), "token")), int(cross or 0)
+
+
+def _led(met: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the pairs of a token's leader, another text each turn, and its texts of other groups."""
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root"))
+    lead = met.groupBy("token").agg(first.alias("x")).select("token", F.col("x.root").alias("of"), F.col("x.node").alias("a"))
+    return met.join(lead, "token").filter("root <> of").select("a", F.col("node").alias("b"))
+
+
+def _across(met: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a token's texts that are of different groups; a group is never joined to itself."""
+    of = met.select("token", "root").distinct()
+    both = of.withColumnRenamed("root", "r").join(of.withColumnRenamed("root", "s"), "token").filter("r < s")
+    x = met.select("token", F.col("root").alias("r"), F.col("node").alias("x"))
+    y = met.select("token", F.col("root").alias("s"), F.col("node").alias("y"))
+    return both.join(x, ["token", "r"]).join(y, ["token", "s"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -91,6 +91,18 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     assert got == want and 60 < len(want) < 120
 
 
+def test_near_copies_behind_an_unlike_leader(spark):
+    rng = random.Random(6)
+    texts = []
+    for s in range(40):
+        for _ in range(8):
+            at, n = rng.randrange(12), rng.randrange(8, 20)
+            texts.append(" ".join(f"s{s}w{k}" for k in range(at, at + n)))
+    linked = roots(range(len(texts)), lambda a, b: a // 8 == b // 8 and jaccard(texts[a], texts[b]) >= 0.8)
+    got = {r["doc_id"] for r in simhash_dedup.keep_one(docs(spark, texts)).collect()}
+    assert got == set(linked.values())
+
+
 def near(x, y):
     if len(x) == len(y):
         return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
