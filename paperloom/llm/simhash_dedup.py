@@ -209,12 +209,13 @@ def _across(met: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with equal id, each stays.
 
-    A group whose ids are all null stays whole.
+    A group whose ids are all null stays whole. A row goes by its id and its text, so rows that share an id, or have
+    none, and hold other texts aren't touched.
     """
     groups = near_copies(docs, text_col, **options)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node")).join(groups, "node", "left")
-    rows = checkpoint(rows.select("id", F.coalesce("root", "node").alias("root")))
+    rows = checkpoint(rows.select("id", "node", F.coalesce("root", "node").alias("root")))
     least = rows.groupBy("root").agg(F.min("id").alias("least"))
-    others = rows.join(least, "root").filter("least is not null and not (id <=> least)").select(F.col("id").alias("_gone")).distinct()
-    gone = checkpoint(others)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    others = rows.join(least, "root").filter("least is not null and not (id <=> least)")
+    gone = checkpoint(others.select(F.col("id").alias("_gone"), F.col("node").alias("_hash")).distinct())
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")

@@ -103,6 +103,12 @@ def test_near_copies_behind_an_unlike_leader(spark):
     assert got == set(linked.values())
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = spark.createDataFrame([(None, a, ""), (None, b, ""), (1, a, ""), (2, a, ""), (2, c, "")], DOC)
+    assert {(r[0], r[1]) for r in simhash_dedup.keep_one(rows).collect()} == {(None, b), (1, a), (2, c)}
+
+
 def near(x, y):
     if len(x) == len(y):
         return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
