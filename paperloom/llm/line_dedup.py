@@ -86,20 +86,23 @@ def within_one(x: Column, y: Column) -> Column:
     return F.when(same, F.size(unlike) <= 1).when(F.size(longer) - F.size(shorter) == 1, rest(longer, start + 1) == rest(shorter, start))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, exact_words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with repeated lines taken out of its text, and with _lines and _kept, their counts.
 
     Documents are ordered by id, nulls last, and by a hash of the text where ids are equal; lines by their place. A line of ``min_words``
-    words or more is dropped if it equals an earlier line of the corpus, or differs from the first occurrence of an earlier line by one word. Shorter
-    and blank lines stay. White space within and around a kept line stays as it is.
+    words or more is dropped if it equals an earlier line of the corpus, or differs from the first occurrence of an earlier line by one word. A shorter line
+    of ``exact_words`` words or more (1: every line that isn't blank; left out: none) is dropped if it equals an earlier one. Other
+    lines stay. White space within and around a kept line stays as it is.
 
     Rows equal in id and text count as one document and get the same result. A null text stays null, an empty one
     empty, both with one line or none: _lines is 0 for null and 1 for empty. Other columns stay as they are.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col)).select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = _lines(keyed, min_words)
+    least = min_words if exact_words is None else min(max(exact_words, 1), min_words)
+    lines = _lines(keyed, least)
     place = F.struct("doc", "line").alias("id")
-    seen = _worded(lines).select(F.xxhash64(F.lit(5), "words").alias("h"), F.xxhash64(F.lit(6), "words").alias("g"), place, _halves().alias("halves"))
+    halves = F.when(F.col("w") >= min_words, _halves()).otherwise(F.array().cast("array<bigint>"))
+    seen = _worded(lines).select(F.xxhash64(F.lit(5), "words").alias("h"), F.xxhash64(F.lit(6), "words").alias("g"), place, halves.alias("halves"))
     firsts = checkpoint(seen.groupBy("h", "g").agg(F.min(F.struct("id", "halves")).alias("x")).select("h", "g", "x.id", "x.halves"))
     halves = firsts.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
@@ -114,7 +117,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("_doc", _key(id_col, text_col))
     rows = rows.join(kept.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")
     rows = rows.withColumn("_split", F.split(F.col(text_col), "\n"))
-    stays = lambda x, k: ~_long(x, min_words) | F.coalesce(F.array_contains("_at", k), F.lit(False))
+    stays = lambda x, k: ~_long(x, least) | F.coalesce(F.array_contains("_at", k), F.lit(False))
     rows = rows.withColumn("_stay", F.filter("_split", stays))
     rows = rows.withColumn("_lines", F.coalesce(F.array_size("_split"), F.lit(0))).withColumn("_kept", F.coalesce(F.array_size("_stay"), F.lit(0)))
     return rows.withColumn(text_col, F.array_join("_stay", "\n")).drop("_doc", "_of", "_at", "_split", "_stay")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from paperloom.llm import common, decontaminate, embedding_dedup, line_dedup, simhash_dedup
 
 DOC = "doc_id long, text string, text_md5 string"
@@ -144,6 +145,14 @@ def test_lines_equal_brute_force(spark):
     assert {r["doc_id"]: (r["text"], r["_lines"], r["_kept"]) for r in got.collect()} == want
     assert got.columns[:3] == ["doc_id", "text", "text_md5"]
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_short_lines_that_repeat(spark):
+    texts = ["All rights reserved.\nOne\n\na b c d e f", "One\n \nAll  rights reserved.\nAll rights removed.\n", "a b c d e x\na b c d e\nTwo"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), exact_words=1).collect()}
+    assert got == {0: texts[0], 1: " \nAll rights removed.\n", 2: "a b c d e\nTwo"}
+    staged = corpus_pipeline.dedup_lines(spark, docs(spark, texts).selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars"), "")
+    assert {r["doc_id"]: r["text"] for r in staged.collect()} == got
     again = spark.createDataFrame([(None, "a b c d e f", None)] * 2, DOC)
     assert [r["text"] for r in line_dedup.dedup_lines(again).collect()] == ["a b c d e f"] * 2
 
