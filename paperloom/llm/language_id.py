@@ -10,7 +10,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, checkpoint
@@ -45,14 +45,15 @@ class Scorer:
         """The word's longest known n-grams; none, if not even a letter is known."""
         rows = self.unseen.get(word)
         if rows is None:
-            padded, rows = f" {word[:64]} ", []
+            padded, rows = f" {word} ", []
             for n in GRAMS:
                 rows = [k for k in map(self.gram.get, [padded[i : i + n] for i in range(len(padded) - n + 1)]) if k is not None]
                 if rows:
                     break
             if len(self.unseen) > 100_000:
                 self.unseen.clear()
-            self.unseen[word] = rows
+            if len(word) <= 64:  # longer ones hardly recur
+                self.unseen[word] = rows
         return rows
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -93,23 +94,30 @@ def fit_language_model(
     """Word and n-gram log frequencies from a bounded sample of ``max_docs`` labelled rows.
 
     The sample, and the ``max_words`` words and ``max_grams`` n-grams that it holds most often in each language, are
-    the only bounds; they bound the model, which every task gets. Null labels and texts are passed over.
+    the only bounds; they bound the model, which every task gets. What one language keeps has the counts of all. Null labels and texts are passed over.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample = bounded_sample(labelled, [*key, text_col], max_docs, seed)
     letters = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), F.lit(1))
     counts = sample.select(F.col(lang_col).alias("lang"), F.explode_outer(letters).alias("word")).filter("word is not null").groupBy("lang", "word").count()
     counts = checkpoint(counts)
-    padded = F.concat(F.lit(" "), F.substring("word", 1, 64), F.lit(" "))
-    cut = [F.expr(f"transform(sequence(1, greatest(length(p) - {n - 1}, 1)), i -> substring(p, i, {n}))") for n in GRAMS]
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    # A match takes one letter and looks ahead, so a long word takes time in proportion.
+    cut = [F.when(F.length("p") < n, F.array("p")).otherwise(F.regexp_extract_all("p", F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))) for n in GRAMS]
     grams = counts.select("lang", "count", padded.alias("p")).select("lang", "count", F.explode_outer(F.concat(*cut)).alias("gram"))
-    grams = grams.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    top = lambda df, name, most: df.orderBy(F.desc("count"), name, "lang").limit(most).toPandas()
-    w, g = top(counts.filter("count > 1"), "word", max_words), top(grams.filter("count > 1"), "gram", max_grams)
+    grams = checkpoint(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")))
+    w, g = _top(counts, "word", max_words), _top(grams, "gram", max_grams)
     langs = sorted(set(w["lang"]) | set(g["lang"]))
     return LanguageModel(langs, *_logs(w, "word", langs), *_logs(g, "gram", langs))
 
 
+def _top(counts: DataFrame, name: str, most: int) -> pd.DataFrame:
+    """All counts of what is among the ``most`` of some language that it holds more than once."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), name))
+    kept = counts.filter("count > 1").withColumn("_n", rank).filter(F.col("_n") <= most).select(name).distinct()
+    return counts.join(kept, name).select("lang", name, "count").toPandas()
+
+
 def _logs(counts: pd.DataFrame, name: str, langs: list[str]) -> tuple[list[str], np.ndarray]:
     if counts.empty:
         return [], np.zeros((0, len(langs)))

@@ -27,6 +27,19 @@ def test_language_without_letters_and_empty_table(spark):
     assert {r["language"]["lang"] for r in language_id.predict_language(frame, nothing).collect()} == {"und"}
 
 
+def test_a_small_language_keeps_its_words_and_all_counts(spark):
+    rows = [(k, "the cat and the dog " * 20, "en") for k in range(40)] + [(99, "zorq zorq vluk vluk cat", "xx"), (100, "α" * 70 + "βγδεζ", "el")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(frame, max_words=3, max_grams=20)
+    assert {"the", "zorq", "vluk"} <= set(model.words)
+    row = lambda w: dict(zip(model.langs, model.word_logs[model.words.index(w)], strict=True))
+    assert row("cat")["xx"] - row("cat")["el"] > row("and")["xx"] - row("and")["el"] + 0.5  # its single "cat" counts
+    got = {r["doc_id"]: r["language"]["lang"] for r in language_id.predict_language(frame, model).collect()}
+    assert got[99] == "xx" and got[0] == "en"
+    whole = language_id.Scorer(["el"], [], model.word_logs[:0, :1], ["βγδεζ", "α"], model.gram_logs[:2, :1])
+    assert whole.grams_of("α" * 70 + "βγδεζ") == [0]
+
+
 def test_base_secrets_follow_the_plain_patterns():
     text = 'Token = "abc" secret:xy password=hunter22 token=token: abcdefgh API-KEY: "AKIA' + "A" * 16 + '" ' + "ab12" * 6 + " \u017fecret=longenough"
     assign = [("assign", m.start(), m.end()) for m in re.finditer(secret_scan.ASSIGN.pattern, text, re.I | re.A) if len(m[2]) >= 6]
