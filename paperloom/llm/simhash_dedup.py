@@ -10,9 +10,11 @@ No ball of two bits reaches a similarity of 0.8, so near copies are found by the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,12 +121,19 @@ def shingle_tokens(text: str | None, size: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _tokens(text: Column, size: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_tokens(x, size) for x in texts])
+def _tokens(rows: DataFrame, size: int) -> DataFrame:
+    """(node, n, token) of rows (node, text): n tokens of each text. A few texts at a time, to keep the workers small."""
 
-    return of(text)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [shingle_tokens(x, size) for x in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in found], np.int32)
+                node = np.repeat(np.array(part.column(0).to_pylist(), np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found))], ["node", "n", "token"])
+
+    return rows.mapInArrow(of, "node long, n int, token long")
 
 
 def _least_shared(similarity: float) -> Column:
@@ -134,8 +143,7 @@ def _least_shared(similarity: float) -> Column:
 
 def _candidates(docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
     """(node, n, tokens) of the texts that share enough tokens with others: n counts all, tokens holds the shared ones, the rarest first."""
-    rows = docs.select(F.xxhash64(text_col).alias("node"), _tokens(F.col(text_col), size).alias("t"))
-    rows = rows.select("node", F.size("t").alias("n"), F.explode_outer("t").alias("token"))
+    rows = _tokens(docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")), size)
     by = Window.partitionBy("token")
     rows = rows.withColumn("df", F.count("*").over(by)).withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by))
     rows = rows.filter("least <> most").groupBy("node").agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "token")).alias("tokens"))
