@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def free_name(df: DataFrame, *names: str) -> str | list[str]:
+    """Each name, with as many underscores appended as make it differ from the columns of df, regardless of case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found if len(found) > 1 else found[0]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, cut from its lineage and stored in the shared folder of ``spark.checkpoint.dir``.
 
-    Outside a cluster, where that setting may be missing, a local folder serves.
+    Where that setting is missing, as in tests, a new temporary folder serves a local session; a cluster needs the setting.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -34,7 +48,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not folder:
             if not context.master.split("[")[0] == "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-            folder = "/tmp/checkpoints"
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

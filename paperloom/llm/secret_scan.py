@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 
@@ -17,12 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: A token starts where a run of its characters starts, so that a long run without dots is read once.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_BYTES = (re.compile(r"[0-9a-f]{48,}"), re.compile(r"[0-9A-F]{48,}"))
 #: Kinds in the order in which equal starts are listed.
@@ -51,20 +53,44 @@ def der_ends(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -
 
 def is_der_key(data: bytes) -> bool:
     """A DER sequence that fills the bytes, holds an integer or a sequence first and is as long as any key."""
-    return len(data) >= 24 and data[0] == 0x30 and data[2 + (data[1] & 127 if data[1] >= 128 else 0)] in (2, 0x30) and der_ends(data)
+    if len(data) < 24 or data[0] != 0x30 or not der_ends(data):
+        return False
+    inner = 2 + (data[1] & 127 if data[1] >= 128 else 0)  # six at most, as lengths take four bytes at most
+    size = int.from_bytes(data[2:inner], "big") if data[1] >= 128 else data[1]
+    return inner + size == len(data) and data[inner] in (2, 0x30)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or length-prefixed fields that start with a key type and end with the bytes."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, 0
-    while at + 4 <= len(data):
+def ssh_fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int]:
+    """Length-prefixed fields from ``at`` (``most`` of them, or all that are whole) and where they end."""
+    fields = []
+    while at + 4 <= len(data) and (most is None or len(fields) < most):
         size = int.from_bytes(data[at : at + 4], "big")
-        if fields == 0 and not re.match(rb"(ssh-|ecdsa-|sk-)", data[4 : 4 + size]):
+        if at + 4 + size > len(data):
+            break
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return fields, at
+
+
+SSH_MAGIC = b"openssh-key-v1\0"
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Length-prefixed fields that start with a key type and end with the bytes, or an OpenSSH private key.
+
+    The latter is cipher, derivation and its options, the number of keys, a public key for each, and the private part.
+    """
+    if data.startswith(SSH_MAGIC):
+        head, at = ssh_fields(data, len(SSH_MAGIC), 3)
+        if len(head) < 3 or at + 4 > len(data):
             return False
-        at, fields = at + 4 + size, fields + 1
-    return fields >= 2 and at == len(data)
+        n = int.from_bytes(data[at : at + 4], "big")
+        keys, at = ssh_fields(data, at + 4)
+        return n >= 1 and len(keys) == n + 1 and at == len(data) and all(is_ssh_key(k) for k in keys[:-1])
+    if len(data) < 8 or not data[4:10].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+        return False
+    fields, at = ssh_fields(data, 0)
+    return len(fields) >= 2 and at == len(data)
 
 
 def from_base64(text: str) -> bytes:
@@ -78,7 +104,7 @@ def from_base64(text: str) -> bytes:
 def is_signed_header(part: str) -> bool:
     try:
         header = json.loads(from_base64(part))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than any header
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
@@ -117,16 +143,17 @@ FINDINGS = "array<struct<kind: string, start: int, `end`: int>>"
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
-    """Adds ``out``, the findings in each whole text.
+    """Adds ``out``, the findings in each whole text, however long.
 
-    A null text counts as empty; without findings the array is empty. Rows, ties and other columns stay as they are.
+    A null text counts as empty; without findings the array is empty. Each row is read by itself, so repeated rows get equal
+    findings and an empty table stays empty. The columns of ``docs`` stay; if one is called ``out``, the new one gets an underscore more.
     """
 
     @F.pandas_udf(FINDINGS)
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(x)] for x in texts])
 
-    return docs.withColumn(out, of(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), of(F.col(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -147,11 +174,3 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         return pd.Series([clean(x) for x in texts])
 
     return docs.withColumn(text_col, of(F.col(text_col)))
-
-
-def spans_digest(found: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
