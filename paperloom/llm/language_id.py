@@ -10,12 +10,15 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint
+from .common import bounded_sample, checkpoint, free_name
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of the few signs that Python's \\w has besides letters and digits, such as fractions.
+RUNS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: Grams of these lengths, the longest first, over words with a blank at either end.
 GRAMS = (5, 4, 3, 2, 1)
 
@@ -31,6 +34,16 @@ class LanguageModel:
     gram_logs: np.ndarray
 
 
+def letter_words(text: str | None) -> Counter[str]:
+    """The runs of letters of a text in lower case, with their counts."""
+    found = Counter(RUNS.findall((text or "").lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in LETTERS.findall(w):
+            found[part] += n
+    return found
+
+
 class Scorer:
     """The model, ready to look up; made once in a task."""
 
@@ -39,7 +52,7 @@ class Scorer:
         self.row = {w: k for k, w in enumerate(words)}
         self.gram = {g: k for k, g in enumerate(grams)}
         self.unseen: dict[str, list[int]] = {}
-        self.logs = np.vstack([word_logs, np.zeros((1, len(langs)))])
+        self.logs = np.vstack([word_logs, np.zeros((1, len(langs)), np.float32)])
 
     def grams_of(self, word: str) -> list[int]:
         """The word's longest known n-grams; none, if not even a letter is known."""
@@ -58,7 +71,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the posterior; ("und", 0.0) for a text without letters."""
-        found = Counter(LETTERS.findall((text or "").lower()))
+        found = letter_words(text)
         if not found or not self.langs:
             return "und", 0.0
         rows = np.fromiter(map(self.row.get, found, repeat(-1)), np.int64, len(found))
@@ -87,14 +100,13 @@ def fit_language_model(
     lang_col: str = "lang",
     key: tuple[str, ...] = ("doc_id",),
     max_docs: int = 12_000,
-    max_words: int = 120_000,
-    max_grams: int = 60_000,
     seed: int = 5,
 ) -> LanguageModel:
     """Word and n-gram log frequencies from a bounded sample of ``max_docs`` labelled rows.
 
-    The sample, and the ``max_words`` words and ``max_grams`` n-grams that it holds most often in each language, are
-    the only bounds; they bound the model, which every task gets. What one language keeps has the counts of all. Null labels and texts are passed over.
+    The sample is the only bound; it bounds the model, which every task gets. All its words and n-grams count, in every
+    language, those seen once included. Null labels and texts are passed over, repeated rows count as often as they occur,
+    and rows equal in ``key`` and text are in the sample together or not at all. Without labelled rows no language is known.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample = bounded_sample(labelled, [*key, text_col], max_docs, seed)
@@ -106,31 +118,26 @@ def fit_language_model(
     cut = [F.when(F.length("p") < n, F.array("p")).otherwise(F.regexp_extract_all("p", F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))) for n in GRAMS]
     grams = counts.select("lang", "count", padded.alias("p")).select("lang", "count", F.explode_outer(F.concat(*cut)).alias("gram"))
     grams = checkpoint(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")))
-    w, g = _top(counts, "word", max_words), _top(grams, "gram", max_grams)
-    langs = sorted(set(w["lang"]) | set(g["lang"]))
+    w, g = (x.select("lang", name, "count").toPandas() for x, name in ((counts, "word"), (grams, "gram")))
+    langs = sorted(set(w["lang"]))
     return LanguageModel(langs, *_logs(w, "word", langs), *_logs(g, "gram", langs))
 
 
-def _top(counts: DataFrame, name: str, most: int) -> pd.DataFrame:
-    """All counts of what is among the ``most`` of some language that it holds more than once."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), name))
-    kept = counts.filter("count > 1").withColumn("_n", rank).filter(F.col("_n") <= most).select(name).distinct()
-    return counts.join(kept, name).select("lang", name, "count").toPandas()
-
-
 def _logs(counts: pd.DataFrame, name: str, langs: list[str]) -> tuple[list[str], np.ndarray]:
     if counts.empty:
         return [], np.zeros((0, len(langs)))
     wide = counts.pivot(index=name, columns="lang", values="count").reindex(columns=langs).fillna(0.0) + 0.5
     sums = wide.groupby(wide.index.str.len()).transform("sum") if name == "gram" else wide.sum()
     logs = np.log(wide / sums)
-    return list(wide.index), logs.sub(logs.mean(axis=1), axis=0).to_numpy()
+    return list(wide.index), logs.sub(logs.mean(axis=1), axis=0).to_numpy(np.float32)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
     """Adds ``out``, struct<lang, score>, to every row.
 
-    Texts that are null or hold no letter get ("und", 0). Whole texts count. Rows, ties and other columns stay.
+    Texts that are null, empty or hold no letter get ("und", 0); of languages with equal scores, the first by code point.
+    Whole texts count, however long. Each row is read by itself, so repeated rows get equal results and an empty table stays
+    empty. The columns of ``docs`` stay; if one is called ``out``, the new one gets an underscore more.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.word_logs, model.grams, model.gram_logs))
 
@@ -140,4 +147,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         for texts in batches:
             yield pd.DataFrame([scorer.predict(x) for x in texts], columns=["lang", "score"])
 
-    return docs.withColumn(out, of(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), of(F.col(text_col)))
