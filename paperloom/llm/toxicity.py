@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint
+from .common import bounded_sample, checkpoint, free_name
 
 #: Characters of other scripts and digits or signs that stand for Latin letters.
 HOMOGLYPHS = str.maketrans("авеёзікмнорстухѕјԁοαερτυνικβγ", "abeeзikmhopctyxsjdoaeptuvikby")
@@ -47,7 +47,7 @@ def terms_of(text: str | None) -> list[str]:
     """Every distinct whole word (" word ") and word beginning (" word") of a text."""
     out = set()
     for w in set(fold(text).split()):
-        out.add(f" {w[:40]} ")
+        out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in STEMS if len(w) > n)
     return list(out)
 
@@ -93,10 +93,11 @@ class Matcher:
         return sum(hits.values()), len(hits)
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """The summed weight, and the same over the square root of the length in words."""
+        """The summed weight, damped, over the damped length in words, and the plain one over the length's square root."""
         folded = fold(text)
         total, _ = self.find(folded)
-        return math.log1p(total), total / math.sqrt(max(folded.count(" ") + 1, 16))
+        length = max(folded.count(" ") + 1, 16)
+        return math.log1p(total) / math.log1p(length), total / math.sqrt(length)
 
     def score(self, text: str | None) -> float:
         a, b, c = self.line
@@ -112,15 +113,16 @@ def fit_lexicon(
     max_docs: int = 12_000,
     min_docs: int = 4,
     precision: float = 0.5,
-    max_terms: int = 5_000,
     seed: int = 8,
 ) -> Lexicon:
     """A lexicon from a bounded sample of ``max_docs`` labelled rows.
 
     Terms are kept if ``min_docs`` toxic documents hold them, and if of the documents with the term a share of
-    ``precision`` is toxic; a word beginning stands for the longer terms that it covers. Null labels are passed over.
+    ``precision`` is toxic; a word beginning stands for the longer terms that it covers. The sample is the only bound; it bounds
+    the terms that reach the driver. Null labels are passed over, a null text counts as empty, repeated rows count as often as
+    they occur. Without labelled rows, or without toxic ones, no term has a weight.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(*key, text_col, F.col(label_col).cast("int").alias("y"))
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(*key, text_col, (F.col(label_col) == 1).cast("int").alias("y"))
     sample = checkpoint(bounded_sample(rows, [*key, text_col], max_docs, seed))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -128,7 +130,7 @@ def fit_lexicon(
     counts = sample.select("y", F.explode_outer(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     kept = counts.filter((F.col("bad") >= min_docs) & (F.col("bad") >= precision * (F.col("bad") + F.col("good"))))
     weights: dict[str, float] = {}
-    for r in kept.orderBy(F.desc("bad"), F.length("term"), "term").limit(max_terms).toPandas().itertuples():
+    for r in kept.orderBy(F.desc("bad"), F.length("term"), "term").toPandas().itertuples():
         if not any(r.term[:n] in weights for n in range(2, len(r.term))):
             weights[r.term] = math.log((r.bad + 0.5) / (bad - r.bad + 0.5)) - math.log((r.good + 0.5) / (good - r.good + 0.5))
     weights = {k: v for k, v in weights.items() if v > 0}
@@ -158,7 +160,7 @@ def _exceptions(sample: DataFrame, text_col: str, weights: dict[str, float], min
 
     counts = sample.select("y", F.explode_outer(pairs(F.col(text_col))).alias("pair")).groupBy("pair").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     kept = counts.filter("pair is not null").filter((F.col("good") >= min_docs) & (F.col("bad") * 4 < F.col("good")))
-    return [r["pair"] for r in kept.orderBy(F.desc("good"), "pair").limit(1000).collect()]
+    return [r["pair"] for r in kept.orderBy("pair").select("pair").collect()]
 
 
 def _calibrate(sample: DataFrame, text_col: str, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -187,7 +189,8 @@ def _calibrate(sample: DataFrame, text_col: str, lexicon: Lexicon) -> tuple[floa
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Adds ``out``, the score from 0 to 1 of each whole text.
 
-    Null and empty texts get the score of a text without matches. Rows, ties and other columns stay as they are.
+    Null and empty texts get the score of a text without matches. Each row is read by itself, so repeated rows get equal scores
+    and an empty table stays empty. The columns of ``docs`` stay; if one is called ``out``, the new one gets an underscore more.
     """
     shared = _shared(docs, lexicon)
 
@@ -197,4 +200,4 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", ou
         for texts in batches:
             yield pd.Series([matcher.score(x) for x in texts], dtype=float)
 
-    return docs.withColumn(out, of(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), of(F.col(text_col)))
