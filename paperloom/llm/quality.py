@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, free_name
 
 #: Lengths in bytes of the text runs that are hashed.
 RUNS = (1, 2, 4)
@@ -36,11 +36,11 @@ def buckets(text: str | None, dims: int) -> list[np.ndarray]:
 
 
 def features(text: str | None, dims: int) -> np.ndarray:
-    """The square roots of the frequencies of the buckets; zeros for an empty text."""
+    """The square roots of the frequencies of the buckets, in half precision; zeros for an empty text."""
     x = np.zeros(dims, np.float32)
     for part in buckets(text, dims):
         x += np.bincount(part, minlength=dims).astype(np.float32) / len(part)
-    return np.sqrt(x)
+    return np.sqrt(x).astype(np.float16)
 
 
 @dataclass
@@ -67,7 +67,8 @@ def fit_quality(
 ) -> OrdinalModel:
     """The model of a bounded sample of ``max_docs`` rated rows; grades are the distinct non-null ratings, in order.
 
-    Features are made on the executors; the driver gets a sparse row of them for each row of the sample and takes the steps.
+    Features are made on the executors; the driver gets a row of them for each row of the sample and takes the steps.
+    Null ratings are passed over, a null text counts as empty, repeated rows count as often as they occur.
     With no rating or only one, all weights are 0 and the only grade is expected throughout.
     """
     rows = rated.filter(F.col(rating_col).isNotNull())
@@ -75,13 +76,13 @@ def fit_quality(
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.minimum(features(x, dims) * 200, 255).astype(np.uint8).tobytes() for x in texts])
+        return pd.Series([features(x, dims).tobytes() for x in texts])
 
     got = sample.select(F.col(rating_col).cast("double").alias("y"), of(F.col(text_col)).alias("x")).toPandas()
     grades = sorted(set(got["y"]))
     if len(grades) < 2:
         return OrdinalModel(grades, np.zeros(dims), np.zeros(0))
-    x = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), dims).astype(np.float32) / 200
+    x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), dims).astype(np.float32)
     above = np.array([[float(y >= g) for g in grades[1:]] for y in got["y"]], np.float32)
     return OrdinalModel(grades, *_descend(x, above, steps, ridge))
 
@@ -109,7 +110,9 @@ def _descend(x: np.ndarray, above: np.ndarray, steps: int, ridge: float) -> tupl
 def score_quality(docs: DataFrame, model: OrdinalModel, tail_from: float, text_col: str = "text", out: str = "quality") -> DataFrame:
     """Adds ``out``, struct<expected, tail>: the expected grade and the probability of a grade of ``tail_from`` or more.
 
-    Both are null if the model has no grade. A null text counts as empty; whole texts count. Rows, ties and other columns stay.
+    Both are null if the model has no grade. A null text counts as empty; whole texts count, however long. Each row is read by
+    itself, so repeated rows get equal results and an empty table stays empty. The columns of ``docs`` stay; if one is called
+    ``out``, the new one gets an underscore more.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.grades, model.weights, model.thresholds))
 
@@ -117,7 +120,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, tail_from: float, text_c
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grades, weights, cuts = shared.value
         for texts in batches:
-            dot = np.array([float(features(x, len(weights)) @ weights) for x in texts])
+            dot = np.array([float(features(x, len(weights)).astype(np.float64) @ weights) for x in texts])
             tails = 1 / (1 + np.exp(-np.clip(dot[:, None] - cuts, -30, 30)))
             if grades:
                 expected = grades[0] + tails @ np.diff(grades)
@@ -127,4 +130,4 @@ def score_quality(docs: DataFrame, model: OrdinalModel, tail_from: float, text_c
                 expected = tail = [None] * len(texts)
             yield pd.DataFrame({"expected": expected, "tail": tail})
 
-    return docs.withColumn(out, of(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), of(F.col(text_col)))
