@@ -1,4 +1,8 @@
-"""Near-duplicate vectors: spherical k-means cells, and blocked cosine products within cells."""
+"""Near-duplicate vectors: spherical k-means cells, and blocked cosine products within cells.
+
+Cells that are too large are split again by centres of their own, level by level, so that the number of cells grows with the
+table while no task fits more than a bounded sample or assigns more than a bounded part of a cell.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, connected_components, sized
+from .common import checkpoint, connected_components, sized
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -89,6 +93,65 @@ def _compare(threshold: float):
     return of
 
 
+def _near(x: np.ndarray, c: np.ndarray, threshold: float, margin: float | None) -> np.ndarray:
+    """Which centres each unit row is close to: the nearest one, and those less than the margin further."""
+    if margin is None:
+        margin = 4.5 * math.sqrt(2 - 2 * threshold) * math.sqrt(2) / math.sqrt(x.shape[1])
+    near = x @ c.T
+    return near >= near.max(axis=1)[:, None] - margin
+
+
+def _units(xs: pd.Series) -> np.ndarray:
+    x = np.array(xs.tolist(), dtype=np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _split_cells(rows: DataFrame, threshold: float, margin: float | None, cell_rows: int, fan: int, max_fit: int, seed: int) -> DataFrame:
+    """rows (rep, label, dim, vec, times, x) with ``cell``, a row for each cell that a vector is in; cells of a length begin with it.
+
+    A cell with more than twice ``cell_rows`` vectors of a label gets ``fan`` centres, or one for 8 vectors of a sample of
+    ``max_fit``, on which they are fitted. It is split only if that, by the sample, at least halves the work, a copy of a vector
+    being as much as ``cell_rows`` products; a cluster that is narrower than the margin isn't, and stays a cell.
+    """
+    rows = rows.withColumn("cell", F.col("dim").cast("string"))
+    kinds = dict(rows.dtypes)
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = _units(part["x"])
+        c = spherical_kmeans(x, max(1, min(fan, len(part) // 8)), seed)
+        shares = _near(x, c, threshold, margin).mean(axis=0)
+        cost = (shares**2).sum() + shares.sum() * cell_rows / part["most"].iloc[0]
+        return pd.DataFrame({"cell": [key[0]], "centres": pd.Series([c.ravel() if cost <= 0.5 else None], dtype=object)})
+
+    def assign(key: tuple, part: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or centres.empty:
+            return part.drop(columns=["part"]).head(0)
+        x = _units(part["x"])
+        close = _near(x, np.reshape(centres["centres"].iloc[0], (-1, x.shape[1])), threshold, margin)
+        at, cell = np.nonzero(close)
+        out = part.drop(columns=["part"]).iloc[at].reset_index(drop=True)
+        return out.assign(cell=[f"{key[0]}.{c}" for c in cell])
+
+    done = None
+    while True:
+        sizes = rows.groupBy("cell", "label", "dim").count().groupBy("cell", "dim").agg(F.max("count").alias("most"), F.sum("count").alias("total"))
+        big = checkpoint(sizes.filter(F.col("most") > 2 * cell_rows))
+        few = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(2**31)) < F.lit(2.0**31 * max_fit) / F.col("total")
+        sample = rows.join(sized(big.select("cell", "total", "most")), "cell").filter(few).select("cell", "x", "most")
+        centres = checkpoint(sample.groupBy("cell").applyInPandas(fit, "cell string, centres array<double>").filter("centres is not null"))
+        if centres.isEmpty():
+            return rows if done is None else done.union(rows)
+        parts = big.join(centres, "cell").select("cell", "centres", F.ceil(F.col("total") * F.col("dim") / 2_000_000).cast("int").alias("parts"))
+        left = rows.join(sized(parts.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).drop("parts")
+        right = parts.select(F.col("cell").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"), F.col("centres").alias("_centres"))
+        right = right.toDF("cell", "part", "centres")
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in left.columns if c != "part")
+        rest = rows.join(centres.select("cell"), "cell", "left_anti")
+        done = checkpoint(rest.select(*rows.columns) if done is None else done.union(rest.select(*rows.columns)))
+        split = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(lambda key, a, b: assign(key, a, b), schema)
+        rows = checkpoint(split.select(*rows.columns))
+
+
 def embedding_near_dups(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -98,8 +161,8 @@ def embedding_near_dups(
     margin: float | None = None,
     cell_rows: int = 1000,
     block_rows: int = 2048,
+    fan: int = 256,
     max_fit: int = 20_000,
-    max_cells: int = 1000,
     seed: int = 6,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
@@ -110,9 +173,10 @@ def embedding_near_dups(
 
     Equal vectors count as one until the end. A vector is in the cell of its nearest centre and in every cell whose
     centre is less than ``margin`` further by dot product; left out, it is 4.5 standard deviations of what two vectors
-    at the threshold can differ by, along a direction taken at random. Centres come from a bounded sample of
-    ``max_fit`` vectors; there is one for about ``cell_rows`` vectors of the largest label, ``max_cells`` at most. Cells are cut into blocks of ``block_rows``, and pairs of blocks are
-    compared, so no task holds a whole cell. Rows that repeat an id count as one more vector each.
+    at the threshold can differ by, along a direction taken at random. Cells with more than twice ``cell_rows`` vectors
+    of a label are split by ``fan`` centres or fewer, which come from bounded samples of ``max_fit`` vectors of the cell.
+    Cells are cut into blocks of ``block_rows``, and pairs of blocks are compared, so no task holds a whole cell. Rows that
+    repeat an id count as one more vector each. An empty table gives an empty result; further columns are ignored.
     """
     x = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
@@ -121,37 +185,13 @@ def embedding_near_dups(
     fit = rows.filter("fine and label is not null").select("id", "label", F.size("x").alias("dim"), F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g"), "x")
     # Equal vectors meet by a hash of their components; the label, length and two hashes stand for them from here on.
     same = ["label", "dim", "h", "g"]
-    reps = checkpoint(fit.groupBy(*same).agg(F.min("id").alias("vec"), F.count("*").alias("times"), F.first("x").alias("x")))
-    top = reps.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("total")).orderBy(F.desc("total")).first()
-    if top is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    dim = top["dim"]
-    sample = bounded_sample(reps.filter(F.col("dim") == dim).select("vec", "x"), ["vec"], max_fit, seed).toPandas()
-    unit = np.array(sample["x"].tolist())
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    k = max(1, min(math.ceil(top["most"] / cell_rows), max_cells, len(unit)))
-    centres = spherical_kmeans(unit, k, seed)
-    if margin is None:
-        margin = 4.5 * math.sqrt(2 - 2 * threshold) * math.sqrt(2) / math.sqrt(dim)
-    shared = vectors.sparkSession.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("array<int>")
-    def cells(xs: pd.Series) -> pd.Series:
-        c, out = shared.value, [[-1]] * len(xs)
-        fits = [n for n, v in enumerate(xs) if len(v) == c.shape[1]]
-        if fits:
-            y = np.array([xs[n] for n in fits])
-            near = y / np.linalg.norm(y, axis=1)[:, None] @ c.T
-            close = near >= near.max(axis=1)[:, None] - margin
-            for n, row in zip(fits, close, strict=True):
-                out[n] = np.flatnonzero(row).tolist()
-        return pd.Series(out)
-
-    placed = checkpoint(reps.select("label", "dim", "vec", "times", "x", cells("x").alias("cells")))
-    spread = placed.withColumn("cell", F.explode("cells"))
+    reps = fit.groupBy(*same).agg(F.min("id").alias("vec"), F.count("*").alias("times"), F.first("x").alias("x"))
+    reps = checkpoint(reps.withColumn("rep", F.monotonically_increasing_id()))
+    placed = _split_cells(reps.select("rep", "label", "dim", "vec", "times", "x"), threshold, margin, cell_rows, fan, max_fit, seed)
+    spread = placed.join(placed.groupBy("rep").agg(F.collect_list("cell").alias("cells")), "rep")
     counts = spread.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     spread = spread.join(sized(checkpoint(counts)), ["label", "dim", "cell"])
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = spread.withColumn("other", pair).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
     kind = dict(rows.dtypes)["id"]
