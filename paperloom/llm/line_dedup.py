@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD, checkpoint, sized, words
+from .common import WHITE, WORD, checkpoint, free_name, sized, words
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -89,13 +89,15 @@ def within_one(x: Column, y: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, exact_words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with repeated lines taken out of its text, and with _lines and _kept, their counts.
 
-    Documents are ordered by id, nulls last, and by a hash of the text where ids are equal; lines by their place. A line of ``min_words``
+    Documents are ordered by id, nulls last, and by a hash of the text where ids are equal; lines by their place. The edit
+    bound grows with the line, one word from ``min_words`` words on: a line of ``min_words``
     words or more is dropped if it equals an earlier line of the corpus, or differs from the first occurrence of an earlier line by one word. A shorter line
     of ``exact_words`` words or more (1: every line that isn't blank; left out: none) is dropped if it equals an earlier one. Other
     lines stay. White space within and around a kept line stays as it is.
 
     Rows equal in id and text count as one document and get the same result. A null text stays null, an empty one
-    empty, both with one line or none: _lines is 0 for null and 1 for empty. Other columns stay as they are.
+    empty, both with one line or none: _lines is 0 for null and 1 for empty. An empty table gives an empty result, whole
+    texts count. The other columns of ``docs`` stay as they are; where one is called _lines or _kept, the new one gets an underscore more.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col)).select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     least = min_words if exact_words is None else min(max(exact_words, 1), min_words)
@@ -114,10 +116,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = near_pairs(near).select(F.col("later").alias("id")).distinct()
     kept = firsts.select("id").join(checkpoint(later), "id", "left_anti")
     kept = checkpoint(kept.groupBy("id.doc").agg(F.collect_list("id.line").alias("_at")))
-    rows = docs.withColumn("_doc", _key(id_col, text_col))
-    rows = rows.join(kept.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")
-    rows = rows.withColumn("_split", F.split(F.col(text_col), "\n"))
-    stays = lambda x, k: ~_long(x, least) | F.coalesce(F.array_contains("_at", k), F.lit(False))
-    rows = rows.withColumn("_stay", F.filter("_split", stays))
-    rows = rows.withColumn("_lines", F.coalesce(F.array_size("_split"), F.lit(0))).withColumn("_kept", F.coalesce(F.array_size("_stay"), F.lit(0)))
-    return rows.withColumn(text_col, F.array_join("_stay", "\n")).drop("_doc", "_of", "_at", "_split", "_stay")
+    doc, of, at, split, stay, n_lines, n_kept = free_name(docs, "_doc", "_of", "_at", "_split", "_stay", "_lines", "_kept")
+    rows = docs.withColumn(doc, _key(id_col, text_col))
+    rows = rows.join(kept.withColumnsRenamed({"doc": of, "_at": at}), F.col(doc) == F.col(of), "left")
+    rows = rows.withColumn(split, F.split(F.col(text_col), "\n"))
+    # Places of lines that stay: those that are kept, and those that are never looked at. Sorted and read off, so long texts take linear time.
+    places = F.sequence(F.lit(0), F.size(split) - 1)
+    short = F.filter(places, lambda k: ~_long(F.element_at(split, k + 1), least))
+    stays = F.array_sort(F.concat(F.coalesce(at, F.array().cast("array<int>")), short))
+    rows = rows.withColumn(stay, F.when(F.col(split).isNotNull(), F.transform(stays, lambda k: F.element_at(split, k + 1))))
+    rows = rows.withColumn(n_lines, F.coalesce(F.array_size(split), F.lit(0))).withColumn(n_kept, F.coalesce(F.array_size(stay), F.lit(0)))
+    rows = rows.withColumn(text_col, F.array_join(stay, "\n"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], n_lines, n_kept)

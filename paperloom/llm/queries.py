@@ -22,26 +22,27 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
-    return found.select("page_id", "host", "path", "rule", "verdict", F.col("_blocked").alias("blocked_probability"))
+    return found.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", F.col("judged.blocked").alias("blocked_probability"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=6, exact_words=1)
     return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-#: Lines are numbered by document and place, so numbers order them as the operator does.
+#: Lines are numbered by document and place, so numbers order them as the operator does. Exact repeats of every line that
+#: isn't blank go; near ones within a word go from six words on.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(len(ls))) AS k FROM d),
 w AS (SELECT doc_id, raw, k, doc_id::HUGEINT * 1000000 + k AS id, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS ws FROM l),
-f AS (SELECT ws, min(id) AS id FROM w WHERE len(ws) >= 6 GROUP BY ws),
-g AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS j FROM f),
+f AS (SELECT ws, min(id) AS id FROM w WHERE len(ws) >= 1 GROUP BY ws),
+g AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS j FROM f WHERE len(ws) >= 6),
 gap AS (SELECT id, ws[1:j-1] || [chr(10)] || ws[j+1:] AS holed, ws[1:j-1] || ws[j+1:] AS less FROM g),
 a AS (SELECT id, min(id) OVER (PARTITION BY holed) AS first FROM gap),
-b AS (SELECT greatest(gap.id, f.id) AS id FROM gap JOIN f ON f.ws = gap.less),
+b AS (SELECT greatest(gap.id, f.id) AS id FROM gap JOIN f ON f.ws = gap.less WHERE len(f.ws) >= 6),
 gone AS (SELECT id FROM a WHERE id > first UNION SELECT id FROM b),
-s AS (SELECT w.*, len(w.ws) < 6 OR (f.id IS NOT NULL AND gone.id IS NULL) AS stays FROM w LEFT JOIN f ON f.id = w.id LEFT JOIN gone ON gone.id = w.id)
+s AS (SELECT w.*, len(w.ws) < 1 OR (f.id IS NOT NULL AND gone.id IS NULL) AS stays FROM w LEFT JOIN f ON f.id = w.id LEFT JOIN gone ON gone.id = w.id)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (stays) AS n_kept,
        md5(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (stays), '')) AS text_md5
 FROM s GROUP BY doc_id
@@ -86,10 +87,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = checkpoint(mixing.sized_rows(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_at"))
-    plan = mixing.mix_plan(rows, "doc_id", "source", (5.0, 2.0, 1.0), 3.0)
-    found = mixing.mix_sources(rows, plan)
-    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"), (5.0, 2.0, 1.0), 3.0)
+    return found.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

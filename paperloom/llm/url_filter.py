@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpoint, lower_ascii
+from .common import bounded_sample, checkpoint, free_name, lower_ascii, sized
 
 FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "has_port", "suffix_count", "suffix_blocked")
+#: Parts of the labelled URLs; a URL's blocked share of its suffix comes from the other parts, so no label tells itself.
+FOLDS = 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host and path. The host runs from the first :// to the next of / ? # and has A-Z in lower case; the path runs on to
     ? or #. Both are empty for null, or without ://."""
-    rest = F.when(F.locate("://", url) > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("url")))
-    host = F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)
-    path = F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
-    return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
+    whole = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
+    host = F.regexp_extract(url, whole, 1)
+    return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(F.regexp_extract(url, whole, 2), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -57,6 +58,47 @@ def lexical_features(df: DataFrame) -> DataFrame:
     )
 
 
+def _shares(rows: DataFrame) -> DataFrame:
+    """Rows (suffix, fold, label, ...) with suffix_count, of all rows, and suffix_blocked, of the labelled rows of other folds."""
+    part = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("bad"), F.count("label").alias("known"))
+    part = checkpoint(part.select("suffix", "fold", "n", F.coalesce("bad", F.lit(0.0)).alias("bad"), "known"))
+    whole = part.groupBy("suffix").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
+    share = (F.col("all_bad") - F.col("bad") + 0.5) / (F.col("all_known") - F.col("known") + 1.0)
+    part = part.join(whole, "suffix").select(F.col("suffix").alias("s"), F.col("fold").alias("f"), F.log1p("all").alias("suffix_count"), share.alias("suffix_blocked"))
+    return rows.join(sized(checkpoint(part)), (F.col("suffix") == F.col("s")) & (F.col("fold") == F.col("f"))).drop("s", "f")
+
+
+def url_features(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
+    """(row, url, host, path, rule, label, fold and FEATURES) of every row of ``pages``; label is 1 where a rule blocks, 0 where one allows.
+
+    fold is -1 for URLs without a label; their share comes from all labelled ones.
+    """
+    host, path = url_parts(F.col(url_col))
+    rows = pages.select(F.struct("*").alias("row"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    label = F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0)
+    fold = F.when(label.isNotNull(), F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(FOLDS)).cast("int")).otherwise(-1)
+    rows = rows.withColumns({"rule": rule, "label": label, "fold": fold})
+    return _shares(lexical_features(rows))
+
+
+def fit_trees(labelled: DataFrame, trees: int = 10, depth: int = 4, seed: int = 2) -> GBTClassificationModel | None:
+    """Boosted trees over FEATURES of rows with a label; None unless both labels occur."""
+    gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    rows = checkpoint(gather.transform(labelled.select("label", *FEATURES)).select("features", "label"))
+    if rows.select("label").distinct().count() < 2:
+        return None
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
+
+
+def score_trees(rows: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
+    """Adds blocked, the trees' probability of a block; 0 without trees."""
+    if model is None:
+        return rows.withColumn("blocked", F.lit(0.0))
+    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
+    return scored.withColumn("blocked", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
 def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str]],
@@ -65,32 +107,21 @@ def judge_urls(
     trees: int = 10,
     depth: int = 4,
     seed: int = 2,
+    out: str = "judged",
 ) -> DataFrame:
-    """Every row of ``pages`` with host, path, rule, _blocked (the trees' probability) and verdict.
+    """Adds ``out`` to ``pages``: struct<host, path, rule, blocked, verdict>, blocked being the trees' probability.
 
     The verdict is the longest fitting rule's, else the trees': block from 0.5. The trees learn from the URLs that a
     rule decides, of which a bounded sample of ``max_labelled`` is taken; counts and blocked shares of
-    suffixes come from all URLs. If the rules decide for only one verdict, or for none, the trees give 0.
+    suffixes come from all URLs, a labelled URL's share from the labels of the other ``FOLDS``. If the rules decide for only one
+    verdict, or for none, the trees give 0.
 
-    A null URL has an empty host and path and is judged by its features alone. Repeated rows get equal results, other
-    columns stay; they must not be named host, path, rule, verdict, _blocked or like a feature.
+    A null URL has an empty host and path and is judged by its features alone. Equal URLs get equal results, however often they
+    are repeated; long ones count whole; an empty table gives an empty result. The columns of ``pages`` stay; if one is
+    called ``out``, the new one gets an underscore more.
     """
-    host, path = url_parts(F.col("url"))
-    rows = pages.withColumn("url", F.col(url_col)).withColumn("host", host).withColumn("path", path)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = lexical_features(rows.withColumn("rule", rule).withColumn("_rules", verdict))
-    label = F.when(F.col("_rules") == "block", 1.0).when(F.col("_rules") == "allow", 0.0)
-    known = rows.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_count"), ((F.sum(label) + 0.5) / (F.count(label) + 1.0)).alias("suffix_blocked"))
-    known = checkpoint(known.withColumn("suffix_blocked", F.coalesce("suffix_blocked", F.lit(0.5))).withColumnRenamed("suffix", "_suffix"))
-    rows = rows.join(known, F.col("suffix") == F.col("_suffix")).drop("_suffix")
-    gather = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    labelled = bounded_sample(rows.withColumn("_label", label).filter("_label is not null").select("url", "_label", *FEATURES), ["url"], max_labelled, seed)
-    labelled = checkpoint(gather.transform(labelled).select("_features", "_label"))
-    if labelled.select("_label").distinct().count() == 2:
-        model = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed).fit(labelled)
-        scored = model.transform(gather.transform(rows)).withColumn("_blocked", vector_to_array("probability")[1])
-        scored = scored.drop("_features", "rawPrediction", "probability", "prediction")
-    else:
-        scored = rows.withColumn("_blocked", F.lit(0.0))
-    scored = scored.withColumn("verdict", F.coalesce("_rules", F.when(F.col("_blocked") >= 0.5, "block").otherwise("allow")))
-    return scored.drop("_rules", "suffix", *FEATURES)
+    rows = url_features(pages, rules, url_col)
+    labelled = bounded_sample(rows.filter("label is not null").select("url", "label", *FEATURES), ["url"], max_labelled, seed)
+    rows = score_trees(rows, fit_trees(labelled, trees, depth, seed))
+    verdict = F.coalesce(F.when(F.col("label") == 1, "block").when(F.col("label") == 0, "allow"), F.when(F.col("blocked") >= 0.5, "block").otherwise("allow"))
+    return rows.select("row.*", F.struct("host", "path", "rule", "blocked", verdict.alias("verdict")).alias(free_name(pages, out)))

@@ -30,7 +30,7 @@ def test_language_without_letters_and_empty_table(spark):
 def test_a_small_language_keeps_its_words_and_all_counts(spark):
     rows = [(k, "the cat and the dog " * 20, "en") for k in range(40)] + [(99, "zorq zorq vluk vluk cat", "xx"), (100, "α" * 70 + "βγδεζ", "el")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.fit_language_model(frame, max_words=3, max_grams=20)
+    model = language_id.fit_language_model(frame)
     assert {"the", "zorq", "vluk"} <= set(model.words)
     row = lambda w: dict(zip(model.langs, model.word_logs[model.words.index(w)], strict=True))
     assert row("cat")["xx"] - row("cat")["el"] > row("and")["xx"] - row("and")["el"] + 0.5  # its single "cat" counts
@@ -111,8 +111,8 @@ def test_quality_grades_are_ordered(spark):
 
 
 def mixed(frame):
-    rows = mixing.sized_rows(frame)
-    return mixing.mix_sources(rows, mixing.mix_plan(rows, "doc_id", "source", (5.0, 2.0, 1.0), 3.0))
+    found = mixing.mix_sources(frame, (5.0, 2.0, 1.0), 3.0)
+    return found.select(*frame.columns, *[F.col(f"mix.{c}").alias(f"_{c}") for c in ("size", "target", "taken")])
 
 
 def test_mixing_fills_like_water(spark):
@@ -145,7 +145,7 @@ def test_mixing_fills_like_water(spark):
 def test_url_parts_and_rules(spark):
     urls = ["https://WWW.Example.com/en/1?q#f", "http://example.com", "example.com/en/", None, "x://a.net/es/b#c", "x://badexample.com/en/", "y://?q", "z://example.com:8/en/"]
     frame = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
-    got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(frame, Q.URL_RULES).orderBy("page_id").collect()]
+    got = [tuple(r["judged"][c] for c in ("host", "path", "rule", "verdict")) for r in url_filter.judge_urls(frame, Q.URL_RULES).orderBy("page_id").collect()]
     assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
     assert got[1][:3] == ("example.com", "", None)
     assert got[2][:3] == got[3][:3] == ("", "", None)
