@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Blanks as page authors type them, no-break space and byte-order mark included.
 BLANK = r"[\s\x{00A0}\x{FEFF}]"
-#: A link's label may hold one level of brackets; an escaped bracket starts none.
-LINK = r"(?<!\\)!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\(([^()\n]*)\)"
+#: A link's label may hold one level of brackets; an escaped bracket starts none. Loops are possessive, as others take a stack
+#: frame a round and fail on long lines.
+LINK = r"(?<!\\)!?\[(?!\])[^\[\]\n]*+(?:\[[^\]\n]*+\][^\[\]\n]*+)*+\]\(([^)\n]*)\)"
 
 
 def trim(text: Column) -> Column:
@@ -25,9 +26,19 @@ def body(content: Column) -> Column:
     return trim(F.regexp_replace(content, r"(?s)\A---[ \t]*\n.*?(?<=\n)---[ \t]*(?:\n|\z)", ""))
 
 
+#: A line that opens or ends a code fence, of either kind and however far it is indented.
+FENCE = r"[^\S\n]*(?:```|~~~)"
+
+
+def strip_fences(text: Column) -> Column:
+    """The text without fenced blocks; each fence line starts or ends a block in turn, and the text ends one that is open."""
+    plain = F.replace(text, F.lit("\r"), F.lit(""))
+    return F.regexp_replace(plain, rf"(?m)^{FENCE}[^\n]*(?:\n(?!{FENCE})[^\n]*)*+(?:\n{FENCE}[^\n]*)?", "")
+
+
 def strip_code(text: Column) -> Column:
     """The text without fenced blocks and inline code."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?ms)^```.*?(?:^```[^\n]*$|\z)", ""), r"`[^`\n]*`", "")
+    return F.regexp_replace(strip_fences(text), r"`[^`\n]*`", "")
 
 
 def link_targets(text: Column) -> Column:
@@ -82,18 +93,105 @@ def slugify(text: Column) -> Column:
 def page_title(content: Column, path: Column) -> Column:
     """The frontmatter's title, else the first heading, else the file's stem."""
     given = F.regexp_extract(frontmatter_block(content), r"(?m)^title:[ \t]*(.*?)[ \t]*$", 1)
-    heading = F.regexp_extract(body(content), r"(?m)^# +(.+?)[ \t]*$", 1)
+    heading = F.regexp_extract(body(content), r"(?m)^[ \t]*#\s+(.+?)[ \t]*$", 1)
     stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?\z", 1)
     return F.coalesce(F.nullif(given, F.lit("")), F.nullif(heading, F.lit("")), stem)
 
 
-def summary_section(content: Column) -> Column:
-    """The first three lines of the Summary section that are no list items, in one line."""
-    section = F.regexp_extract(body(content), r"(?ms)^## Summary[ \t]*\n(.*?)(?=^## |\z)", 1)
-    lines = F.filter(F.transform(F.split(section, "\n"), trim), lambda x: (x != "") & ~F.startswith(x, F.lit("- ")))
+def section(text: Column, heading: str) -> Column:
+    """What stands below a level-two heading of a body, trimmed; of equal headings the last one's; empty without it."""
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"(?s)\n##[ \t]+{heading}[ \t]*(?=\n|\z)(.*?)(?=\n##[ \t]+[^\n]|\z)"), F.lit(1))
+    return trim(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
+
+
+def _first_three(lines: Column) -> Column:
     return F.array_join(F.slice(lines, 1, 3), " ")
 
 
+def summary_section(content: Column, fallback: Column | None = None) -> Column:
+    """The first three lines of the Summary section that are no list items, in one line.
+
+    Without such lines, the body's first three lines that are neither headings nor list items, its title aside;
+    without those, ``fallback``, else an empty text.
+    """
+    text = body(content)
+    said = F.filter(content_lines(section(text, "Summary")), lambda x: ~F.startswith(x, F.lit("- ")))
+    prose = F.filter(content_lines(strip_leading_title(text)), lambda x: ~x.rlike(r"\A(?:###?|[-*])\s"))
+    last = F.lit("") if fallback is None else fallback
+    return F.when(F.size(said) > 0, _first_three(said)).when(F.size(prose) > 0, _first_three(prose)).otherwise(last)
+
+
+def intro(text: Column) -> Column:
+    """A body's first line that is no heading, no comment and not blank, its blanks squeezed; empty if there is none."""
+    lines = F.filter(content_lines(text), lambda x: ~x.rlike(r"\A(?:#|<!--)"))
+    return F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), r"\s+", " ")
+
+
+def stem(path: Column) -> Column:
+    """The file's name without .result.md or .md."""
+    return F.regexp_replace(F.regexp_replace(F.substring_index(path, "/", -1), r"\.result\.md\z", ""), r"\.md\z", "")
+
+
+def humanize(slug: Column) -> Column:
+    """Hyphens and underscores as blanks; Untitled for nothing."""
+    words = trim(F.regexp_replace(F.coalesce(slug, F.lit("")), "[-_]+", " "))
+    return F.when(words == "", "Untitled").otherwise(words)
+
+
+def file_slug(text: Column) -> Column:
+    """A name for files: lower case, without .result, runs of other characters than letters, digits, dots, underscores and
+    hyphens as single hyphens; untitled for nothing."""
+    low = F.regexp_replace(F.lower(trim(F.coalesce(text, F.lit("")))), r"\.result\z", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9._-]+", "-"), "-+", "-"), r"\A-|-\z", "")
+    return F.when(bare == "", "untitled").otherwise(bare)
+
+
+def path_parts(path: Column) -> Column:
+    """P25: struct (dir, name, ext, depth): ext in lower case and without its dot, depth the number of folders above."""
+    name = F.substring_index(path, "/", -1)
+    ext = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
+    return F.struct(directory(path).alias("dir"), name.alias("name"), ext.alias("ext"), (F.size(F.split(path, "/")) - 1).alias("depth"))
+
+
+def blob_sha1(content: Column) -> Column:
+    """The name of a blob: SHA-1 of its length and bytes; content is binary."""
+    return F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length(content).cast("string")).cast("binary"), F.lit(b"\x00"), content))
+
+
+def stamp_key(path: Column, millis: Column) -> Column:
+    """SHA-1 of path and time, which tells whether a version was taken before."""
+    return F.sha1(F.concat(path, F.lit(":"), millis.cast("string")).cast("binary"))
+
+
+def region(text: Column, name: str) -> Column:
+    """What stands between the start and end markers of a generated region, trimmed; null without both."""
+    form = rf"(?s)<!-- {name}:start -->\n?(.*?)\n?<!-- {name}:end -->"
+    plain = F.regexp_replace(text, r"\r\n?", "\n")
+    return F.when(plain.rlike(form), trim(F.regexp_extract(plain, form, 1)))
+
+
+def strip_region(text: Column, name: str) -> Column:
+    """The text without the first region, markers included; as it is without both markers."""
+    form = rf"(?s)\A(.*?)<!-- {name}:start -->.*?<!-- {name}:end -->"
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), form, "$1")
+
+
+def replace_region(text: Column, name: str, inside: Column, heading: str) -> Column:
+    """The text with ``inside`` between its first start and last end marker; without both, with a new region below ``heading``."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\s\x{00A0}\x{FEFF}]+\z", "")
+    block = F.concat(F.lit(f"<!-- {name}:start -->\n"), trim(F.regexp_replace(inside, r"\r\n?", "\n")), F.lit(f"\n<!-- {name}:end -->"))
+    form = rf"(?s)<!-- {name}:start -->.*<!-- {name}:end -->"
+    safe = F.replace(F.replace(block, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    put = F.regexp_replace(plain, F.lit(form), safe)
+    return F.concat(F.when(plain.rlike(form), put).otherwise(F.concat(plain, F.lit(f"\n\n## {heading}\n\n"), block)), F.lit("\n"))
+
+
+def region_targets(inside: Column) -> Column:
+    """The cleaned targets of the list lines of a region, sorted; labels may hold brackets."""
+    found = F.regexp_extract_all(inside, F.lit(r"(?m)^\s*-\s+\[.+?\]\(([^)]+)\)(?=\s+—|\s*$)"), F.lit(1))
+    return F.array_sort(F.filter(F.transform(found, clean_target), lambda x: x != ""))
+
+
 def ancestors(path: Column) -> Column:
     """The folders above a path, the root (an empty string) first."""
     parts = F.split(directory(path), "/")
@@ -168,10 +266,11 @@ def ledger_line(at: Column, fields: dict[str, Column]) -> Column:
 def parse_ledger_line(line: Column) -> Column:
     """Struct (at, fields) of a ledger line; null for other lines."""
     parts = F.split(F.regexp_replace(line, r"\A- ", ""), r" \| ")
-    pairs = F.filter(F.slice(parts, 2, 10_000), lambda x: F.contains(x, F.lit("=")))
-    split = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, r"\A[^=]*=", "").alias("v")))
-    last = F.filter(split, lambda x, k: ~F.array_contains(F.transform(F.slice(split, k + 2, F.size(split)), lambda y: y["k"]), x["k"]))
-    return F.when(F.startswith(line, F.lit("- ")), F.struct(parts[0].alias("at"), F.map_from_entries(last).alias("fields")))
+    pairs = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.contains(x, F.lit("=")))
+    split = F.transform(pairs, lambda x, k: F.struct(F.substring_index(x, "=", 1).alias("k"), (-k).alias("at"), F.regexp_replace(x, r"\A[^=]*=", "").alias("v")))
+    ranked = F.array_sort(split)  # equal keys together, the last of them first
+    last = F.filter(ranked, lambda x, k: (k == 0) | ~F.get(ranked, k - 1)["k"].eqNullSafe(x["k"]))
+    return F.when(F.startswith(line, F.lit("- ")), F.struct(parts[0].alias("at"), F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))).alias("fields")))
 
 
 def is_placeholder(text: Column) -> Column:
@@ -185,6 +284,12 @@ def is_date(text: Column) -> Column:
     return F.coalesce(day.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
+def is_datetime(text: Column) -> Column:
+    """a day, the letter T and a time, as a cast to a timestamp takes it; false for null."""
+    moment = trim(text)
+    return F.coalesce(moment.rlike(r"\d{4}-\d{2}-\d{2}T") & moment.try_cast("timestamp").isNotNull(), F.lit(False))
+
+
 def is_integer(text: Column, least: int | None = None, exact: int | None = None) -> Column:
     """a whole number, not below ``least`` and equal to ``exact`` where given; false for null."""
     n = trim(text).try_cast("decimal(38, 6)")
