@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: A key whose value is blank takes the list lines that follow it at once; any other value stands on the key's line.
 _DERIVED = r"(?md)^([A-Za-z0-9_-]+):(?:[ \t]*$((?:\n[ \t]*-[ \t]*[^\s].*)*+)|[ \t]*(.*?)[ \t]*$)"
 _CHECKED = r"(?md)^([^:\n]*):(?:[ \t]*$((?:\n[ \t]*-[ \t]*[^\s].*)*+)|[ \t]*(.*?)[ \t]*$)"
@@ -17,21 +21,28 @@ def unix_lines(text: Column) -> Column:
 def split_derived(content: Column) -> Column:
     """struct (has, block, body) as pages are derived: both fences may have blanks around them, and both must be there."""
     form = r"(?sd)\A[ \t]*---[ \t]*\n((?:(?![ \t]*---[ \t]*(?:\n|\z))[^\n]*\n)*+)[ \t]*---[ \t]*(?:\n(.*))?\z"
-    text = unix_lines(content)
-    has = text.rlike(form)
     trim = lambda x: F.regexp_replace(x, r"\A[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+\z", "")
-    body = F.when(has, F.regexp_extract(text, form, 2)).otherwise(text)
-    return F.struct(has.alias("has"), F.when(has, F.regexp_extract(text, form, 1)).otherwise("").alias("block"), trim(body).alias("body"))
+
+    def of(text: Column) -> Column:
+        has = text.rlike(form)
+        return F.when(has, F.struct(F.lit(True).alias("has"), F.regexp_extract(text, form, 1).alias("block"), trim(F.regexp_extract(text, form, 2)).alias("body"))).otherwise(
+            F.struct(F.lit(False).alias("has"), F.lit("").alias("block"), trim(text).alias("body"))
+        )
+
+    return let(unix_lines(content), of)
 
 
 def split_checked(content: Column) -> Column:
     """struct (has, block, body) as pages are checked: the first line is exactly ---, and a missing end is the text's end."""
-    text = F.replace(F.coalesce(content, F.lit("")), F.lit("\r"), F.lit(""))
-    has = text.rlike(r"\A---(?:\n|\z)")
-    ended = text.rlike(r"(?s)\A---\n(?:.*?\n)??---(?:\n|\z)")
-    block = F.when(ended, F.regexp_extract(text, r"(?s)\A---\n((?:.*?\n)??)---(?:\n|\z)", 1)).otherwise(F.regexp_extract(text, r"(?s)\A---\n?(.*)\z", 1))
-    body = F.when(ended, F.regexp_extract(text, r"(?s)\A---\n(?:.*?\n)??---(?:\n(.*))?\z", 1)).otherwise("")
-    return F.struct(has.alias("has"), F.when(has, block).otherwise("").alias("block"), F.regexp_replace(F.when(has, body).otherwise(text), r"\A\n+", "").alias("body"))
+
+    def of(text: Column) -> Column:
+        ended = r"(?s)\A---\n((?:.*?\n)??)---(?:\n(.*))?\z"
+        part = lambda n: F.regexp_extract(text, ended, n)
+        body = lambda x: F.regexp_replace(x, r"\A\n+", "")
+        row = lambda has, block, rest: F.struct(F.lit(has).alias("has"), block.alias("block"), body(rest).alias("body"))
+        return F.when(text.rlike(ended), row(True, part(1), part(2))).when(text.rlike(r"\A---(?:\n|\z)"), row(True, F.regexp_replace(text, r"\A---\n?", ""), F.lit(""))).otherwise(row(False, F.lit(""), text))
+
+    return let(F.replace(F.coalesce(content, F.lit("")), F.lit("\r"), F.lit("")), of)
 
 
 def _between(x: Column) -> Column:
@@ -55,8 +66,8 @@ def _bare(value: Column) -> Column:
 
 def _last_of_each(rows: Column) -> Column:
     """Of rows with equal keys the last one, at the place of the first."""
-    keys = F.array_distinct(F.transform(rows, lambda r: r["key"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(rows, lambda r: r["key"] == k), -1))
+    keys = lambda rs: F.array_distinct(F.transform(rs, lambda r: r["key"]))
+    return let(rows, lambda rs: F.transform(keys(rs), lambda k: F.element_at(F.filter(rs, lambda r: r["key"] == k), -1)))
 
 
 def _rows(block: Column, pattern: str) -> Column:
@@ -95,10 +106,14 @@ def field(fields: Column, key: str) -> Column:
     return F.get(F.filter(fields, lambda r: r["key"] == key), F.lit(0))
 
 
+def bare_text(raw: Column) -> Column:
+    """A value of the checked dialect without the quotes around it."""
+    return F.when((F.length(raw) >= 2) & (_wrapped(raw, '"') | _wrapped(raw, "'")), F.trim(_between(raw))).otherwise(raw)
+
+
 def checked_text(fields: Column, key: str) -> Column:
     """A field of the checked dialect without quotes around it; empty if it is missing or a list."""
-    raw = F.trim(F.coalesce(field(fields, key)["text"], F.lit("")))
-    return F.when((F.length(raw) >= 2) & (_wrapped(raw, '"') | _wrapped(raw, "'")), F.trim(_between(raw))).otherwise(raw)
+    return let(F.trim(F.coalesce(field(fields, key)["text"], F.lit(""))), bare_text)
 
 
 def _item(x: Column) -> Column:
@@ -125,21 +140,29 @@ def upsert(content: Column, fields: dict[str, Column]) -> Column:
     A field that is there is replaced in its place, with the list lines below it; others follow at the end of the block.
     A page without a block, or with one that has no end, gets a new one on top.
     """
-    text = F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n"))
     form = r"(?sd)\A[^\S\n]*---[^\S\n]*\n((?:(?![^\S\n]*---[^\S\n]*(?:\n|\z))[^\n]*\n)*+)[^\S\n]*---[^\S\n]*(?:\n(.*))?\z"
     new = {k: F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()}
-    block = F.regexp_replace(F.regexp_extract(text, form, 1), r"\n\z", "")
-    for key, line in new.items():
-        there = block.rlike(rf"(?md)^{key}:")
+    minted = F.concat(F.lit("---\n"), F.concat_ws("\n", *new.values()), F.lit("\n---\n\n"))
+
+    def put(block: Column, key: str, line: Column) -> Column:
         safe = F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         inside = F.regexp_replace(block, F.lit(rf"(?sd)\A((?:.*?\n)??){key}:[^\n]*(?:\n[^\S\n]*-[^\S\n]+[^\n]*)*+"), F.concat(F.lit("$1"), safe))
-        block = F.when(there, inside).when(block == "", line).otherwise(F.concat(block, F.lit("\n"), line))
-    minted = F.concat(F.lit("---\n"), F.concat_ws("\n", *new.values()), F.lit("\n---\n\n"))
-    return (
-        F.when(text.rlike(form), F.concat(F.lit("---\n"), block, F.lit("\n---\n"), F.regexp_extract(text, form, 2)))
-        .when(text.rlike(r"\A[^\S\n]*---[^\S\n]*(?:\n|\z)"), F.concat(minted, F.regexp_replace(text, r"\A---\n?", "")))
-        .otherwise(F.concat(minted, F.regexp_replace(text, r"\A\n+", "")))
-    )
+        return F.when(block.rlike(rf"(?md)^{key}:"), inside).when(block == "", line).otherwise(F.concat(block, F.lit("\n"), line))
+
+    def step(key: str, line: Column) -> Callable[[Column], Column]:
+        return lambda block: put(block, key, line)
+
+    def of(text: Column) -> Column:
+        block = F.regexp_replace(F.regexp_extract(text, form, 1), r"\n\z", "")
+        for key, line in new.items():
+            block = let(block, step(key, line))
+        return (
+            F.when(text.rlike(form), F.concat(F.lit("---\n"), block, F.lit("\n---\n"), F.regexp_extract(text, form, 2)))
+            .when(text.rlike(r"\A[^\S\n]*---[^\S\n]*(?:\n|\z)"), F.concat(minted, F.regexp_replace(text, r"\A---\n?", "")))
+            .otherwise(F.concat(minted, F.regexp_replace(text, r"\A\n+", "")))
+        )
+
+    return let(F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n")), of)
 
 
 def sources(fields: Column) -> Column:

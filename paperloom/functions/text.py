@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,20 @@ BLANK = r"[\s\x{00A0}\x{FEFF}]"
 LINK = r"(?<!\\)!?\[(?!\])[^\[\]\n]*+(?:\[[^\]\n]*+\][^\[\]\n]*+)*+\]\(([^)\n]*)\)"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value computed once, however often ``of`` uses it, inside other lambdas too."""
+    return F.transform(F.array(value), of)[0]
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
+def trim_carriage(text: Column) -> Column:
+    """The text with line feeds as its only line ends."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
 def frontmatter_block(content: Column) -> Column:
     """The lines between the page's first --- and the next; empty without either."""
     return F.regexp_extract(content, r"(?s)\A---[ \t]*\n(.*?)(?<=\n)---[ \t]*(?:\n|\z)", 1)
@@ -114,11 +126,15 @@ def summary_section(content: Column, fallback: Column | None = None) -> Column:
     Without such lines, the body's first three lines that are neither headings nor list items, its title aside;
     without those, ``fallback``, else an empty text.
     """
-    text = body(content)
-    said = F.filter(content_lines(section(text, "Summary")), lambda x: ~F.startswith(x, F.lit("- ")))
-    prose = F.filter(content_lines(strip_leading_title(text)), lambda x: ~x.rlike(r"\A(?:###?|[-*])\s"))
+    return let(body(content), lambda text: summary_of(text, section(text, "Summary"), fallback))
+
+
+def summary_of(text: Column, summary: Column, fallback: Column | None = None) -> Column:
+    """P4, of a body and its Summary section."""
     last = F.lit("") if fallback is None else fallback
-    return F.when(F.size(said) > 0, _first_three(said)).when(F.size(prose) > 0, _first_three(prose)).otherwise(last)
+    said = F.filter(content_lines(summary), lambda x: ~F.startswith(x, F.lit("- ")))
+    prose = lambda: F.filter(content_lines(strip_leading_title(text)), lambda x: ~x.rlike(r"\A(?:###?|[-*])\s"))
+    return let(said, lambda a: F.when(F.size(a) > 0, _first_three(a)).otherwise(let(prose(), lambda p: F.when(F.size(p) > 0, _first_three(p)).otherwise(last))))
 
 
 def intro(text: Column) -> Column:
@@ -167,7 +183,7 @@ def region(text: Column, name: str) -> Column:
     """What stands between the start and end markers of a generated region, trimmed; null without both."""
     form = rf"(?s)<!-- {name}:start -->\n?(.*?)\n?<!-- {name}:end -->"
     plain = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.when(plain.rlike(form), trim(F.regexp_extract(plain, form, 1)))
+    return let(plain, lambda x: F.when(x.rlike(form), trim(F.regexp_extract(x, form, 1))))
 
 
 def strip_region(text: Column, name: str) -> Column:
@@ -179,6 +195,10 @@ def strip_region(text: Column, name: str) -> Column:
 def replace_region(text: Column, name: str, inside: Column, heading: str) -> Column:
     """The text with ``inside`` between its first start and last end marker; without both, with a new region below ``heading``."""
     plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\s\x{00A0}\x{FEFF}]+\z", "")
+    return let(plain, lambda plain: _put_region(plain, name, inside, heading))
+
+
+def _put_region(plain: Column, name: str, inside: Column, heading: str) -> Column:
     block = F.concat(F.lit(f"<!-- {name}:start -->\n"), trim(F.regexp_replace(inside, r"\r\n?", "\n")), F.lit(f"\n<!-- {name}:end -->"))
     form = rf"(?s)<!-- {name}:start -->.*<!-- {name}:end -->"
     safe = F.replace(F.replace(block, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))

@@ -1,6 +1,7 @@
 """The registered queries of the document-corpus operators and their SQL."""
 
-from . import changes, history, pages, streams
+from . import changes, history, indexes, pages, rules, streams
 
-QUERIES = pages.QUERIES | history.QUERIES | changes.QUERIES | streams.QUERIES
-ORACLES = pages.ORACLES | history.ORACLES | changes.ORACLES | streams.ORACLES
+_PARTS = (pages, indexes, rules, history, changes, streams)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

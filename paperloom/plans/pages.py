@@ -9,6 +9,8 @@ from paperloom.operators import pages as P
 from paperloom.operators import snapshots as S
 from paperloom.sources import corpus as C
 
+from paperloom.storage import checkpoint
+
 from .history import read
 
 QUERIES, ORACLES = {}, {}
@@ -24,16 +26,8 @@ def query(name: str, sql: str):
     return add
 
 
-def checkpoint(df):
-    """df in the shared folder of spark.checkpoint.dir; a local folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def with_root(spark, d):
-    return C.generated_pages(spark, d).select("store", "path").union(C.generated_indexes(spark, d).select("store", "path"))
+    return C.generated_pages(spark, d).select("store", "path").union(C.generated_index_lines(spark, d).select("store", "path").distinct())
 
 
 @query("broken_links", f"WITH {D} SELECT store, path, {NEXT} AS target FROM d, m WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id + 20 > last")
@@ -94,7 +88,7 @@ def _(spark, d):
 
 @query("unreachable_pages", f"WITH {D} SELECT store, path FROM d WHERE substr(source, 4)::INT % 4 = 0 OR doc_id % 37 = 0 UNION ALL SELECT DISTINCT store, concat('domains/', source, '/README.md') FROM d WHERE substr(source, 4)::INT % 4 = 0")
 def _(spark, d):
-    edges = checkpoint(P.links(C.generated_indexes(spark, d)).select("store", "path", F.col("resolved").alias("to")))
+    edges = checkpoint(P.links(C.generated_index_lines(spark, d)).select("store", "path", F.col("resolved").alias("to")))
     files = with_root(spark, d)
     return files.join(P.reachable(edges, files.filter("path = 'README.md'"), checkpoint), ["store", "path"], "left_anti")
 
@@ -135,9 +129,9 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(X.html_to_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-@query("slugs", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("slugs", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query("case_collisions", f"WITH {D} SELECT lower(path) AS key, 2::BIGINT AS spellings FROM d WHERE doc_id % 29 = 0")

@@ -13,6 +13,14 @@ def read_tree(spark: SparkSession, root: str, store: str) -> DataFrame:
     return files.filter(~F.col("path").rlike(r"(^|/)(\.[^/]*|node_modules)/"))
 
 
+def scan_pages(pages: DataFrame, profile) -> DataFrame:
+    """The pages that a scan takes: none in hidden folders, archives, plans or buckets."""
+    from paperloom.operators.indexes import page_class
+
+    kind = page_class(F.col("path"), profile)
+    return pages.filter(~(kind["hidden"] | kind["archive"] | kind["plans"] | kind["bucket"]))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, id_col: str) -> DataFrame:
     """An append log; unreadable lines and rows without an id are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(id_col).isNotNull())
@@ -36,17 +44,37 @@ def generated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.expr(STORE).alias("store"), F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"))
 
 
-def generated_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(store, path, content) of the index pages: one per folder, and a root that leaves every 4th folder out.
-
-    A folder's list is folded per folder; at scale a folder's children are a bounded share of a store.
-    """
+def generated_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(store, path, content): the index pages of ``generated_pages``, line by line; the root leaves every 4th folder out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folders = docs.select(F.expr(STORE).alias("store"), "source", "doc_id")
+    rows = docs.select(F.expr(STORE).alias("store"), "source", "doc_id")
     line = F.concat(F.lit("- [Page "), F.col("doc_id"), F.lit("](d"), F.col("doc_id"), F.lit(".md)"))
-    lines = folders.filter("doc_id % 37 <> 0").groupBy("store", "source").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    inner = lines.select("store", F.concat(F.lit("domains/"), F.col("source"), F.lit("/README.md")).alias("path"), F.concat(F.lit("# Index\n"), F.col("lines"), F.lit("\n")).alias("content"))
-    named = folders.select("store", "source").distinct().filter("cast(substring(source, 4) as int) % 4 <> 0")
+    inner = rows.filter("doc_id % 37 <> 0").select("store", F.concat(F.lit("domains/"), F.col("source"), F.lit("/README.md")).alias("path"), line.alias("content"))
+    named = rows.select("store", "source").distinct().filter("cast(substring(source, 4) as int) % 4 <> 0")
     line = F.concat(F.lit("- ["), F.col("source"), F.lit("](domains/"), F.col("source"), F.lit("/README.md)"))
-    root = named.groupBy("store").agg(F.concat(F.lit("# Root\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content"))
-    return inner.unionByName(root.select("store", F.lit("README.md").alias("path"), "content"))
+    return inner.unionByName(named.select("store", F.lit("README.md").alias("path"), line.alias("content")))
+
+
+#: Pages in folders of twenty: domains/<source>/b<n>/c<n>/d<id>.md. Titles, descriptions and summaries come and go with the id.
+CUT = "CAST(floor(doc_id / {}) AS BIGINT)"
+DEEP_DIR = f"concat('domains/', source, '/b', {CUT.format(40000)}, '/c', {CUT.format(400)})"
+DEEP_CONTENT = """concat('---', chr(10), CASE WHEN doc_id % 6 = 1 THEN '' ELSE concat('title: Page ', doc_id, chr(10)) END,
+CASE doc_id % 4 WHEN 0 THEN concat('description: About ', doc_id, '.', chr(10)) WHEN 3 THEN concat('description: (draft)', chr(10)) ELSE '' END, 'status: open', chr(10), '---', chr(10), chr(10), '# Head ', doc_id, chr(10), chr(10),
+CASE WHEN doc_id % 4 = 1 THEN concat('## Summary', chr(10), 'Sum of ', doc_id, ' with [next](d', doc_id + 20, '.md#top).', chr(10), chr(10)) WHEN doc_id % 4 = 2 THEN concat('Prose ', doc_id, '.', chr(10), chr(10)) ELSE '' END,
+'## Details', chr(10), '- ', replace(text, chr(10), concat(chr(10), '- ')), chr(10))"""
+
+
+def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(store, path, content): those pages, and index pages of two folders in three, without every 37th page and with a stray link in some.
+
+    An index page gathers twenty lines at most.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, number = F.expr(DEEP_DIR), F.expr(CUT.format(400))
+    pages = docs.select(F.expr(STORE).alias("store"), F.concat(folder, F.lit("/d"), F.col("doc_id"), F.lit(".md")).alias("path"), F.expr(DEEP_CONTENT).alias("content"))
+    line = F.when(F.col("doc_id") % 37 != 0, F.concat(F.lit("- [P](d"), F.col("doc_id"), F.lit(".md) — old")))
+    lines = docs.groupBy(F.expr(STORE).alias("store"), folder.alias("dir"), number.alias("c"), "source").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    stray = F.when(F.col("c") % 5 == 0, "\n- [gone](gone.md) — old").otherwise("")
+    head = F.concat(F.lit("# Index "), F.col("c"), F.lit("\n\nFolder "), F.col("c"), F.lit(" of "), F.col("source"), F.lit(".\n\n<!-- index:start -->\n"))
+    text = F.concat(head, F.col("lines"), stray, F.lit("\n<!-- index:end -->\n"))
+    return pages.unionByName(lines.filter("c % 3 <> 2").select("store", F.concat("dir", F.lit("/README.md")).alias("path"), text.alias("content")))

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions import text as X
+from paperloom.storage import shared_root
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is not set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
