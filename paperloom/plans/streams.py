@@ -36,10 +36,27 @@ def _(spark, d):
 
 @query("stream_growth_alarm", f"""WITH {EV}, b AS (SELECT event_type, s // 600 * 600 AS bucket, count(*) AS f, sum(bytes)::BIGINT AS b FROM e GROUP BY ALL),
 r AS (SELECT event_type, bucket, sum(f) OVER w ::BIGINT AS files, sum(b) OVER w ::BIGINT AS bytes FROM b WINDOW w AS (PARTITION BY event_type ORDER BY bucket RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)),
-a AS (SELECT *, files >= 70 OR bytes >= 2000000 AS alarm FROM r), g AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bucket) - row_number() OVER (PARTITION BY event_type, alarm ORDER BY bucket) AS g FROM a)
-SELECT event_type, bucket, files, bytes, CASE WHEN alarm THEN min(bucket) OVER (PARTITION BY event_type, alarm, g) END AS since FROM g""")
+a AS (SELECT *, files >= 70 OR bytes >= 2000000 AS alarm FROM r), g AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bucket) - row_number() OVER (PARTITION BY event_type, alarm ORDER BY bucket) AS g FROM a),
+c AS (SELECT event_type, bucket, files, bytes, CASE WHEN alarm THEN min(bucket) OVER (PARTITION BY event_type, alarm, g) END AS since FROM g) SELECT c.* FROM c, (SELECT max(epoch(ts)) AS last FROM events) WHERE bucket + 600 <= last - 600""")
 def _(spark, d):
-    return L.drain(L.growth_alarm(events(spark, d), "event_type", "s", "bytes", 70, 2_000_000))
+    return L.drain(L.growth_alarm(events(spark, d), "event_type", "ts", "bytes", 70, 2_000_000))
+
+
+#: A scan of a user's store at each of the user's events, in which changes of the last days are open.
+@query("stream_uncollected", f"""WITH {EV}, x AS (SELECT user_id % 20 AS store, s, count(*) FILTER (event_id % 7 < 5) AS n FROM e GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY s) - row_number() OVER (PARTITION BY store, n > 0 ORDER BY s) AS g FROM x),
+o AS (SELECT store, s AS scan, n, CASE WHEN n > 0 THEN min(s) OVER (PARTITION BY store, n > 0, g) END AS since FROM g) SELECT store, scan, n, since, coalesce(scan - since >= 3600, false) AS active FROM o, (SELECT max(epoch(ts)) AS last FROM events) WHERE scan + 1 <= last - 600""")
+def _(spark, d):
+    changed = F.when(F.expr("event_id % 7 < 5"), F.col("ts") - F.expr("interval 1 hour"))
+    rows = events(spark, d).select(F.expr("user_id % 20").alias("store"), "ts", changed.alias("changed"))
+    return L.drain(L.uncollected_alarm(rows, "store", "ts", "changed"))
+
+
+@query("stream_enrich_queue", None)
+def _(spark, d):
+    name = F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'queued' WHEN 'purchase' THEN 'tick' WHEN 'error' THEN 'failed' ELSE 'tick' END")
+    rows = events(spark, d).select(F.expr("user_id % 20").alias("store"), F.col("s").alias("at_s"), name.alias("event"), F.concat(F.lit("p"), F.expr("user_id % 50")).alias("page"))
+    return L.drain(L.enrich_queue(rows, "store", "at_s", "event", "page"))
 
 
 @query("stream_ready_paths", None)
@@ -80,7 +97,7 @@ def _(spark, d):
     return L.ingest_once(L.read_log(spark, f"{d}/documents.parquet"), "text", "doc_id")
 
 
-@query("stream_affected_indexes", f"WITH d AS (SELECT {C.STORE} AS store, source FROM documents WHERE doc_id % 10 = 3) SELECT DISTINCT store, unnest(['README.md', 'domains/README.md', concat('domains/', source, '/README.md')]) AS path FROM d")
+@query("stream_affected_indexes", f"WITH d AS (SELECT {C.STORE} AS store, source FROM documents) SELECT DISTINCT store, unnest(['README.md', 'domains/README.md', concat('domains/', source, '/README.md')]) AS path FROM d")
 def _(spark, d):
-    changed = L.read_log(spark, f"{d}/documents.parquet").filter("doc_id % 10 = 3").select(F.expr(C.STORE).alias("store"), F.expr(C.PATH).alias("path"))
+    changed = L.read_log(spark, f"{d}/documents.parquet").select(F.expr(C.STORE).alias("store"), F.expr(C.PATH).alias("path"))
     return L.drain(L.affected_indexes(changed))

@@ -64,40 +64,150 @@ def clamp_future(at: Column, seen: Column, ahead: str = "5 minutes") -> Column:
     return F.when(at > seen + F.expr(f"interval {ahead}"), seen).otherwise(at)
 
 
-def growth_alarm(stream: DataFrame, key: str, seconds: str, size: str, most_files: int, most_bytes: int, bucket: int = 600, span: int = 86_400) -> DataFrame:
-    """ST3: (key, bucket, files, bytes, since) of the trailing span after every new bucket.
+def _summed(stream: DataFrame, key: str, at: str, bucket: int, delay: str, n: Column, size: Column) -> DataFrame:
+    """(key, bucket, n, size, last): the stream's rows summed by key and bucket of seconds within each Arrow batch, before anything
+    moves, so that what reaches a key's state grows with its buckets rather than its rows. last carries the watermark."""
+    kind = dict(stream.select(key).dtypes)[key]
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby(["k", "bucket"], as_index=False, dropna=False).agg(n=("n", "sum"), size=("size", "sum"), last=("last", "max"))
+
+    rows = stream.filter(F.col(at).isNotNull())
+    rows = rows.select(F.col(key).alias("k"), (F.floor(F.unix_timestamp(at) / bucket) * bucket).cast("long").alias("bucket"), n.cast("long").alias("n"), size.cast("long").alias("size"), F.col(at).alias("last"))
+    rows = rows.mapInPandas(sums, f"k {kind}, bucket long, n long, size long, last timestamp")
+    return rows.withWatermark("last", delay).withColumnRenamed("k", key)
+
+
+def _ripe(frames: Iterator[pd.DataFrame], state: GroupState, waiting: dict[int, list[int]], bucket: int) -> list[tuple[int, int, int]]:
+    """Adds rows of ``_summed`` to ``waiting`` and takes out the buckets that the watermark has passed, in order."""
+    for frame in frames:
+        for b, n, size in zip(frame["bucket"], frame["n"], frame["size"], strict=True):
+            have = waiting.setdefault(int(b), [0, 0])
+            have[0] += int(n)
+            have[1] += int(size)
+    now = state.getCurrentWatermarkMs()
+    done = sorted(b for b in waiting if (b + bucket) * 1000 <= now)
+    return [(b, *waiting.pop(b)) for b in done]
+
+
+def growth_alarm(stream: DataFrame, key: str, at: str, size: str, most_files: int, most_bytes: int, delay: str = "10 minutes", bucket: int = 600, span: int = 86_400) -> DataFrame:
+    """ST3: (key, bucket, files, bytes, since) of the trailing span after every bucket that has rows.
 
     since is the first bucket of the alarm that is on, else null; the alarm is on from ``most_files`` files or
-    ``most_bytes`` bytes. Rows of an already reported bucket still count in later sums. Null times are left out.
+    ``most_bytes`` bytes. A bucket is reported once the watermark has passed it, with all its rows, so the way rows are cut
+    into batches makes no difference; rows that come later still are left out. The state of a key is the
+    sums of one span; it goes once the key has been silent for that long. Null times are left out.
     """
     kind = dict(stream.select(key).dtypes)[key]
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, files, sizes, since, told = state.get if state.exists else ([], [], [], None, -1)
-        sums = {a: [f, b] for a, f, b in zip(starts, files, sizes, strict=True)}
-        for frame in frames:
-            at = frame[seconds] // bucket * bucket
-            for a, part in frame[size].groupby(at):
-                have = sums.setdefault(int(a), [0, 0])
-                have[0] += len(part)
-                have[1] += int(part.sum())
-        out, f, b, old = [], 0, 0, sorted(sums)
-        tail = 0
-        for a in old:
-            f, b = f + sums[a][0], b + sums[a][1]
-            while old[tail] <= a - span:
-                f, b, tail = f - sums[old[tail]][0], b - sums[old[tail]][1], tail + 1
-            if a > told:
-                since = (a if since is None else since) if f >= most_files or b >= most_bytes else None
-                out.append((k[0], a, f, b, since))
-        keep = [a for a in old if a > old[-1] - span] if old else []
-        state.update((keep, [sums[a][0] for a in keep], [sums[a][1] for a in keep], since, max(old[-1], told) if old else told))
+        starts, files, sizes, told, since = state.get if state.exists else ([], [], [], -1, None)
+        sums = {a: [f, n] for a, f, n in zip(starts, files, sizes, strict=True)}
+        waiting = {a: sums.pop(a) for a in list(sums) if a > told}
+        out = []
+        for b, f, n in _ripe(() if state.hasTimedOut else frames, state, waiting, bucket):
+            if b <= told:
+                continue
+            sums = {a: v for a, v in sums.items() if a > b - span} | {b: [f, n]}
+            f, n = sum(v[0] for v in sums.values()), sum(v[1] for v in sums.values())
+            since = (b if since is None else since) if f >= most_files or n >= most_bytes else None
+            told = b
+            out.append((k[0], b, f, n, since))
+        now = state.getCurrentWatermarkMs()
+        if not waiting and told >= 0 and now >= (told + bucket + span) * 1000:
+            state.remove()
+        else:
+            kept = sorted(sums | waiting)
+            both = sums | waiting
+            state.update((kept, [both[a][0] for a in kept], [both[a][1] for a in kept], told, since))
+            due = min(waiting) + bucket if waiting else told + bucket + span
+            state.setTimeoutTimestamp(max(due * 1000, now + 1))
         yield pd.DataFrame(out, columns=[key, "bucket", "files", "bytes", "since"]).astype({"since": "Int64"})
 
-    rows = stream.filter(F.col(seconds).isNotNull()).select(key, seconds, F.coalesce(size, F.lit(0)).cast("long").alias(size))
+    rows = _summed(stream, key, at, bucket, delay, F.lit(1), F.coalesce(size, F.lit(0)))
     result = f"{key} {kind}, bucket long, files long, bytes long, since long"
-    kept = "starts array<long>, files array<long>, bytes array<long>, since long, told long"
-    return rows.groupBy(key).applyInPandasWithState(fold, result, kept, "append", GroupStateTimeout.NoTimeout)
+    kept = "starts array<long>, files array<long>, bytes array<long>, told long, since long"
+    return rows.groupBy(key).applyInPandasWithState(fold, result, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def uncollected_alarm(stream: DataFrame, key: str, at: str, changed: str, age: int = 1_800, alarm: int = 3_600, delay: str = "10 minutes") -> DataFrame:
+    """ST6: (key, scan, n, since, active) of every scan of a store: n changes are older than ``age`` seconds, since the scan ``since``.
+
+    A row of the stream is an open path of a scan, ``at`` being the scan's time in whole seconds; a scan of a clean store has one
+    row without a change. The alarm is active once such changes have been there for ``alarm`` seconds. A scan is reported once the
+    watermark has passed it; the state of a store is its scans until then and one number.
+    """
+    kind = dict(stream.select(key).dtypes)[key]
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, counts, since = state.get if state.exists else ([], [], None)
+        waiting = {a: [n, 0] for a, n in zip(starts, counts, strict=True)}
+        out = []
+        for s, n, _ in _ripe(() if state.hasTimedOut else frames, state, waiting, 1):
+            since = (s if since is None else since) if n else None
+            out.append((k[0], s, n, since, since is not None and s - since >= alarm))
+        kept = sorted(waiting)
+        state.update((kept, [waiting[a][0] for a in kept], since))
+        if kept:
+            state.setTimeoutTimestamp(max((kept[0] + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "scan", "n", "since", "active"]).astype({"since": "Int64"})
+
+    old = F.coalesce(F.unix_timestamp(at) - F.unix_timestamp(changed) >= age, F.lit(False))
+    rows = _summed(stream, key, at, 1, delay, old.cast("long"), F.lit(0))
+    result = f"{key} {kind}, scan long, n long, since long, active boolean"
+    return rows.groupBy(key).applyInPandasWithState(fold, result, "starts array<long>, counts array<long>, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def enrich_queue(
+    stream: DataFrame, key: str, seconds: str, event: str, path: str, most: int = 1_000, per_tick: int = 2, per_hour: int = 10, retry: int = 1_800, give_up: int = 3
+) -> DataFrame:
+    """ST7, ST12: (key, at, action, path) of a store's queue of pages to fill in, from its log of events in order of time.
+
+    Events: queued (a page changed), tick (the time to run), done or raced (it leaves the queue; a raced page comes back with
+    its next change), failed, and declared or undeclared (an undeclared store holds its pages back). A tick runs ``per_tick``
+    pages or fewer, ``per_hour`` an hour, the longest queued first, and none for ``retry`` seconds after a failure. Actions: run,
+    dropped (the oldest of more than ``most``) and gave-up (after ``give_up`` failures). A page queued again starts over.
+
+    The state of a store is its queue, bounded by ``most``, and the runs of the last hour. Events that come back with an
+    earlier time than one already taken are taken in the order in which they arrive.
+    """
+    kind = dict(stream.select(key).dtypes)[key]
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, tries, calls, retry_at, declared = state.get if state.exists else ([], [], [], 0, True)
+        pending, calls, out = dict(zip(names, tries, strict=True)), list(calls), []
+        rows = [r for frame in frames for r in zip(frame[seconds], frame[event], frame[path], strict=True)]
+        for at, what, page in sorted(rows, key=lambda r: r[0]):
+            at = int(at)
+            if what == "queued":
+                pending.pop(page, None)
+                pending[page] = 0
+                while len(pending) > most:
+                    oldest = next(iter(pending))
+                    del pending[oldest]
+                    out.append((k[0], at, "dropped", oldest))
+            elif what in ("declared", "undeclared"):
+                declared = what == "declared"
+            elif what in ("done", "raced"):
+                pending.pop(page, None)
+            elif what == "failed" and page in pending:
+                pending[page] += 1
+                retry_at = at + retry
+                if pending[page] >= give_up:
+                    del pending[page]
+                    out.append((k[0], at, "gave-up", page))
+            elif what == "tick" and declared and at >= retry_at:
+                calls = [c for c in calls if at - c < 3_600]
+                for name in list(pending)[: max(0, min(per_tick, per_hour - len(calls)))]:
+                    calls.append(at)
+                    out.append((k[0], at, "run", name))
+        state.update((list(pending), list(pending.values()), calls, retry_at, declared))
+        yield pd.DataFrame(out, columns=[key, "at", "action", "path"])
+
+    rows = stream.select(key, seconds, event, path)
+    kept = "names array<string>, tries array<int>, calls array<long>, retry_at long, declared boolean"
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at long, action string, path string", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def ready_paths(stream: DataFrame, key: str, at: str, forced: str, delay: str = "10 minutes", quiet: int = 120, force: int = 600) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from paperloom import plans
+from paperloom.storage import shared_root
 from paperloom.streaming import logs as L
 
 DATA = "/root/testdata/sf0.001"
@@ -38,7 +39,7 @@ def test_ready_paths_against_brute_force(spark):
 
 
 def test_ready_paths_forces_busy_text_only(spark):
-    folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    folder = shared_root(spark) + f"/{uuid.uuid4().hex}"
     rows = [(p, datetime.fromtimestamp(1_000_000 + 60 * k), p == 1) for p in (1, 2) for k in range(25)] + [(3, datetime.fromtimestamp(1_010_000), True)]
     spark.createDataFrame(rows, "p int, t timestamp, text boolean").coalesce(1).write.parquet(f"{folder}/in")
     found = L.drain(L.ready_paths(L.read_log(spark, f"{folder}/in"), "p", "t", F.col("text")))
@@ -46,22 +47,57 @@ def test_ready_paths_forces_busy_text_only(spark):
     assert got == [(1, 0, 600, 10, True), (1, 600, 1200, 10, True), (1, 1200, 1560, 5, False), (2, 0, 1560, 25, False)]
 
 
-def test_growth_alarm_goes_on_from_its_state(spark):
-    folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+#: Tests count seconds from here, as a stream takes the start of 1970 for late.
+BASE = 864_000
 
-    def step(rows):
-        spark.createDataFrame(rows, "k string, s long, size long").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        found = L.drain(L.growth_alarm(L.read_log(spark, f"{folder}/in"), "k", "s", "size", 3, 10**9), folder=f"{folder}/run")
-        return sorted((r.k, r.bucket, r.files, r.since) for r in found.collect())
 
-    assert step([("a", 0, 1), ("a", 5, None), ("b", 0, 1), ("b", None, 1)]) == [("a", 0, 2, None), ("b", 0, 1, None)]
-    # The alarm starts with the third file, keeps its onset, and ends when fewer than three are less than a day old.
-    got = step([("a", 600, 1), ("a", 1200, 1), ("a", 87_000, 1)])
-    assert got == [("a", 0, 2, None), ("a", 600, 3, 600), ("a", 1200, 4, 600), ("a", 87_000, 2, None), ("b", 0, 1, None)]
+def feed(spark, folder, op, columns):
+    """step(rows): appends rows to a log, drains it through ``op`` and gives all that has come out."""
+
+    def step(rows):
+        frame = spark.createDataFrame(rows, columns)
+        for c in [f.name for f in frame.schema if f.name.startswith("t_")]:
+            frame = frame.withColumn(c[2:], F.timestamp_seconds(F.col(c) + BASE)).drop(c)
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        found = L.drain(op(L.read_log(spark, f"{folder}/in")), folder=f"{folder}/run")
+        plain = lambda v: v - BASE if isinstance(v, int) and v >= BASE // 2 else v
+        return sorted((tuple(map(plain, r)) for r in found.collect()), key=lambda r: (*r[:2], str(r)))
+
+    return step
+
+
+def test_growth_alarm_counts_a_bucket_that_is_split_between_batches(spark, tmp_path):
+    alarm = lambda s: L.growth_alarm(s.select("k", F.col("at"), "size"), "k", "at", "size", 3, 10**9)
+    step = feed(spark, tmp_path, alarm, "k string, t_at long, size long")
+    assert step([("a", 0, 1), ("a", 5, None), ("b", 0, 1), ("b", None, 1)]) == []  # the bucket may still grow
+    step([("a", 10, 1), ("a", 600, 1), ("b", 2000, 1)])
+    got = step([("b", 90_000, 1)])
+    assert got == [("a", 0, 3, 2, 0), ("a", 600, 4, 3, 0), ("b", 0, 1, 1, None), ("b", 1800, 2, 2, None)]
+    # The onset stays while the alarm is on; what is a whole day old no longer counts.
+    got = step([("a", 90_100, 1), ("b", 200_000, 1)])
+    assert ("a", 90_000, 1, 1, None) in got and ("b", 90_000, 1, 1, None) in got
+
+
+def test_uncollected_changes_raise_an_alarm_after_an_hour(spark, tmp_path):
+    op = lambda s: L.uncollected_alarm(s, "k", "at", "changed")
+    step = feed(spark, tmp_path, op, "k string, t_at long, t_changed long")
+    step([("a", 0, -2000), ("a", 0, -10), ("a", 3000, -2000), ("b", 0, None)])
+    got = step([("a", 3600, -2000), ("a", 4000, None), ("a", 5000, 0), ("z", 20_000, None)])
+    assert got == [("a", 0, 1, 0, False), ("a", 3000, 1, 0, False), ("a", 3600, 1, 0, True), ("a", 4000, 0, None, False), ("a", 5000, 1, 5000, False), ("b", 0, 0, None, False)]
+
+
+def test_enrich_queue(spark, tmp_path):
+    op = lambda s: L.enrich_queue(s, "k", "s", "event", "page", most=3, per_tick=2, per_hour=3)
+    step = feed(spark, tmp_path, op, "k string, s long, event string, page string")
+    assert step([("a", k, "queued", f"p{k}") for k in range(4)] + [("a", 5, "tick", None)]) == [("a", 3, "dropped", "p0"), ("a", 5, "run", "p1"), ("a", 5, "run", "p2")]
+    got = step([("a", 6, "done", "p1"), ("a", 7, "failed", "p2"), ("a", 8, "tick", None), ("a", 1807, "tick", None), ("a", 1808, "tick", None)])
+    assert got[3:] == [("a", 1807, "run", "p2")]  # one run is left of the hour
+    got = step([("a", 4000, "failed", "p2"), ("a", 4001, "failed", "p2"), ("a", 4002, "undeclared", None), ("a", 7000, "tick", None), ("a", 7001, "declared", None), ("a", 7002, "tick", None), ("a", 7003, "raced", "p3")])
+    assert [r for r in got if r[1] >= 4000] == [("a", 4001, "gave-up", "p2"), ("a", 7002, "run", "p3")]
 
 
 def test_inbox_takes_a_content_once_over_all_batches(spark):
-    folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    folder = shared_root(spark) + f"/{uuid.uuid4().hex}"
 
     def step(rows):
         spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
@@ -77,6 +113,6 @@ def test_clamped_times(spark):
 
 
 def test_empty_log(spark):
-    folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    spark.createDataFrame([], "k string, s long, size long").write.parquet(f"{folder}/in")
-    assert L.drain(L.growth_alarm(L.read_log(spark, f"{folder}/in"), "k", "s", "size", 3, 10**9)).count() == 0
+    folder = shared_root(spark) + f"/{uuid.uuid4().hex}"
+    spark.createDataFrame([], "k string, at timestamp, size long").write.parquet(f"{folder}/in")
+    assert L.drain(L.growth_alarm(L.read_log(spark, f"{folder}/in"), "k", "at", "size", 3, 10**9)).count() == 0
