@@ -118,18 +118,26 @@ def fit_language_model(
     cut = [F.when(F.length("p") < n, F.array("p")).otherwise(F.regexp_extract_all("p", F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))) for n in GRAMS]
     grams = counts.select("lang", "count", padded.alias("p")).select("lang", "count", F.explode_outer(F.concat(*cut)).alias("gram"))
     grams = checkpoint(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")))
-    w, g = (x.select("lang", name, "count").toPandas() for x, name in ((counts, "word"), (grams, "gram")))
-    langs = sorted(set(w["lang"]))
-    return LanguageModel(langs, *_logs(w, "word", langs), *_logs(g, "gram", langs))
-
-
-def _logs(counts: pd.DataFrame, name: str, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    if counts.empty:
-        return [], np.zeros((0, len(langs)))
-    wide = counts.pivot(index=name, columns="lang", values="count").reindex(columns=langs).fillna(0.0) + 0.5
-    sums = wide.groupby(wide.index.str.len()).transform("sum") if name == "gram" else wide.sum()
-    logs = np.log(wide / sums)
-    return list(wide.index), logs.sub(logs.mean(axis=1), axis=0).to_numpy(np.float32)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    return LanguageModel(langs, *_logs(counts, "word", langs), *_logs(grams, "gram", langs))
+
+
+def _logs(counts: DataFrame, name: str, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The names, and their centred log frequencies; n-grams have frequencies among those of their length.
+
+    Spark lays the languages side by side, and what reaches the driver is Arrow columns, a row for each name.
+    """
+    side = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("count"))), F.lit(0)).cast("float").alias(f"c{k}") for k, lang in enumerate(langs)]
+    if not side:
+        return [], np.zeros((0, 0), np.float32)
+    got = counts.groupBy(name).agg(*side).toArrow()
+    names = got.column(0).to_pylist()
+    wide = np.column_stack([c.to_numpy() for c in got.columns[1:]]).astype(np.float64) + 0.5
+    kinds = np.fromiter(map(len, names), np.int64, len(names)) if name == "gram" else np.zeros(len(names), np.int64)
+    for kind in np.unique(kinds):
+        wide[kinds == kind] /= wide[kinds == kind].sum(axis=0)
+    logs = np.log(wide)
+    return names, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
