@@ -1,7 +1,7 @@
 """The registered queries of the document-corpus operators and their SQL."""
 
-from . import changes, enrich, gate, history, indexes, ingest, pages, rules, streams
+from . import changes, enrich, gate, history, indexes, ingest, pages, rules, streams, upkeep
 
-_PARTS = (pages, indexes, rules, ingest, enrich, gate, history, changes, streams)
+_PARTS = (pages, indexes, rules, ingest, enrich, gate, history, changes, upkeep, streams)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
