@@ -89,8 +89,9 @@ def _starts(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     shingle of that run, which gains on the left what it loses on the right; so the starts of runs suffice. Alignments
     are for texts that repeat a shingle more often than the item.
     """
-    # The outer form, as the plain one repeats the shingling in a filter. Rows that move hold numbers only.
-    hits = rows.select("doc", F.size("w").alias("total"), F.posexplode_outer(_shingles(F.col("w"), length)).alias("dk", "h")).join(places, "h")
+    # The words are left behind before shingles are laid out as rows; the outer form, as the plain one repeats the shingling in a filter.
+    hits = rows.select("doc", F.size("w").alias("total"), _shingles(F.col("w"), length).alias("dh"))
+    hits = hits.select("doc", "total", F.posexplode_outer("dh").alias("dk", "h")).join(places, "h")
     inside = lambda x: F.greatest(F.least(x, F.col("total") - F.col("n")), F.lit(0))
     hits = hits.groupBy("doc", "n", "total").agg(F.array_sort(F.collect_set("dk")).alias("dk"), F.collect_set(inside(F.col("dk") - F.col("ik"))).alias("aligned"))
     runs = F.filter("dk", lambda x, k: ~F.get("dk", k - 1).eqNullSafe(x - 1))
