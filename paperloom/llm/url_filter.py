@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, checkpoint, free_name, lower_ascii, sized
 
-FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "has_port", "suffix_count", "suffix_blocked")
+LEXICAL = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "has_port")
+#: What counts and blocked shares are taken of: the host's last label, the path's first segment, and both together.
+SUFFIXES = ("suffix", "segment", "suffix_segment")
+FEATURES = (*LEXICAL, *(f"{name}_{kind}" for name in SUFFIXES for kind in ("count", "blocked")))
 #: Parts of the labelled URLs; a URL's blocked share of its suffix comes from the other parts, so no label tells itself.
 FOLDS = 5
 
@@ -37,7 +40,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def lexical_features(df: DataFrame) -> DataFrame:
-    """Adds the features of url, host and path that need no other row, and ``suffix``, the host's last label."""
+    """Adds the features of url, host and path that need no other row, and SUFFIXES."""
     url = F.coalesce("url", F.lit(""))
     chars = F.array_distinct(F.split(url, ""))
     share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / F.length(url)
@@ -54,18 +57,20 @@ def lexical_features(df: DataFrame) -> DataFrame:
             "parameters": F.when(F.locate("?", url) > 0, F.regexp_count(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"[^&=]+(?:=|&|\z)"))).otherwise(0).cast("double"),
             "has_port": F.col("host").rlike(r":\d+\z").cast("double"),
             "suffix": F.substring_index("host", ".", -1),
+            "segment": F.regexp_extract("path", r"(?s)\A/([^/]*)", 1),
+            "suffix_segment": F.concat(F.substring_index("host", ".", -1), F.regexp_extract("path", r"(?s)\A(/[^/]*)?", 0)),
         }
     )
 
 
-def _shares(rows: DataFrame) -> DataFrame:
-    """Rows (suffix, fold, label, ...) with suffix_count, of all rows, and suffix_blocked, of the labelled rows of other folds."""
-    part = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("bad"), F.count("label").alias("known"))
-    part = checkpoint(part.select("suffix", "fold", "n", F.coalesce("bad", F.lit(0.0)).alias("bad"), "known"))
-    whole = part.groupBy("suffix").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
+def _shares(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (``name``, fold, label, ...) with its count, of all rows, and its blocked share, of the labelled rows of other folds."""
+    part = rows.groupBy(name, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("bad"), F.count("label").alias("known"))
+    part = checkpoint(part.select(name, "fold", "n", F.coalesce("bad", F.lit(0.0)).alias("bad"), "known"))
+    whole = part.groupBy(name).agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
     share = (F.col("all_bad") - F.col("bad") + 0.5) / (F.col("all_known") - F.col("known") + 1.0)
-    part = part.join(whole, "suffix").select(F.col("suffix").alias("s"), F.col("fold").alias("f"), F.log1p("all").alias("suffix_count"), share.alias("suffix_blocked"))
-    return rows.join(sized(checkpoint(part)), (F.col("suffix") == F.col("s")) & (F.col("fold") == F.col("f"))).drop("s", "f")
+    part = part.join(whole, name).select(F.col(name).alias("_s"), F.col("fold").alias("_f"), F.log1p("all").alias(f"{name}_count"), share.alias(f"{name}_blocked"))
+    return rows.join(sized(checkpoint(part)), (F.col(name) == F.col("_s")) & (F.col("fold") == F.col("_f"))).drop("_s", "_f")
 
 
 def url_features(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
@@ -78,8 +83,10 @@ def url_features(pages: DataFrame, rules: list[tuple[str, str]], url_col: str =
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     label = F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0)
     fold = F.when(label.isNotNull(), F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(FOLDS)).cast("int")).otherwise(-1)
-    rows = rows.withColumns({"rule": rule, "label": label, "fold": fold})
-    return _shares(lexical_features(rows))
+    rows = lexical_features(rows.withColumns({"rule": rule, "label": label, "fold": fold}))
+    for name in SUFFIXES:
+        rows = _shares(rows, name)
+    return rows
 
 
 def fit_trees(labelled: DataFrame, trees: int = 10, depth: int = 4, seed: int = 2) -> GBTClassificationModel | None:
