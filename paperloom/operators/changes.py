@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
@@ -41,28 +41,39 @@ def attribute_project(slugs: DataFrame, id_col: str, slug: str, projects: DataFr
     return rows.groupBy(id_col).agg(F.max_by(F.when(F.col("_known"), F.col("project")), F.when(F.col("_known"), F.length("project"))).alias("project"))
 
 
-def shortest_unique_prefix(names: DataFrame, name: str, least: int, bucket: int = 4) -> DataFrame:
+def shortest_unique_prefix(names: DataFrame, name: str, least: int) -> DataFrame:
     """(name, prefix): the shortest prefix of ``least`` characters or more that no other name has; null if none.
 
-    A name's closest relatives are its neighbours in order, so it is compared with two names only. ``bucket`` leading
-    characters, fewer than ``least``, partition the names; names of random hex digits fill such partitions evenly.
+    Every name emits its prefixes and they are counted, so that common beginnings are summed up before they move.
     """
-    by = Window.partitionBy(F.substring(name, 1, bucket)).orderBy(name)
-    rows = names.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_a", F.lag(name).over(by)).withColumn("_b", F.lead(name).over(by))
-    size = lambda other: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda k: F.substring(F.col(name), F.lit(1), k) == F.substring(F.col(other), F.lit(1), k)))
-    common = F.greatest(F.coalesce(F.when(F.col("_a").isNotNull(), size("_a")), F.lit(0)), F.coalesce(F.when(F.col("_b").isNotNull(), size("_b")), F.lit(0)))
-    need = F.greatest(F.lit(least), common + 1)
-    return rows.select(name, F.when(need <= F.length(name), F.substring(F.col(name), F.lit(1), need)).alias("prefix"))
+    rows = names.select(F.col(name).alias("n")).filter("n is not null").distinct()
+    lengths = F.sequence(F.lit(least), F.greatest(F.length("n"), F.lit(least)))
+    cut = rows.select("n", F.explode(F.transform(F.filter(lengths, lambda k: k <= F.length("n")), lambda k: F.substring(F.col("n"), F.lit(1), k))).alias("p"))
+    lone = cut.groupBy("p").agg(F.count("*").alias("k"), F.min("n").alias("n")).filter("k = 1")
+    best = lone.groupBy("n").agg(F.min_by("p", F.length("p")).alias("prefix"))
+    return rows.join(best, "n", "left").select(F.col("n").alias(name), "prefix")
 
 
 def get_pages(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """(store, wanted, path): the file a short name means: itself, with .md, or the folder's index; null if there is none."""
-    ways = F.array(F.col("wanted"), F.concat("wanted", F.lit(".md")), F.concat("wanted", F.lit("/README.md")))
-    rows = wanted.select("store", "wanted", F.posexplode(ways).alias("rank", "path"))
-    rows = rows.join(files.select("store", "path").distinct().withColumn("_there", F.lit(True)), ["store", "path"], "left")
+    """(store, wanted, path): the file a short name means: itself, with .md, or the folder's index; null if there is none.
+
+    A name may be store:path, which looks into that store.
+    """
+    form = r"\A([a-z][a-z0-9]*(?:-[a-z0-9]+)*):(.+)\z"
+    other = F.col("wanted").rlike(form)
+    rows = wanted.select("store", "wanted", F.when(other, F.regexp_extract("wanted", form, 1)).otherwise(F.col("store")).alias("_in"), F.when(other, F.regexp_extract("wanted", form, 2)).otherwise(F.col("wanted")).alias("_name"))
+    ways = F.array(F.col("_name"), F.concat("_name", F.lit(".md")), F.concat("_name", F.lit("/README.md")))
+    rows = rows.select("store", "wanted", "_in", F.posexplode(ways).alias("rank", "path"))
+    rows = rows.join(files.select(F.col("store").alias("_in"), "path").distinct().withColumn("_there", F.lit(True)), ["_in", "path"], "left")
     return rows.groupBy("store", "wanted").agg(F.min_by(F.when(F.col("_there"), F.col("path")), F.when(F.col("_there"), F.col("rank"))).alias("path"))
 
 
+def with_pointer_flag(got: DataFrame, pages: DataFrame) -> DataFrame:
+    """The found (store, path) with content and whether that is a large-file pointer."""
+    rows = got.join(pages.select("store", "path", "content"), ["store", "path"], "left")
+    return rows.withColumn("is_pointer", X.parse_pointer(F.col("content")).isNotNull())
+
+
 def strip_candidates(history: DataFrame, final: DataFrame) -> DataFrame:
     """(blob, both_kinds) of the blobs at large-file paths that the final map lacks; a blob at both kinds of paths is flagged.
 
@@ -136,9 +147,41 @@ def retention_plan(snapshots: DataFrame, tagged: Column, at: str, clock_started:
 
 
 def final_map(files: DataFrame, cache: DataFrame, key: list[str], content: str) -> DataFrame:
-    """Every file with its oid: the cache's where ``key`` (path, size, time) is as it was, else the hash of its content."""
-    rows = files.join(cache.select(*key, F.col("oid").alias("_oid")).distinct(), key, "left")
-    return rows.withColumn("hashed", F.col("_oid").isNull()).withColumn("oid", F.coalesce("_oid", F.sha2(F.coalesce(content, F.lit("")), 256))).drop("_oid")
+    """Every file with its oid and blob name: the cache's where ``key`` (path, size, time, inode) is as it was, else the hashes of
+    its content."""
+    rows = files.join(cache.select(*key, F.col("oid").alias("_oid"), F.col("blob").alias("_blob") if "blob" in cache.columns else F.lit(None).cast("string").alias("_blob")).distinct(), key, "left")
+    data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    rows = rows.withColumn("hashed", F.col("_oid").isNull()).withColumn("oid", F.coalesce("_oid", F.sha2(data, 256)))
+    return rows.withColumn("blob", F.coalesce("_blob", X.blob_sha1(data))).drop("_oid", "_blob")
+
+
+def unique_totals(mapped: DataFrame, size: str) -> DataFrame:
+    """(files, objects, bytes) of a final map; an object counts once, however many files hold it."""
+    once = mapped.groupBy("oid").agg(F.count("*").alias("_n"), F.max(size).alias("_s"))
+    return once.agg(F.sum("_n").alias("files"), F.count("*").alias("objects"), F.sum("_s").alias("bytes"))
+
+
+def write_if_changed(spark: SparkSession, expected: DataFrame, folder: str, key: list[str], value: str, check: bool = False) -> DataFrame:
+    """K1: writes the rows of ``expected`` whose value differs from what ``folder`` holds, and reports (key..., created) of each.
+
+    What is there is the last write of each key; a write appends a new part, so a run that fails leaves the old state, and
+    one that finds no difference writes nothing. With ``check`` nothing is written.
+    """
+    schema = expected.select(*key, value).withColumn("_at", F.lit(0).cast("long")).schema
+    there = spark.read.schema(schema).option("mode", "PERMISSIVE").parquet(folder) if _exists(spark, folder) else spark.createDataFrame([], schema)
+    last = there.groupBy(*key).agg(F.max_by(value, "_at").alias(value), F.max("_at").alias("_at"))
+    turn = last.agg(F.max("_at")).first()[0]
+    rows = differing_rows(expected.select(*key, value), last, key, value)
+    if not check:
+        rows.select(*key, value, F.lit((turn or 0) + 1).cast("long").alias("_at")).write.mode("append").parquet(folder)
+        written = spark.read.schema(schema).parquet(folder).filter(F.col("_at") == (turn or 0) + 1)
+        return written.join(last.select(*key, F.lit(True).alias("_old")), key, "left").select(*key, F.col("_old").isNull().alias("created"))
+    return rows.select(*key, "created")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def alarm_counts(changes: DataFrame, key: str, since: str, now: int, age: int) -> DataFrame:

@@ -68,9 +68,18 @@ def alarm_onset(samples: DataFrame, key: str, order: list[str], active: Column,
 
 
 def rate_cap(calls: DataFrame, key: str, seconds: str, per_tick: int, per_hour: int) -> DataFrame:
-    """At each call, the calls of the last hour and what is left of the quota."""
-    hour = Window.partitionBy(key).orderBy(seconds).rangeBetween(-3599, 0)
-    rows = calls.withColumn("used", F.count("*").over(hour))
+    """At each call, the calls of the last hour and what is left of the quota.
+
+    Calls are counted by second first, and time is cut into stretches that overlap by an hour, so that a busy key is many tasks.
+    """
+    stretch = 6 * 3600
+    counts = calls.groupBy(key, F.col(seconds).alias("_s")).agg(F.count("*").alias("_n"))
+    cut = F.floor(F.col("_s") / stretch)
+    both = F.array_distinct(F.array(cut, F.floor((F.col("_s") + 3599) / stretch)))
+    spread = counts.withColumn("_cut", F.explode(both))
+    hour = Window.partitionBy(key, "_cut").orderBy("_s").rangeBetween(-3599, 0)
+    used = spread.withColumn("used", F.sum("_n").over(hour)).filter(cut == F.col("_cut")).select(key, F.col("_s").alias(seconds), "used")
+    rows = calls.join(used, [key, seconds])
     return rows.withColumn("left", F.greatest(F.least(F.lit(per_tick), F.lit(per_hour) - F.col("used")), F.lit(0)).cast("long"))
 
 
@@ -91,18 +100,45 @@ def usage(objects: DataFrame, size: str, seconds: str, since: int) -> DataFrame:
 
 
 def latency(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Nearest-rank percentiles."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return samples.groupBy(key).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("longest"))
+    """Nearest-rank percentiles; null values don't count.
+
+    Values are counted first and cut into ranges by key and value, so that no task ranks all of a key's values: a range
+    knows how many values lie below it from the sums of the ranges.
+    """
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    # Ranges are values' leading digits: the value in units of a power of ten that leaves about a thousand of them.
+    unit = counts.groupBy("k").agg(F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.max(F.abs("v")) + 1)) - 2, F.lit(0))).alias("unit"))
+    cut = counts.join(unit, "k").withColumn("range", F.floor(F.col("v") / F.col("unit")))
+    sums = cut.groupBy("k", "range").agg(F.sum("n").alias("here"))
+    below = Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("below", F.coalesce(F.sum("here").over(below), F.lit(0))).withColumn("total", F.sum("here").over(Window.partitionBy("k")))
+    within = Window.partitionBy("k", "range").orderBy("v")
+    rows = cut.join(sums.withColumnsRenamed({"k": "k_", "range": "r_"}), (F.col("k").eqNullSafe(F.col("k_"))) & (F.col("range") == F.col("r_")))
+    rows = rows.withColumn("upto", F.col("below") + F.sum("n").over(within))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p - 1e-9), F.col("v")))
+    return rows.groupBy(F.col("k").alias(key)).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("longest"))
 
 
 def extension_audit(files: DataFrame, ext: str, kind: str, size: str, top: int = 5) -> DataFrame:
-    """A5: per extension its files, bytes and most frequent kinds."""
+    """A5: per extension its files, bytes and most frequent kinds; kinds are few, as they are counted first."""
     sums = files.groupBy(ext, kind).agg(F.count("*").alias("n"), F.sum(size).alias("b"))
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(kind).alias("k")))), 1, top)
     return sums.groupBy(ext).agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), F.array_join(F.transform(ranked, lambda x: x["k"]), ",").alias("kinds"))
 
 
+def extension_samples(files: DataFrame, ext: str, path: str, n: int = 3) -> DataFrame:
+    """A5, T4: the first ``n`` paths of each extension; each bucket of paths gives its first ones before they are gathered."""
+    bucket = F.pmod(F.xxhash64(path), F.lit(256))
+    by = lambda *parts: Window.partitionBy(ext, *parts).orderBy(path)
+    few = files.select(ext, path).distinct().withColumn("_b", bucket).withColumn("_n", F.row_number().over(by("_b"))).filter(F.col("_n") <= n)
+    return few.groupBy(ext).agg(F.slice(F.array_sort(F.collect_list(path)), 1, n).alias("samples"))
+
+
+def strip_report(blobs: DataFrame, ext: str, size: str, mapped: Column, kept: Column) -> DataFrame:
+    """Per extension, and in all under null, the blobs, bytes, those that are mapped and the pointers that are kept."""
+    return blobs.rollup(ext).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.count_if(mapped).alias("mapped"), F.count_if(kept).alias("kept"))
+
+
 def ext_totals(files: DataFrame, ext: str, size: str) -> DataFrame:
     """Files and bytes by extension, and the grand total under null."""
     return files.rollup(ext).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))

@@ -250,6 +250,18 @@ def tree_issues(pages: DataFrame, profile: Profile, lines: DataFrame) -> DataFra
     return found
 
 
+def cross_store_issues(pointed: DataFrame, judged: DataFrame | None, problem: str | None = None) -> DataFrame:
+    """2.11: issues of pointers to other stores. ``pointed`` are ``pages.pointer_rows``, ``judged`` what ``pages.pointers`` says of them;
+    without a registry ``judged`` is None, and ``problem`` tells why one that is there can't be read.
+    """
+    names = {"unknown-store": "cross-store-unknown-store", "root-missing": "cross-store-store-root-missing", "registry-mismatch": "cross-store-registry-mismatch", "invalid": "cross-store-pointer-invalid", "unresolved": "cross-store-pointer-unresolved"}
+    if judged is not None:
+        code = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("code")]
+        return judged.filter("code <> 'ok'").select(F.lit("").alias("store"), F.col("src").alias("file"), code.alias("code"), F.col("raw").alias("detail"))
+    count = pointed.groupBy(F.col("src_store").alias("store")).agg(F.count("*").cast("string").alias("detail"))
+    return count.select("store", F.lit("(registry)").alias("file"), F.lit("cross-store-registry-invalid" if problem else "cross-store-check-skipped").alias("code"), "detail")
+
+
 def missing_files(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """missing-file: the requested (store, path) that are not there."""
     rows = wanted.join(pages.select("store", "path").distinct(), ["store", "path"], "left_anti")

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 
 def compare_snapshots(left: DataFrame, right: DataFrame, path: str, value: str) -> DataFrame:
-    """Every path whose value differs between two snapshots, and how."""
-    a, b = left.select(path, F.col(value).alias("before")), right.select(path, F.col(value).alias("after"))
-    rows = a.join(b, path, "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    """Every path whose value differs between two snapshots, and how; both sides meet in one aggregation. A path is in a snapshot once."""
+    rows = left.select(path, F.lit(True).alias("_old"), F.col(value).alias("_v")).unionAll(right.select(path, F.lit(False), F.col(value)))
+    one = lambda old: F.max(F.when(F.col("_old") == old, F.col("_v")))
+    rows = rows.groupBy(path).agg(one(True).alias("before"), one(False).alias("after")).filter(~F.col("before").eqNullSafe(F.col("after")))
     what = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("changed")
     return rows.withColumn("change", what)
 
 
 def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that only one of two inventories has, repeats counted."""
-    return before.exceptAll(after).withColumn("side", F.lit("before")).unionAll(after.exceptAll(before).withColumn("side", F.lit("after")))
+    """Rows that only one of two inventories has, repeats counted: one aggregation over both sides."""
+    columns = before.columns
+    both = before.withColumn("_n", F.lit(1)).unionAll(after.select(*columns).withColumn("_n", F.lit(-1)))
+    rows = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    rows = rows.withColumn("side", F.when(F.col("_n") > 0, "before").otherwise("after"))
+    return rows.withColumn("_x", F.explode(F.sequence(F.lit(1), F.abs("_n")))).select(*columns, "side")
 
 
 def cas_check(pointers: DataFrame, objects: DataFrame) -> DataFrame:
@@ -49,7 +54,9 @@ def evict_until(objects: DataFrame, key: str, order: list[str], size: str, limit
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, path: str, value: str) -> DataFrame:
     """What a merge does with each path that a side changed."""
-    rows = base.select(path, F.col(value).alias("b")).join(ours.select(path, F.col(value).alias("o")), path, "full_outer").join(theirs.select(path, F.col(value).alias("t")), path, "full_outer")
+    part = lambda df, n: df.select(path, F.lit(n).alias("_n"), F.col(value).alias("_v"))
+    one = lambda n: F.max(F.when(F.col("_n") == n, F.col("_v")))
+    rows = part(base, 0).unionAll(part(ours, 1)).unionAll(part(theirs, 2)).groupBy(path).agg(one(0).alias("b"), one(1).alias("o"), one(2).alias("t"))
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     what = (
         F.when(same("o", "t"), F.when(same("b", "o"), "unchanged").otherwise("same"))

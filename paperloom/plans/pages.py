@@ -40,15 +40,17 @@ def _(spark, d):
     return P.nav_errors(P.links(C.generated_pages(spark, d)), with_root(spark, d))
 
 
-@query("frontmatter_fields", f"""WITH {D} SELECT store, path, 'title' AS key, concat('Page ', doc_id) AS value FROM d UNION ALL SELECT store, path, 'tags', concat('[', lang, ', ', source, ']') FROM d
+@query("frontmatter_fields", f"""WITH {D} SELECT store, path, 'title' AS key, concat('Page ', doc_id) AS value FROM d UNION ALL SELECT store, path, 'tags', concat(lang, ', ', source) FROM d
 UNION ALL SELECT store, path, 'created', concat('2024-01-0', doc_id % 9 + 1) FROM d UNION ALL SELECT store, path, 'updated', '2024-02-01' FROM d WHERE doc_id % 5 <> 0 UNION ALL SELECT store, path, 'domain', 'old' FROM d WHERE doc_id % 7 = 0""")
 def _(spark, d):
     return P.frontmatter_fields(C.generated_pages(spark, d))
 
 
-@query("sections", f"WITH {D} SELECT store, path, 'Summary' AS heading FROM d UNION ALL SELECT store, path, 'Details' FROM d UNION ALL SELECT store, path, 'Related' FROM d WHERE doc_id % 11 <> 0")
+@query("sections", f"""WITH {D} SELECT store, path, 0 AS pos, NULL AS heading, 1 AS line, length(concat('# Page ', doc_id)) AS chars FROM d UNION ALL SELECT store, path, 1, 'Summary', 3, length(concat('Summary of ', doc_id, '.')) FROM d UNION ALL SELECT store, path, 2, 'Details', 6, NULL FROM d
+UNION ALL SELECT store, path, 3, 'Related', 6 + 3 + length(text) - length(replace(text, chr(10), '')) + CASE WHEN doc_id % 13 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END + 1, 25 FROM d WHERE doc_id % 11 <> 0""")
 def _(spark, d):
-    return P.sections(C.generated_pages(spark, d)).select("store", "path", "heading")
+    rows = P.sections(C.generated_pages(spark, d))
+    return rows.withColumn("chars", F.when(~F.col("heading").eqNullSafe("Details"), F.col("chars")))
 
 
 @query("titles_and_summaries", f"WITH {D} SELECT store, path, concat('Page ', doc_id) AS title, concat('Summary of ', doc_id, '.') AS summary FROM d")
@@ -95,9 +97,10 @@ def _(spark, d):
 
 @query("connections", f"""WITH {D}, b AS (SELECT store, count(*) AS n FROM d, m WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id + 20 > last GROUP BY 1),
 o AS (SELECT store, count(*) AS n FROM d WHERE doc_id < 20 OR (doc_id - 20) % 17 = 0 OR (doc_id - 20) % 19 = 0 GROUP BY 1), f AS (SELECT store, count(DISTINCT source) AS n FROM d GROUP BY 1)
-SELECT d.store, count(*) + any_value(f.n) + 1 AS pages, any_value(o.n) + any_value(f.n) AS orphans, any_value(b.n) AS unresolved FROM d JOIN b USING (store) JOIN o USING (store) JOIN f USING (store) GROUP BY 1""")
+SELECT d.store, count(*) + any_value(f.n) + 1 AS pages, any_value(o.n) + any_value(f.n) AS orphans, any_value(b.n) AS unresolved, count(*) FILTER (doc_id % 23 = 0) AS pointers, count(*) FILTER (doc_id % 23 = 0 AND doc_id % 4 = 3) AS unknown FROM d JOIN b USING (store) JOIN o USING (store) JOIN f USING (store) GROUP BY 1""")
 def _(spark, d):
-    return P.connections(P.links(C.generated_pages(spark, d)), with_root(spark, d))
+    pages = C.generated_pages(spark, d)
+    return P.connections(P.links(pages), with_root(spark, d), P.pointer_rows(pages), pages.select("store").distinct())
 
 
 @query("store_pointers", f"WITH {D} SELECT path AS src, concat('s', doc_id % 4, ':', path) AS raw, CASE WHEN doc_id % 4 = 3 THEN 'unknown-store' WHEN concat('s', doc_id % 4) <> store THEN 'unresolved' ELSE 'ok' END AS code FROM d WHERE doc_id % 23 = 0")

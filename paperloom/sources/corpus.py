@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def read_tree(spark: SparkSession, root: str, store: str) -> DataFrame:
-    """(store, path, content) of every Markdown file below ``root``; dot folders and node_modules are skipped."""
+    """(store, path, content) of every Markdown file below ``root``; dot folders and node_modules are skipped.
+
+    Spark lists no folders or files whose names start with an underscore, which are buckets here and never walked.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     files = files.select(F.lit(store).alias("store"), F.expr(f"substring(path, locate('{root.rstrip('/')}/', path) + {len(root.rstrip('/')) + 1})").alias("path"), F.col("content").cast("string").alias("content"))
     return files.filter(~F.col("path").rlike(r"(^|/)(\.[^/]*|node_modules)/"))
