@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from paperloom.functions import paths as Q
 from paperloom.functions import text as X
 from paperloom.operators import changes as N
+from paperloom.operators import enrich as E
 from paperloom.operators import gate as G
 from paperloom.operators import indexes as I
 from paperloom.operators import ingest as Y
+from paperloom.operators import jobs as J
 from paperloom.operators import pages as P
 from paperloom.operators import rules as R
 from paperloom.operators import tokens as K
@@ -54,6 +56,34 @@ def test_export_readers(spark, tmp_path):
     assert S.read_backup_runs(spark, str(tmp_path / "runs.json")).count() == 1
 
 
+def test_binaries_inbox_and_sidecars(spark, tmp_path):
+    for name, data in {"a.txt": b"plain", "sub/b.HTML": b"<p>one</p><script>x</script>two", "c.bin": b"\x00", "bad.txt": b"\xff"}.items():
+        (tmp_path / "b" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "b" / name).write_bytes(data)
+    found = E.read_binaries(spark, str(tmp_path / "b"), "s", ["txt", "html"])
+    assert sorted(r["path"] for r in found.collect()) == ["a.txt", "bad.txt", "sub/b.HTML"]
+    made = {r["path"]: r["content"] for r in E.sidecar_pages(E.extract(found), "2024-01-01").collect()}
+    assert made["sub/b.HTML.md"].endswith("\n\none\ntwo\n") and "## Warnings" in made["bad.txt.md"] and "## Warnings" not in made["a.txt.md"]
+    with pytest.raises(Exception, match="no extractor"):
+        E.extract(E.read_binaries(spark, str(tmp_path / "b"), "s", ["bin"])).collect()
+    (tmp_path / "in").mkdir()
+    for name in ("2.md", "1.txt", "x.pdf", ".done"):
+        (tmp_path / "in" / name).write_text(f"text of {name}\nmore")
+    assert [tuple(r) for r in E.read_inbox(spark, str(tmp_path / "in")).orderBy("name").collect()] == [("1.txt", "text of 1.txt\nmore"), ("2.md", "text of 2.md\nmore")]
+
+
+def test_results_are_guarded_and_taken(spark):
+    results = spark.createDataFrame([("r/1.md", 5, None, "One", "runbook"), ("r/2.md", 5, None, "Two", "x")], "path string, millis long, received string, title string, text string")
+    tasks = spark.createDataFrame([(1, "r/1.md", "qa", None)], "id long, result string, qa string, signal string")
+    empty = spark.createDataFrame([], "stamp string")
+    none = spark.createDataFrame([], "path string, content string")
+    projects = spark.createDataFrame([], "project string")
+    guarded, made = J.ingest_results(results, tasks, results.select("path"), empty, none, projects, "2024-01-01")
+    assert {r["path"]: r["reason"] for r in guarded.collect()} == {"r/1.md": None, "r/2.md": "missing-task-metadata"}
+    got = {r["path"]: r["content"] for r in made.collect()}
+    assert set(got) == {"learnings/1.md", "results/1.result.md"} and "runbook" in got["learnings/1.md"]
+
+
 def test_commit_map(spark, tmp_path):
     a, b, zero = "a" * 40, "b" * 40, "0" * 40
     (tmp_path / "m").write_text(f"old new\n# x\n\n{a} {b}\n{b} {zero}\n")
