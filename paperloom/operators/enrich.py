@@ -194,5 +194,5 @@ def sidecar_pages(extracted: DataFrame, date: str) -> DataFrame:
 
 def read_inbox(spark: SparkSession, root: str) -> DataFrame:
     """S3: (name, text) of the .md, .txt, .json and .log files of a folder, but for .done; one row a file, to be ordered by name."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("name"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("name"), F.col("value").alias("text"))
     return files.filter(F.lower("name").rlike(r"\.(md|txt|json|log)\z") & ~F.startswith("name", F.lit(".")))

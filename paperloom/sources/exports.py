@@ -64,7 +64,7 @@ def read_declarations(spark: SparkSession, path: str) -> DataFrame:
 
     problem names the first key that isn't known, or whose value has another type; null for a valid declaration.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json\z", 1).alias("store"), F.col("value").alias("json"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json\z", 1).alias("store"), F.col("value").alias("json"))
     schema = ", ".join(f"{k} {t}" for k, t in DECLARATION.items())
     rows = files.withColumn("_raw", F.from_json("json", "map<string, string>")).withColumn("_typed", F.from_json("json", schema))
     keys = F.map_keys("_raw")
@@ -79,7 +79,7 @@ def read_stores(spark: SparkSession, path: str, declared: DataFrame | None = Non
 
     A registry is one small file. An id of another form is an error.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json(F.get_json_object("value", "$.stores"), "map<string, string>")).alias("store_id", "root"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.stores"), "map<string, string>")).alias("store_id", "root"))
     good = F.col("store_id").rlike(r"\A[a-z][a-z0-9]*(-[a-z0-9]+)*\z")
     rows = rows.select(F.when(good, F.col("store_id")).otherwise(F.raise_error(F.concat(F.lit("bad store id "), "store_id"))).alias("store_id"), "root")
     if declared is None:

@@ -45,7 +45,7 @@ def test_export_readers(spark, tmp_path):
     assert sorted((r["commit"], r["path"]) for r in S.read_changes(spark, str(tmp_path / "c.json")).collect()) == [("c1", "x"), ("c1", "y")]
     (tmp_path / "m.tsv").write_text("O\t5\t100644\tab\tp q\n")
     assert S.read_manifest(spark, str(tmp_path / "m.tsv"), "inventory").first()["path"] == "p q"
-    (tmp_path / "reg.json").write_text('{"stores": {"a-b": "/x", "c": "/y", "d": "/z"}}')
+    (tmp_path / "reg.json").write_text('{\n"stores": {"a-b": "/x", "c": "/y", "d": "/z"}}')
     declared = spark.createDataFrame([("a-b", "a-b"), ("c", "other")], "store string, id string")
     assert sorted((r["store_id"], r["status"]) for r in S.read_stores(spark, str(tmp_path / "reg.json"), declared).collect()) == [("a-b", "ok"), ("c", "id-mismatch"), ("d", "root-missing")]
     for name, text in {"ok": '{"id": "x", "archiveTreeDirs": ["raw"]}', "odd": '{"id": "x", "more": 1}', "typed": '{"archiveTreeDirs": "raw"}'}.items():
