@@ -186,8 +186,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
         links = checkpoint(found if links is None else links.union(found))
         if last:
             break
-        roots = connected_components(links).withColumnRenamed("root", "_root")
-        left = left.join(roots, "node", "left").select("token", "node", F.coalesce("_root", "node").alias("root"))
+        left = _merged(left, links)
         best, turn = min(best, cross), turn + 1
     if links is None:
         return met.select("node", F.col("node").alias("root")).limit(0)
@@ -202,6 +201,19 @@ def _apart(met: DataFrame) -> tuple[DataFrame, int]:
     return checkpoint(met.join(sizes.select("token"), "token")), int(cross or 0)
 
 
+def _merged(left: DataFrame, links: DataFrame) -> DataFrame:
+    """left with groups joined along the links: each root is hung under the smallest one that a link leads to, and chains are cut twice.
+
+    Longer chains are joined in later turns; groups only spare comparisons, and the components are found at the end.
+    """
+    of = left.select("node", "root").distinct()
+    ends = links.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").filter("ra <> rb")
+    hung = checkpoint(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("up")))
+    for _ in range(2):
+        hung = hung.join(hung.toDF("up", "above"), "up", "left").select("root", F.coalesce("above", "up").alias("up"))
+    return left.join(hung, "root", "left").select("token", "node", F.coalesce("up", "root").alias("root"))
+
+
 def _led(met: DataFrame, turn: int) -> DataFrame:
     """(a, b): the pairs of a token's leader, another text each turn, and its texts of other groups."""
     first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root"))
