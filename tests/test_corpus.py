@@ -11,6 +11,7 @@ from paperloom.functions import text as X
 from paperloom.operators import changes as N
 from paperloom.operators import enrich as E
 from paperloom.operators import gate as G
+from paperloom.operators import history as H
 from paperloom.operators import indexes as I
 from paperloom.operators import ingest as Y
 from paperloom.operators import jobs as J
@@ -271,6 +272,14 @@ def test_final_map_and_retention_states(spark):
     assert plan(clock_started=5, retention_days=1, now=100_000)[0] == ("s1", "deleted", False)
 
 
+def test_extension_samples_and_strip_report(spark):
+    rows = spark.createDataFrame([(f"d/{k}.{e}", e, k, k % 2 == 0, k % 3 == 0) for e in ("png", "pdf") for k in range(9)], "path string, ext string, size long, mapped boolean, kept boolean")
+    got = {r["ext"]: r["samples"] for r in H.extension_samples(rows, "ext", "path").collect()}
+    assert got == {e: [f"d/{k}.{e}" for k in range(3)] for e in ("png", "pdf")}
+    report = {r["ext"]: tuple(r)[1:] for r in H.strip_report(rows, "ext", "size", F.col("mapped"), F.col("kept")).collect()}
+    assert report == {"png": (9, 36, 5, 3), "pdf": (9, 36, 5, 3), None: (18, 72, 10, 6)}
+
+
 def test_brackets_in_titles_do_not_break_regions(spark):
     frame = spark.createDataFrame([("- [[x] y](a.md) — s",)], "c string")
     assert frame.select(X.region_targets(F.col("c")).alias("x")).first()["x"] == ["a.md"]
