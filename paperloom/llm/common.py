@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.storage import checkpoint
+
+__all__ = ["bounded_sample", "checkpoint", "connected_components", "free_name", "held_out", "lower_ascii", "sized", "table", "words"]
+
 #: ASCII white space, as a Java regular expression.
 WHITE = r"[\x20\x09-\x0D]+"
 #: A word is a longest run of anything else.
@@ -36,23 +38,6 @@ def free_name(df: DataFrame, *names: str) -> str | list[str]:
     return found if len(found) > 1 else found[0]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage and stored in the shared folder of ``spark.checkpoint.dir``.
-
-    Where that setting is missing, as in tests, a new temporary folder serves a local session; a cluster needs the setting.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.split("[")[0] == "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

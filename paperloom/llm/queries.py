@@ -12,6 +12,9 @@ from .common import bounded_sample, checkpoint, held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated rows included. Null, empty and blank texts have fingerprint zero and are linked like any other;
+    a null doc_id gets the smallest id of its group, or null.
+    """
     found = simhash_dedup.simhash_near_dups(table(spark, sf_dir, "documents"), size=3, bits=64, tables=1, distance=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("sketch")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -21,11 +24,15 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, repeated ones included. A null URL has an empty host and path, fits no rule and is judged by its features."""
     found = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return found.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", F.col("judged.blocked").alias("blocked_probability"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. A null text has no line and stays null (its digest is null), an empty one has one line; documents equal
+    in id and text get equal results, nulls come last in the order of ids.
+    """
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=6, exact_words=1)
     return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -50,11 +57,17 @@ FROM s GROUP BY doc_id
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and item of which a window is similar enough. Null and empty texts and items match nothing; rows equal in id
+    and text count once; of equal windows the first counts.
+    """
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc.id").alias("doc_id"), "item_id", "start_word", "n_words", "similarity")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones included. Null texts, and texts without a letter, are und with score 0; a null doc_id counts
+    as held out; of languages with equal scores the first by code point counts.
+    """
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     model = language_id.fit_language_model(docs.filter("not held_out"))
     found = language_id.predict_language(docs, model)
@@ -62,10 +75,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector, repeated ones included. Null labels, and vectors that are null, zero or not finite, link with nothing."""
     return embedding_dedup.embedding_near_dups(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones included. A null text counts as empty: no findings, and the digest of an empty text."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "secrets")
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -81,17 +96,26 @@ def _with_labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones included. Null and empty texts get the score of a text without matches; labels that are null
+    aren't learned from; a null doc_id counts as held out.
+    """
     lexicon = toxicity.fit_lexicon(_with_labels(spark, sf_dir, "toxic"))
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), lexicon)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones included, which share the words on an edge evenly. Null and empty texts have size 0 and take 0;
+    a null source is a source of its own, the last.
+    """
     found = mixing.mix_sources(table(spark, sf_dir, "documents"), (5.0, 2.0, 1.0), 3.0)
     return found.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, repeated ones included. A null text counts as empty; ratings that are null aren't learned from; without two
+    grades to learn from all documents get the same result.
+    """
     model = quality.fit_quality(_with_labels(spark, sf_dir, "quality"))
     found = quality.score_quality(table(spark, sf_dir, "documents"), model, tail_from=1.0)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality.expected").alias("expected_grade"), F.col("quality.tail").alias("tail_probability"), (F.col("quality.tail") >= 0.5).alias("kept"))
