@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup, toxicity, url_filter
-from .common import bounded_sample, checkpoint, held_out, table
+from .common import bounded_sample, held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
