@@ -83,14 +83,18 @@ def mentioned_project(docs: DataFrame, id_col: str, text_col: str, projects: Dat
     known = projects.select("project").distinct().withColumn("_parts", parts).filter(F.size("_parts") > 0)
     escaped = F.transform("_parts", lambda x: F.regexp_replace(x, r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
     pattern = F.concat(F.lit(r"(?:\A|[^a-z0-9])"), F.array_join(escaped, r"[-_\s]*"), F.lit(r"(?:[^a-z0-9]|\z)"))
-    known = known.select("project", F.regexp_extract(F.col("_parts")[0], r"\A([a-z0-9]*)", 1).alias("_start"), pattern.alias("_form"))
+    known = known.select("project", F.regexp_extract(F.col("_parts")[0], r"\A([a-z0-9]*)", 1).alias("_start"), pattern.alias("_form"), "_parts")
     lengths = [r[0] for r in known.select(F.length("_start")).distinct().collect()]  # as many as names have letters
     tokens = F.array_distinct(F.regexp_extract_all("_low", F.lit(r"([a-z0-9]+)"), F.lit(1)))
     cuts = F.array(*map(F.lit, sorted(lengths))) if lengths else F.array().cast("array<int>")
     starts = X.let(tokens, lambda ts: F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(cuts, lambda n: F.transform(ts, lambda t: F.substring(t, F.lit(1), n)))))))
-    rows = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
-    rows = rows.withColumn("_start", F.explode(starts)).join(known, "_start").filter(F.expr("_low rlike _form"))
-    return rows.groupBy(id_col).agg(F.max_by("project", F.struct(F.length("project"), "project")).alias("project"))
+    low = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    met = low.select(id_col, F.explode(starts).alias("_start")).join(known, "_start")
+    # The candidates of a text, the longest first, come back to it in one row, so that its words move once.
+    ranked = F.array_sort(F.collect_set(F.struct((-F.length("project")).alias("less"), "project", "_form", "_parts")))
+    met = met.groupBy(id_col).agg(ranked.alias("_ways"))
+    rows = low.join(met, id_col).select(id_col, F.get(F.expr("filter(_ways, w -> forall(w._parts, p -> contains(_low, p)) and _low rlike w._form)"), F.lit(0))["project"].alias("project"))
+    return rows.filter("project is not null").groupBy(id_col).agg(F.max_by("project", F.struct(F.length("project"), "project")).alias("project"))
 
 
 def fence_state(body: Column) -> Column:

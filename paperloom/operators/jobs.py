@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import frontmatter as M
+
 from . import enrich as E
 from . import indexes as I
 from . import ingest as N
@@ -43,7 +45,7 @@ def sync(pages: DataFrame, profile: I.Profile, store_checkpoint, binaries: DataF
     """
     done = {}
     if binaries is not None:
-        stamps = R.checked_pages(pages, profile).filter("type = 'sidecar'").select(F.concat_ws(":", "store", F.regexp_replace("path", r"\.md\z", "")).alias("path"), R.M.checked_text(F.col("fm"), "sha256").alias("sha"))
+        stamps = R.checked_pages(pages, profile).filter("type = 'sidecar'").select(F.concat_ws(":", "store", F.regexp_replace("path", r"\.md\z", "")).alias("path"), M.checked_text(F.col("fm"), "sha256").alias("sha"))
         now = binaries.select(F.concat_ws(":", "store", "path").alias("path"), F.sha2("content", 256).alias("sha"))
         due = sidecar_status(now, stamps).filter("status in ('missing', 'hash-changed')").select(F.col("path").alias("_key"))
         made = store_checkpoint(E.sidecar_pages(E.extract(binaries.join(due, F.concat_ws(":", "store", "path") == F.col("_key"), "left_semi")), date))

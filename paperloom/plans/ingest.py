@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import frontmatter as M
+from paperloom.functions import text as X
 from paperloom.operators import ingest as N
 
 from .history import read
@@ -69,7 +70,7 @@ def _(spark, d):
     rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), path.alias("path"))
     results = rows.select("path", F.col("k").alias("millis"), F.when(F.expr("k % 2 = 0"), "done").alias("received"))
     tasks = rows.filter("k % 7 <> 0").select(F.col("k").alias("id"), F.col("path").alias("result"), F.when(F.expr("k % 5 <> 0"), "tests").alias("qa"), F.when(F.expr("k % 3 = 0"), "ready").otherwise("done").alias("signal"))
-    stamps = rows.filter("k % 13 = 0").select(N.X.stamp_key(F.col("path"), F.col("k")).alias("stamp"))
+    stamps = rows.filter("k % 13 = 0").select(X.stamp_key(F.col("path"), F.col("k")).alias("stamp"))
     found = N.guard_ingest(results, tasks, rows.filter("k % 11 <> 0"), stamps)
     return found.select(F.col("millis").alias("id"), "reason")
 

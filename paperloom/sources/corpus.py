@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators.indexes import Profile, page_class
+
 
 def read_tree(spark: SparkSession, root: str, store: str) -> DataFrame:
     """(store, path, content) of every Markdown file below ``root``; dot folders and node_modules are skipped.
@@ -16,10 +18,8 @@ def read_tree(spark: SparkSession, root: str, store: str) -> DataFrame:
     return files.filter(~F.col("path").rlike(r"(^|/)(\.[^/]*|node_modules)/"))
 
 
-def scan_pages(pages: DataFrame, profile) -> DataFrame:
+def scan_pages(pages: DataFrame, profile: Profile) -> DataFrame:
     """The pages that a scan takes: none in hidden folders, archives, plans or buckets."""
-    from paperloom.operators.indexes import page_class
-
     kind = page_class(F.col("path"), profile)
     return pages.filter(~(kind["hidden"] | kind["archive"] | kind["plans"] | kind["bucket"]))
 
