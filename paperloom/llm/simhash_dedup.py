@@ -167,21 +167,26 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
     """(node, root) of every text with a near copy; node is xxhash64 of the text, root the smallest of its group.
 
     Texts are linked if the weighted Jaccard similarity of their shingles, a shingle's weight being its count, is
-    ``similarity`` or more. Two such texts share a token among the rarest n - ceil(similarity * n) + 1 of each (prefix
-    filter, which loses nothing), so they meet there. Texts without words are alike. Where a token
-    has many, leaders are compared to the rest first, until groups have formed; then all pairs of different groups are.
+    ``similarity`` or more. The first token, in order of rarity, that two such texts share is among the rarest
+    n - ceil(similarity * n) + 1 of each, and even the rarest n - ceil(2 similarity / (1 + similarity) * n) + 1 of the one with fewer
+    tokens (prefix filter, which loses nothing): there they meet, if what is left of both suffices. Texts without words are
+    alike. Where a token has many, leaders are compared to the rest first, until groups have formed; then all pairs of different
+    groups are.
     """
     texts = checkpoint(_candidates(docs, text_col, size, similarity))
     prefix = F.size("tokens") - _least_shared(similarity) + 1
-    met = checkpoint(texts.select("node", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token")))
-    links, left, best, turn, stale = None, met.select("token", "node", F.col("node").alias("root")), math.inf, 0, 0
+    met = texts.select("node", "n", F.size("tokens").alias("size"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("k", "token"))
+    small = F.col("k") <= F.col("size") - _least_shared(2 * similarity / (1 + similarity))
+    left = checkpoint(met.select("token", "node", F.col("node").alias("root"), "n", (F.col("size") - F.col("k")).alias("rest"), small.alias("small")))
+    share = similarity / (1 + similarity)
+    links, best, turn, stale = None, math.inf, 0, 0
     while True:
         left, cross = _apart(left)
         if not cross:
             break
         stale = 0 if cross < best / 2 else stale + 1
         last = cross <= 4 * left.count() or stale == 3  # leaders that join no more groups: these texts are unlike
-        pairs = checkpoint((_across(left) if last else _led(left, turn)).distinct())
+        pairs = checkpoint((_across(left, share) if last else _led(left, turn, share)).distinct())
         found = _alike(pairs, texts, similarity)
         links = checkpoint(found if links is None else links.union(found))
         if last:
@@ -189,16 +194,22 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
         left = _merged(left, links)
         best, turn = min(best, cross), turn + 1
     if links is None:
-        return met.select("node", F.col("node").alias("root")).limit(0)
+        return texts.select("node", F.col("node").alias("root")).limit(0)
     return connected_components(links)
 
 
-def _apart(met: DataFrame) -> tuple[DataFrame, int]:
-    """The rows (token, node, root) of tokens that hold several groups, and the number of pairs of different groups in them."""
-    sizes = met.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    sizes = checkpoint(sizes.filter("s * s > q"))
-    cross = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
-    return checkpoint(met.join(sizes.select("token"), "token")), int(cross or 0)
+def _apart(left: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of tokens in which some text meets a smaller one of another group, and the number of such pairs."""
+    sizes = left.groupBy("token", "root").agg(F.count("*").alias("k"), F.count_if("small").alias("m"))
+    sizes = sizes.groupBy("token").agg((F.sum("k") * F.sum("m") - F.sum(F.col("k") * F.col("m"))).alias("pairs")).filter("pairs > 0")
+    sizes = checkpoint(sizes)
+    cross = sizes.agg(F.sum("pairs")).first()[0]
+    return checkpoint(left.join(sizes.select("token"), "token")), int(cross or 0)
+
+
+def _enough(rest: str, n: str, other_rest: str, other_n: str, share: float) -> Column:
+    """Whether two texts that share this token first can share enough of them."""
+    return F.least(rest, other_rest) >= (F.col(n) + F.col(other_n)) * share - 1e-9
 
 
 def _merged(left: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,27 +218,33 @@ def _merged(left: DataFrame, links: DataFrame) -> DataFrame:
     Longer chains are joined in later turns; groups only spare comparisons, and the components are found at the end.
     """
     of = left.select("node", "root").distinct()
+    columns = left.columns
     ends = links.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").filter("ra <> rb")
     hung = checkpoint(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("up")))
     for _ in range(2):
         hung = hung.join(hung.toDF("up", "above"), "up", "left").select("root", F.coalesce("above", "up").alias("up"))
-    return left.join(hung, "root", "left").select("token", "node", F.coalesce("up", "root").alias("root"))
+    return left.join(hung, "root", "left").withColumn("root", F.coalesce("up", "root")).select(*columns)
 
 
-def _led(met: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the pairs of a token's leader, another text each turn, and its texts of other groups."""
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root"))
-    lead = met.groupBy("token").agg(first.alias("x")).select("token", F.col("x.root").alias("of"), F.col("x.node").alias("a"))
-    return met.join(lead, "token").filter("root <> of").select("a", F.col("node").alias("b"))
+def _led(left: DataFrame, turn: int, share: float) -> DataFrame:
+    """(a, b): the pairs of a token's leader, one of its smaller texts and another one each turn, and its texts of other groups."""
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n", "rest"))
+    lead = left.filter("small").groupBy("token").agg(first.alias("x"))
+    lead = lead.select("token", F.col("x.root").alias("of"), F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("x.rest").alias("r"))
+    return left.join(lead, "token").filter((F.col("root") != F.col("of")) & _enough("rest", "n", "r", "m", share)).select("a", F.col("node").alias("b"))
 
 
-def _across(met: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a token's texts that are of different groups; a group is never joined to itself."""
-    of = met.select("token", "root").distinct()
-    both = of.withColumnRenamed("root", "r").join(of.withColumnRenamed("root", "s"), "token").filter("r < s")
-    x = met.select("token", F.col("root").alias("r"), F.col("node").alias("x"))
-    y = met.select("token", F.col("root").alias("s"), F.col("node").alias("y"))
-    return both.join(x, ["token", "r"]).join(y, ["token", "s"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _across(left: DataFrame, share: float) -> DataFrame:
+    """(a, b): all pairs of a token's smaller texts with texts of other groups; a group is never joined to itself.
+
+    Groups meet first, and only those of which some texts can share enough.
+    """
+    of = lambda rows, g: rows.groupBy("token", F.col("root").alias(g)).agg(F.max("rest").alias(f"{g}_rest"), F.min("n").alias(f"{g}_n"))
+    both = of(left.filter("small"), "r").join(of(left, "s"), "token").filter((F.col("r") != F.col("s")) & _enough("r_rest", "r_n", "s_rest", "s_n", share))
+    x = left.filter("small").select("token", F.col("root").alias("r"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xr"))
+    y = left.select("token", F.col("root").alias("s"), F.col("node").alias("y"), F.col("n").alias("yn"), F.col("rest").alias("yr"))
+    rows = both.select("token", "r", "s").join(x, ["token", "r"]).join(y, ["token", "s"]).filter(_enough("xr", "xn", "yr", "yn", share))
+    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
