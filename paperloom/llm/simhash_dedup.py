@@ -156,11 +156,14 @@ def _candidates(docs: DataFrame, text_col: str, size: int, similarity: float) ->
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is ``similarity`` or more."""
+    """The pairs (a, b) whose weighted Jaccard similarity is ``similarity`` or more.
+
+    Merge joins, as tokens of copies look small when compressed, and Spark would send them to the driver for a broadcast.
+    """
     x = texts.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x"))
     y = texts.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").filter(both >= (F.col("m") + F.col("n") - both) * similarity - 1e-9).select("a", "b")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").filter(both >= (F.col("m") + F.col("n") - both) * similarity - 1e-9).select("a", "b")
 
 
 def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -204,7 +207,7 @@ def _apart(left: DataFrame) -> tuple[DataFrame, int]:
     sizes = sizes.groupBy("token").agg((F.sum("k") * F.sum("m") - F.sum(F.col("k") * F.col("m"))).alias("pairs")).filter("pairs > 0")
     sizes = checkpoint(sizes)
     cross = sizes.agg(F.sum("pairs")).first()[0]
-    return checkpoint(left.join(sizes.select("token"), "token")), int(cross or 0)
+    return checkpoint(left.join(sizes.select("token").hint("merge"), "token")), int(cross or 0)
 
 
 def _enough(rest: str, n: str, other_rest: str, other_n: str, share: float) -> Column:
@@ -231,7 +234,7 @@ def _led(left: DataFrame, turn: int, share: float) -> DataFrame:
     first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n", "rest"))
     lead = left.filter("small").groupBy("token").agg(first.alias("x"))
     lead = lead.select("token", F.col("x.root").alias("of"), F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("x.rest").alias("r"))
-    return left.join(lead, "token").filter((F.col("root") != F.col("of")) & _enough("rest", "n", "r", "m", share)).select("a", F.col("node").alias("b"))
+    return left.join(lead.hint("merge"), "token").filter((F.col("root") != F.col("of")) & _enough("rest", "n", "r", "m", share)).select("a", F.col("node").alias("b"))
 
 
 def _across(left: DataFrame, share: float) -> DataFrame:
@@ -243,7 +246,7 @@ def _across(left: DataFrame, share: float) -> DataFrame:
     both = of(left.filter("small"), "r").join(of(left, "s"), "token").filter((F.col("r") != F.col("s")) & _enough("r_rest", "r_n", "s_rest", "s_n", share))
     x = left.filter("small").select("token", F.col("root").alias("r"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("rest").alias("xr"))
     y = left.select("token", F.col("root").alias("s"), F.col("node").alias("y"), F.col("n").alias("yn"), F.col("rest").alias("yr"))
-    rows = both.select("token", "r", "s").join(x, ["token", "r"]).join(y, ["token", "s"]).filter(_enough("xr", "xn", "yr", "yn", share))
+    rows = both.select("token", "r", "s").join(x.hint("merge"), ["token", "r"]).join(y.hint("merge"), ["token", "s"]).filter(_enough("xr", "xn", "yr", "yn", share))
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
