@@ -14,26 +14,61 @@ ZERO = r"\A0+\z"
 LINK, SUBMODULE = "120000", "160000"
 
 
+def commit_chains(commits: DataFrame, store_checkpoint) -> DataFrame:
+    """(store, commit, ord, chain, place): every commit once, on a chain of commits of which each is a parent of the next; ``place`` counts from the oldest.
+
+    A commit goes on the chain of its latest parent, if it is that one's latest child. Chains are followed by pointer doubling: each round,
+    a commit that knows one 2^k places before it takes over what that one knows, so rounds grow with the logarithm of the longest chain.
+    """
+    ords = commits.groupBy("store", "commit").agg(F.max("ord").alias("ord"))
+    edges = commits.filter("parent is not null").select("store", "commit", "parent").distinct().join(ords.withColumnsRenamed({"commit": "parent", "ord": "parent_ord"}), ["store", "parent"])
+    latest = edges.groupBy("store", "commit").agg(F.max(F.struct("parent_ord", "parent"))["parent"].alias("parent"))
+    child = latest.join(ords, ["store", "commit"]).groupBy("store", "parent").agg(F.max(F.struct("ord", "commit"))["commit"].alias("commit"))
+    rows = ords.join(child, ["store", "commit"], "left").select("store", "commit", "ord", F.coalesce("parent", "commit").alias("up"), F.col("parent").isNotNull().cast("long").alias("place"))
+    rows = store_checkpoint(rows)
+    while True:
+        above = rows.select("store", F.col("commit").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
+        moved = rows.join(above, ["store", "up"]).select("store", "commit", "ord", F.col("next").alias("up"), (F.col("place") + F.col("more")).alias("place"), (F.col("more") > 0).alias("moved"))
+        moved = store_checkpoint(moved)
+        rows = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return rows.select("store", "commit", "ord", F.col("up").alias("chain"), "place")
+
+
 def is_ancestor(updates: DataFrame, commits: DataFrame, store_checkpoint) -> DataFrame:
     """The (store, old, new) of ``updates`` in which old is an ancestor of new, or new itself.
 
-    ``commits`` has (store, commit, parent, ord), ord growing along every parent edge. A frontier walks back from new and
-    drops what is older than old, so it goes no further than the push is deep.
+    ``commits`` has (store, commit, parent, ord), ord growing along every parent edge. Commits older than all old ones of their store, or later
+    than all new ones, are left out. The others are cut into chains; a search then knows of each chain the latest place it has reached, which stands for all
+    before it, and goes from there to other chains. So a round crosses whole chains, and rounds grow with the logarithm of the depth
+    and with how often a way must change chains, not with the depth.
     """
     pairs = updates.select("store", "old", "new").distinct()
     ords = commits.groupBy("store", "commit").agg(F.max("ord").alias("ord"))
-    low = pairs.join(ords.withColumnsRenamed({"commit": "old", "ord": "low"}), ["store", "old"])
-    frontier = store_checkpoint(low.withColumn("commit", F.col("new")))
-    edges = commits.select("store", "commit", "parent").filter("parent is not null").distinct()
-    done, seen = None, frontier
-    while not frontier.isEmpty():
-        hit = frontier.filter("commit = old").select("store", "old", "new")
-        done = store_checkpoint(hit.distinct() if done is None else done.union(hit).distinct())
-        step = frontier.join(edges, ["store", "commit"]).select("store", "old", "new", "low", F.col("parent").alias("commit")).distinct()
-        step = step.join(ords, ["store", "commit"]).filter("ord >= low").select(frontier.columns)
-        frontier = store_checkpoint(step.join(done, ["store", "old", "new"], "left_anti").join(seen, frontier.columns, "left_anti"))
-        seen = store_checkpoint(seen.union(frontier))
-    return pairs.limit(0) if done is None else done
+    ends = pairs.join(ords.withColumnsRenamed({"commit": "old", "ord": "low"}), ["store", "old"]).join(ords.withColumnsRenamed({"commit": "new", "ord": "high"}), ["store", "new"])
+    ends = store_checkpoint(ends)
+    span = ends.groupBy("store").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    some = store_checkpoint(commits.join(span, "store").filter("ord between low and high").select(*commits.columns))
+    chains = store_checkpoint(commit_chains(some, store_checkpoint))
+    at = lambda df, c, a, p: df.join(chains.select("store", F.col("commit").alias(c), F.col("chain").alias(a), F.col("place").alias(p)), ["store", c])
+    # Edges that leave a chain, and where each search starts and has to come to.
+    leaving = at(at(some.filter("parent is not null").select("store", "commit", "parent").distinct(), "commit", "chain", "from"), "parent", "to_chain", "to")
+    leaving = store_checkpoint(leaving.filter("chain <> to_chain").select("store", "chain", "from", "to_chain", "to").distinct())
+    goals = store_checkpoint(at(at(ends, "new", "chain", "place"), "old", "goal", "goal_place"))
+    search = ["store", "old", "new", "goal", "goal_place"]
+    reached = store_checkpoint(goals.select(*search, "chain", "place"))
+    frontier, found = reached.withColumn("before", F.lit(-1).cast("long")), None
+    while True:
+        hit = frontier.filter("chain = goal and place >= goal_place").select("store", "old", "new").distinct()
+        found = store_checkpoint(hit if found is None else found.union(hit).distinct())
+        step = frontier.join(found, ["store", "old", "new"], "left_anti").join(leaving, ["store", "chain"]).filter("`from` <= place and `from` > before")
+        step = step.groupBy(*search, F.col("to_chain").alias("chain")).agg(F.max("to").alias("place"))
+        known = reached.select("store", "old", "new", "chain", F.col("place").alias("before"))
+        step = step.join(known, ["store", "old", "new", "chain"], "left").withColumn("before", F.coalesce("before", F.lit(-1).cast("long"))).filter("place > before")
+        frontier = store_checkpoint(step.select(*search, "chain", "place", "before"))
+        if frontier.isEmpty():
+            return found
+        reached = store_checkpoint(reached.join(frontier, ["store", "old", "new", "chain"], "left_anti").unionByName(frontier.drop("before")))
 
 
 def ref_problems(updates: DataFrame, forward: DataFrame) -> DataFrame:

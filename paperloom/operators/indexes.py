@@ -149,22 +149,29 @@ def _readme_of(directory: Column) -> Column:
 _LINK = r"\[[^\]\n]+\]\([^)\n]+\)"
 
 
-def rebase_links(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Links in summaries, seen from the index page: kept if external, rebased if the target is there, else only their label.
+def summary_links(entries: DataFrame) -> DataFrame:
+    """(store, readme, link, source, pos, raw, text, target, mark, resolved): the links in the summaries of entries, resolved from the page they stand in.
 
-    Only entries whose summary holds a link are taken apart; their links meet the files by path.
+    Only entries whose summary holds a link are taken apart.
     """
-    with_link = F.col("summary").rlike(_LINK)
-    key = ["store", "readme", "link"]
-    rows = entries.filter(with_link).select(*key, "source", F.posexplode(F.regexp_extract_all("summary", F.lit(f"({_LINK})"), F.lit(1))).alias("pos", "raw"))
+    rows = entries.filter(F.col("summary").rlike(_LINK))
+    rows = rows.select("store", "readme", "link", "source", F.posexplode(F.regexp_extract_all("summary", F.lit(f"({_LINK})"), F.lit(1))).alias("pos", "raw"))
     raw = F.regexp_extract("raw", r"\]\((.*)\)\z", 1)
     label = F.regexp_extract("raw", r"(?s)\A\[(.*)\]\(", 1)
     mark = F.regexp_extract(raw, r"\A[^#]*(#.*)\z", 1)
     target = F.trim(F.regexp_extract(raw, r"\A([^#]*)", 1))
     rows = rows.select("*", label.alias("text"), target.alias("target"), mark.alias("mark"))
-    rows = rows.withColumn("resolved", X.resolve(X.directory(F.col("source")), F.col("target")))
+    return rows.withColumn("resolved", X.resolve(X.directory(F.col("source")), F.col("target")))
+
+
+def rebase_links(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Links in summaries, seen from the index page: kept if external, rebased if the target is there, else only their label.
+
+    The links meet the files by path.
+    """
+    key = ["store", "readme", "link"]
     there = files.select("store", F.col("path").alias("resolved")).distinct().withColumn("there", F.lit(True))
-    rows = rows.join(there, ["store", "resolved"], "left")
+    rows = summary_links(entries).join(there, ["store", "resolved"], "left")
     moved = F.concat(F.lit("["), F.col("text"), F.lit("]("), relative(X.directory(F.col("readme")), F.col("resolved")), F.col("mark"), F.lit(")"))
     new = F.when(X.is_external(F.col("target")) & ~F.startswith("target", F.lit("#")), F.col("raw")).when(F.col("there") & (F.col("target") != ""), moved).otherwise(F.col("text"))
     new = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", new.alias("new")))), lambda x: x["new"]).alias("_new"))
@@ -220,11 +227,16 @@ def missing_regions(pages: DataFrame, profile: Profile) -> DataFrame:
     return readmes.filter(~both).select("store", F.col("path").alias("readme"))
 
 
-def _next_indexes(leaf_lines: DataFrame, dirs: DataFrame, readmes: DataFrame, files: DataFrame, profile: Profile) -> DataFrame:
-    """(store, path, content, created) of the index pages that differ from ``readmes``, given the lines of pages and all paths."""
-    lines = leaf_lines.unionByName(index_lines(rebase_links(folder_entries(dirs, readmes, profile), files)))
-    want = dirs.select("store", _readme_of(F.col("dir")).alias("path"))
+def readmes_of(dirs: DataFrame) -> DataFrame:
+    """(store, readme): the index pages of folders (store, dir)."""
+    return dirs.select("store", _readme_of(F.col("dir")).alias("readme"))
+
+
+def changed_indexes(entries: DataFrame, wanted: DataFrame, readmes: DataFrame, files: DataFrame, profile: Profile) -> DataFrame:
+    """(store, path, content, created) of those ``wanted`` index pages (store, readme) that differ from ``readmes``, given all their entries."""
+    lines = index_lines(rebase_links(entries.join(wanted, ["store", "readme"], "left_semi"), files))
     texts = index_texts(lines).withColumnRenamed("readme", "path")
+    want = wanted.select("store", F.col("readme").alias("path"))
     rows = want.join(texts, ["store", "path"], "left").join(readmes.select("store", "path", F.col("content").alias("old")), ["store", "path"], "left")
     old = X.trim_carriage(F.col("old"))
     now = F.coalesce(old, default_readme(readme_title(F.col("path")), profile))
@@ -234,31 +246,58 @@ def _next_indexes(leaf_lines: DataFrame, dirs: DataFrame, readmes: DataFrame, fi
 
 def index_pass(pages: DataFrame, profile: Profile) -> DataFrame:
     """(store, path, content, created) of the index pages that have to be written, as one pass sees them."""
-    leaf = index_lines(rebase_links(leaf_entries(pages, profile), pages))
-    return _next_indexes(leaf, folders(pages, profile), readme_pages(pages), pages, profile)
+    return changed_indexes(index_entries(pages, profile), readmes_of(folders(pages, profile)), readme_pages(pages), pages, profile)
 
 
-def index_fixed_point(pages: DataFrame, profile: Profile, store_checkpoint, passes: int = 10) -> tuple[DataFrame, DataFrame, int]:
-    """(index pages, what was written as (store, path, created), passes): passes until one writes nothing; more than ``passes`` is an error.
+@dataclass
+class Settled:
+    """Tables after the passes: entries, index pages and files as they are now, what was written (store, path, created), and the number of passes."""
+
+    entries: DataFrame
+    readmes: DataFrame
+    files: DataFrame
+    written: DataFrame
+    passes: int
+
 
-    A new index page changes what its parent says of it, so one pass is not always enough. Pages are read once; a pass
-    reads their lines, the folders and the index pages.
+def settle_indexes(entries: DataFrame, readmes: DataFrame, files: DataFrame, wanted: DataFrame, profile: Profile, store_checkpoint, passes: int = 10) -> Settled:
+    """Passes over ``wanted`` index pages (store, readme) until one writes nothing; more than ``passes`` is an error.
+
+    All tables must be stored. A page that was written changes what the index above says of its folder, and one that is new what links to it can
+    say; the next pass takes only the index pages of which an entry changed in these ways.
     """
-    leaf = store_checkpoint(index_lines(rebase_links(leaf_entries(pages, profile), pages)))
-    dirs = store_checkpoint(folders(pages, profile))
-    files = store_checkpoint(pages.select("store", "path"))
-    readmes, written = store_checkpoint(readme_pages(pages).select("store", "path", "content")), None
+    key, written = ["store", "readme", "link"], None
     for turn in range(1, passes + 1):
-        new = store_checkpoint(_next_indexes(leaf, dirs, readmes, files, profile))
+        new = store_checkpoint(changed_indexes(entries, wanted, readmes, files, profile))
         if new.isEmpty():
-            return readmes, written if written is not None else new.select("store", "path", "created"), turn
+            return Settled(entries, readmes, files, written if written is not None else new.select("store", "path", "created"), turn)
         done = new.select("store", "path", "created")
         written = store_checkpoint(done if written is None else written.unionByName(done).groupBy("store", "path").agg(F.bool_or("created").alias("created")))
         readmes = store_checkpoint(readmes.join(new, ["store", "path"], "left_anti").unionByName(new.drop("created")))
-        files = store_checkpoint(files.unionByName(new.filter("created").select("store", "path")))
+        created = new.filter("created").select("store", "path")
+        files = store_checkpoint(files.unionByName(created))
+        above = folder_entries(new.select("store", X.directory(F.col("path")).alias("dir")), new, profile)
+        said = entries.filter("is_dir").select(*key, F.struct("label", "summary").alias("_old"))
+        above = above.join(said, key, "left").filter(~F.struct("label", "summary").eqNullSafe(F.col("_old"))).drop("_old")
+        above = store_checkpoint(above)
+        if not above.isEmpty():
+            entries = store_checkpoint(entries.join(above, key, "left_anti").unionByName(above))
+        met = summary_links(entries).join(created.withColumnRenamed("path", "resolved"), ["store", "resolved"], "left_semi")
+        wanted = store_checkpoint(above.select("store", "readme").union(met.select("store", "readme")).distinct())
+        if wanted.isEmpty():
+            return Settled(entries, readmes, files, written, turn)
     raise RuntimeError(f"index pages still change after {passes} passes")
 
 
+def index_fixed_point(pages: DataFrame, profile: Profile, store_checkpoint, passes: int = 10) -> tuple[DataFrame, DataFrame, int]:
+    """(index pages, what was written as (store, path, created), passes) of whole trees. Pages are read once."""
+    entries = store_checkpoint(index_entries(pages, profile))
+    wanted = store_checkpoint(readmes_of(folders(pages, profile)))
+    readmes = store_checkpoint(readme_pages(pages).select("store", "path", "content"))
+    done = settle_indexes(entries, readmes, store_checkpoint(pages.select("store", "path")), wanted, profile, store_checkpoint, passes)
+    return done.readmes, done.written, done.passes
+
+
 def self_heal(pages: DataFrame, profile: Profile, store_checkpoint) -> DataFrame:
     """The pages, with index pages made anew if a region is stale; an error if one still is."""
     stale = lambda p: stale_regions(index_lines(index_entries(p, profile)), p, profile)

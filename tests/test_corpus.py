@@ -1,6 +1,7 @@
 """Readers, indexes, gates and writers on small trees, against hand-made and plain-Python results."""
 
 import json
+import posixpath
 import re
 
 import pytest
@@ -187,7 +188,7 @@ def plain_indexes(tree, profile):
                     target, _, mark = m[2].partition("#")
                     if "://" in target:
                         return m[0]
-                    at = "/".join([*source.split("/")[:-1], target])
+                    at = posixpath.normpath("/".join([*source.split("/")[:-1], target]))
                     return f"[{m[1]}]({relative(d, at)}{'#' + mark if mark else ''})" if at in tree else m[1]
 
                 text.append(f"- [{label}]({link}) — " + re.sub(r"\[([^\]]+)\]\(([^)]+)\)", moved, said))
