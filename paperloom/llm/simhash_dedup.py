@@ -20,20 +20,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, connected_components
+from .common import bounded_sample, checkpoint, connected_components, sized
 
 _ODD = 0x9E3779B97F4A7C15
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits from each hash; k = 0 keeps the hash itself."""
-    if not k:
-        return h
+def _mixed(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Another 64 bits from each hash and its number; k = 0 keeps the hash itself."""
     with np.errstate(over="ignore"):
-        z = h + np.uint64(k * _ODD % 2**64)
+        z = h + k.astype(np.uint64) * np.uint64(_ODD)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        return np.where(k == 0, h, z ^ (z >> np.uint64(31)))
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -120,16 +118,20 @@ def shingle_tokens(text: str | None, size: int) -> np.ndarray:
         return np.zeros(1, np.int64)
     at = np.arange(len(h))
     k = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-    for n in range(1, int(k.max()) + 1):
-        h[k == n] = _mixed(h[k == n], n)
-    return (h >> np.uint64(16)).view(np.int64)
+    return (_mixed(h, k) >> np.uint64(16)).view(np.int64)
 
 
 def _tokens(rows: DataFrame, size: int) -> DataFrame:
-    """(node, n, token) of rows (node, text): n tokens of each text. A few texts at a time, to keep the workers small."""
+    """(node, n, token) of rows (node, text): n tokens of each text. A few texts at a time, to keep the workers small.
+
+    A task takes a node once, however many copies of its text it reads.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            new = [k for k, node in enumerate(batch.column(0).to_pylist()) if node not in seen and not seen.add(node)]
+            batch = batch.take(pa.array(new, pa.int64()))
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = [shingle_tokens(x, size) for x in part.column(1).to_pylist()]
@@ -145,11 +147,28 @@ def _least_shared(similarity: float) -> Column:
     return F.ceil(F.col("n") * similarity - 1e-9)
 
 
+#: Texts of the sample in which frequent tokens are looked for, and how many of these a frequent token is in.
+SAMPLE, FREQUENT = 20_000, 100
+
+
 def _candidates(docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
-    """(node, n, tokens) of the texts that share enough tokens with others: n counts all, tokens holds the shared ones, the rarest first."""
-    rows = _tokens(docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")), size)
-    by = Window.partitionBy("token")
-    rows = rows.withColumn("df", F.count("*").over(by)).withColumn("least", F.min("node").over(by)).withColumn("most", F.max("node").over(by))
+    """(node, n, tokens) of the texts that share enough tokens with others: n counts all, tokens holds the shared ones, the rarest first.
+
+    A token's rows are counted where they meet, in one shuffle; those of the tokens that are frequent in a sample of texts are counted by partial
+    sums before and then dealt out, so that no task gets them. Both counts are exact, whatever the sample.
+    """
+    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    some = bounded_sample(texts, ["node"], SAMPLE, 1)
+    frequent = checkpoint(_tokens(some, size).groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") >= FREQUENT).select("token"))
+    rows = _tokens(texts, size).withColumn("part", F.lit(0))
+    known = not frequent.isEmpty()
+    if known:
+        counts = _tokens(texts, size).join(sized(frequent, 500_000), "token").groupBy("token")
+        counts = checkpoint(counts.agg(F.count("*").alias("df_"), F.min("node").alias("least_"), F.max("node").alias("most_")))
+        rows = rows.join(sized(counts, 500_000), "token", "left").withColumn("part", F.when(F.col("df_").isNotNull(), F.pmod("node", F.lit(4096))).otherwise(0))
+    by = Window.partitionBy("token", "part")
+    for name, met in (("df", F.count("*")), ("least", F.min("node")), ("most", F.max("node"))):
+        rows = rows.withColumn(name, F.coalesce(f"{name}_", met.over(by)) if known else met.over(by))
     rows = rows.filter("least <> most").groupBy("node").agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "token")).alias("tokens"))
     rows = rows.filter(F.size("tokens") >= _least_shared(similarity))
     return rows.select("node", "n", F.array_sort("tokens")["token"].alias("tokens"))
@@ -254,11 +273,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with equal id, each stays.
 
     A group whose ids are all null stays whole. A row goes by its id and its text, so rows that share an id, or have
-    none, and hold other texts aren't touched.
+    none, and hold other texts aren't touched. Texts are known by a hash of 64 bits; where a second hash tells that texts share it, their rows stay.
     """
     groups = near_copies(docs, text_col, **options)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node")).join(groups, "node", "left")
-    rows = checkpoint(rows.select("id", "node", F.coalesce("root", "node").alias("root")))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.xxhash64(F.lit(1), text_col).alias("other"))
+    rows = checkpoint(rows.join(groups, "node", "left").select("id", "node", "other", F.coalesce("root", "node").alias("root")))
+    shared = rows.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).filter("x <> y").select("node")
+    rows = rows.join(sized(checkpoint(shared)), "node", "left_anti")
     least = rows.groupBy("root").agg(F.min("id").alias("least"))
     others = rows.join(least, "root").filter("least is not null and not (id <=> least)")
     gone = checkpoint(others.select(F.col("id").alias("_gone"), F.col("node").alias("_hash")).distinct())

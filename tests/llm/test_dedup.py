@@ -1,6 +1,7 @@
 """Near-duplicates, lines, leaks and vectors against brute force, and on odd rows."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -211,3 +212,12 @@ def test_vectors_equal_brute_force(spark):
     assert found >= 0.99 and all(got[k][0] <= want[k][0] for k in want)
     assert sum(got[k] == want[k] for k in want) >= 400
     assert embedding_dedup.embedding_near_dups(frame.limit(0)).count() == 0
+
+
+def test_frequent_tokens_and_repetitive_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "FREQUENT", 3)
+    test_near_copies_are_those_of_exact_similarity(spark)
+    test_near_copies_behind_an_unlike_leader(spark)
+    began = time.time()
+    tokens = simhash_dedup.shingle_tokens("word " * 300_000, 5)
+    assert len(set(tokens.tolist())) == len(tokens) == 299_996 and time.time() - began < 5
