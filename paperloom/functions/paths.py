@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,23 +80,41 @@ def _glob(pattern: str) -> str:
     return "".join(out).replace("\0/", "").replace("\0\\/", "")
 
 
+@dataclass(frozen=True)
+class Pattern:
+    """A line of a pattern list: what it says, the names it is made of, whether they start at the root, and whether it means folders only."""
+
+    line: str
+    body: str
+    rooted: bool
+    folder: bool
+
+    @classmethod
+    def read(cls, lines: list[str] | tuple[str, ...]) -> list[Pattern]:
+        """The patterns of a list, without blank lines and remarks; one that is negated is an error."""
+        found = []
+        for line in lines:
+            said = re.fullmatch(r"(?P<root>/*)(?P<body>.*?)(?P<folder>/*)(?:(?<!\\)\s)*", line, re.DOTALL)
+            if said["body"].startswith("#") and not said["root"] or not said["body"]:
+                continue
+            if line.startswith("!"):
+                raise ValueError(f"a pattern can't be negated: {line}")
+            found.append(cls(line, said["body"], bool(said["root"]) or "/" in said["body"], bool(said["folder"])))
+        return found
+
+    def below(self, folder: str) -> str:
+        """The line that means the same files, seen from above ``folder``."""
+        names = [*folder.split("/"), *([] if self.rooted else ["**"]), self.body]
+        return "/".join([*filter(None, names), *([""] if self.folder else [])])
+
+
 def match_patterns(path: Column, patterns: list[str] | tuple[str, ...], ignore_case: bool = False) -> Column:
     """the pattern that covers a path, null if none: of the shallowest folder or file that one covers, the first in the list.
 
     A pattern with a slash holds from the root, others for any name; one that ends with a slash covers folders only. Blank
     patterns and those that start with # are passed over; a pattern that starts with ! is an error.
     """
-    found = []
-    for raw in patterns:
-        text = re.sub(r"(?<!\\)\s+$", "", raw)
-        if not text or text.startswith("#"):
-            continue
-        if text.startswith("!"):
-            raise ValueError(f"a pattern can't be negated: {raw}")
-        bare = text.rstrip("/")
-        body = bare.removeprefix("/")
-        if body:
-            found.append((raw, ("(?i)" if ignore_case else "") + rf"\A{_glob(body)}\z", "/" in bare, text.endswith("/")))
+    found = [(p, ("(?i)" if ignore_case else "") + rf"\A{_glob(p.body)}\z") for p in Pattern.read(patterns)]
     if not found:
         return F.lit(None).cast("string")
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
@@ -103,25 +122,17 @@ def match_patterns(path: Column, patterns: list[str] | tuple[str, ...], ignore_c
     def covers(p: Column) -> Column:
         def at(n: Column) -> Column:
             prefix, name = F.array_join(F.slice(p, F.lit(1), n), "/"), F.element_at(p, n)
-            fits = [(prefix if anchored else name).rlike(form) & (F.lit(not folder) | (n < F.size(p))) for _, form, anchored, folder in found]
-            return F.coalesce(*[F.when(fit, F.lit(raw)) for fit, (raw, *_) in zip(fits, found, strict=True)])
+            fits = [(prefix if one.rooted else name).rlike(form) & (F.lit(not one.folder) | (n < F.size(p))) for one, form in found]
+            return F.coalesce(*[F.when(fit, F.lit(one.line)) for fit, (one, _) in zip(fits, found, strict=True)])
 
         return F.get(F.array_compact(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda n: F.when(n <= F.size(p), at(n)))), F.lit(0))
 
     return F.transform(F.array(parts), covers)[0]
 
 
-def anchor_pattern(pattern: str, folder: str) -> str | None:
-    """a pattern of a tree below ``folder``, as one of the whole repository; null for blanks and remarks."""
-    text = re.sub(r"(?<!\\)\s+$", "", pattern)
-    if not text or text.startswith("#"):
-        return None
-    if text.startswith("!"):
-        raise ValueError(f"a pattern can't be negated: {pattern}")
-    prefix, bare = folder.strip("/"), text.rstrip("/")
-    if not prefix:
-        return text
-    return f"{prefix}/{'' if '/' in bare else '**/'}{bare.lstrip('/')}{'/' if text.endswith('/') else ''}"
+def rebased_patterns(patterns: list[str] | tuple[str, ...], folder: str) -> list[str]:
+    """the patterns of a tree below ``folder``, as ones of the whole repository."""
+    return [p.below(folder) for p in Pattern.read(patterns)]
 
 
 def unicode_keys(path: Column) -> Column:

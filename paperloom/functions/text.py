@@ -87,14 +87,28 @@ def resolve(base: Column, target: Column) -> Column:
     return F.when(~fold["out"], F.array_join(fold["at"], "/"))
 
 
+#: Elements that go with what they hold, tags that become line ends, entities in the order in which they are read, and
+#: what a text loses at both ends.
+_UNREAD = ("script", "style", "noscript")
+_LINE_TAGS = ("main", "article", "section", "p", "div", "li", "h[1-6]", "br", "tr", "td", "th", "blockquote")
+_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+_ENDS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
 def html_to_text(html: Column) -> Column:
-    """P10: scripts and styles go, blocks become lines, other tags blanks; four entities; blanks are squeezed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|section|article|h[1-6]|li|ul|ol|br|tr|table)\b[^>]*>", "\n")
+    """P10: what a page says: some elements go, blocks become lines, other tags blanks; runs of blanks and of empty lines become one. Null is empty.
+
+    A tag counts as one that becomes a line if its name starts with the name of one.
+    """
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"\r\n?", "\n")
+    for name in _UNREAD:
+        text = F.regexp_replace(text, rf"(?is)<{name}\b.*?</{name}>", " ")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(_LINE_TAGS)})[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for name, sign in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
+    return F.regexp_replace(text, rf"\A{_ENDS}|{_ENDS}\z", "")
 
 
 def slugify(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans as S
+
 
 def consecutive_ok(runs: DataFrame, key: str, order: list[str], ok: Column, last: int = 30) -> DataFrame:
     """The trailing run of successes per key among its ``last`` latest rows; order must be unique within a key."""
@@ -36,10 +38,33 @@ def fold_by_id(log: DataFrame, key: str, order: list[str], fields: list[str]) ->
     return log.groupBy(key).agg(F.min(order[0]).alias("first_seen"), *last)
 
 
+def fold_json(lines: DataFrame, line: str, order: list[str], id_field: str = "id") -> DataFrame:
+    """W2, ST9: (id, first_seen, fields): JSON objects, one a line, folded by id: of each field the last value, whatever its name.
+
+    fields maps names to values as JSON text. A field that a later line leaves out keeps its value; one that it sets to null is null. Lines that aren't
+    objects, and those whose id is missing, null, empty, zero or false, are left out. first_seen is ``order`` of the id's first line; orders must be unique.
+    Fields are folded one by one, by partial sums, before an id's are put together, so an id with many lines is no large group.
+    """
+    rows = lines.select(F.struct(*order).alias("at"), F.try_parse_json(line).alias("v")).filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    said = F.to_json(F.try_variant_get("v", f"$.{id_field}", "variant"))
+    rows = rows.withColumn("id", F.try_variant_get("v", f"$.{id_field}", "string")).filter(~said.isin("null", '""', "0", "false"))
+    parts = rows.sparkSession.tvf.variant_explode(F.col("v").outer())
+    fields = rows.lateralJoin(parts).select("id", "at", "key", F.to_json("value").alias("value"))
+    last = fields.groupBy("id", "key").agg(F.max(F.struct("at", "value"))["value"].alias("value"))
+    entry = F.array_sort(F.collect_list(F.struct("key", "value")))
+    first = rows.groupBy("id").agg(F.min("at").alias("first_seen"))
+    return first.join(last.groupBy("id").agg(F.map_from_entries(entry).alias("fields")), "id")
+
+
+def open_conflicts(folded: DataFrame, at: str = "first_seen") -> DataFrame:
+    """ST9: the conflicts of ``fold_json`` whose status is open, in the order in which they were first seen."""
+    return folded.filter(F.try_element_at("fields", F.lit("status")) == '"open"').orderBy(at, "id")
+
+
 def assign_seq(events: DataFrame, key: str, order: list[str], last_seen: DataFrame) -> DataFrame:
-    """Numbers that go on after the last one each key has; ``last_seen`` is (key, seq)."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("_n", at).join(last_seen, key, "left").withColumn("seq", F.coalesce("seq", F.lit(0)) + F.col("_n")).drop("_n")
+    """Numbers that go on after the last one each key has; ``last_seen`` is (key, seq), and order must be unique within a key."""
+    rows = S.plain(S.numbered(S.ranges(events, [key], order), [key], order, "_n"))
+    return rows.join(last_seen, key, "left").withColumn("seq", F.coalesce("seq", F.lit(0)) + F.col("_n")).drop("_n")
 
 
 def hour_coverage(samples: DataFrame, key: str, seconds: str, start: int, hours: int) -> DataFrame:
@@ -60,10 +85,10 @@ def rolling_growth(events: DataFrame, key: str, seconds: str, size: str, bucket:
 
 
 def alarm_onset(samples: DataFrame, key: str, order: list[str], active: Column, at: str) -> DataFrame:
-    """Every active run of a key's samples: its first and last time and its length."""
-    by = Window.partitionBy(key).orderBy(*order)
-    rows = samples.withColumn("active", active).withColumn("change", (F.col("active") != F.coalesce(F.lag("active").over(by), ~F.col("active"))).cast("int"))
-    rows = rows.withColumn("island", F.sum("change").over(by)).filter("active")
+    """Every active run of a key's samples: its first and last time and its length; order must be unique within a key."""
+    rows = S.ranges(samples.withColumn("active", F.coalesce(active, F.lit(False))), [key], order)
+    rows = S.previous(rows, [key], order, "active", "before").withColumn("change", (~F.col("active").eqNullSafe(F.col("before"))).cast("long"))
+    rows = S.running_sum(rows, [key], order, F.col("change"), "island").filter("active")
     return rows.groupBy(key, "island").agg(F.min(at).alias("since"), F.max(at).alias("until"), F.count("*").alias("samples")).drop("island")
 
 

@@ -127,7 +127,7 @@ def tag_pool(pages: DataFrame) -> DataFrame:
 
 def folder_children(files: DataFrame) -> DataFrame:
     """Pages of each folder besides its index."""
-    rows = files.withColumn("dir", X.directory(F.col("path"))).filter("path not like '%README.md'")
+    rows = files.withColumn("dir", X.directory(F.col("path"))).filter(~F.col("path").rlike(r"(?:\A|/)README\.md\z"))
     return rows.groupBy("store", "dir").agg(F.count("*").alias("pages"), F.min("path").alias("first"))
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.merge import merged_text
+
+from . import scans as R
+
 
 def compare_snapshots(left: DataFrame, right: DataFrame, path: str, value: str) -> DataFrame:
     """Every path whose value differs between two snapshots, and how; both sides meet in one aggregation. A path is in a snapshot once."""
@@ -46,10 +51,11 @@ def evictable(objects: DataFrame, ledger: DataFrame, backups: DataFrame, dirty:
 
 
 def evict_until(objects: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
-    """Per key, the objects to evict, oldest first, until what is left is within ``limit``."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = objects.withColumn("_gone", F.coalesce(F.sum(size).over(by), F.lit(0))).withColumn("_total", F.sum(size).over(Window.partitionBy(key)))
-    return rows.filter(F.col("_total") - F.col("_gone") > limit).drop("_gone", "_total")
+    """Per key, the objects to evict, oldest first, until what is left is within ``limit``; order must be unique within a key."""
+    totals = objects.groupBy(F.col(key).alias("_key")).agg(F.sum(size).alias("_total")).filter(F.col("_total") > limit)
+    rows = R.plain(R.running_sum(R.ranges(objects, [key], order), [key], order, F.col(size), "_gone", inclusive=False))
+    rows = rows.join(totals, F.col(key).eqNullSafe(F.col("_key")))
+    return rows.filter(F.col("_total") - F.col("_gone") > limit).drop("_gone", "_total", "_key")
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, path: str, value: str) -> DataFrame:
@@ -75,25 +81,26 @@ def sidecar_status(sources: DataFrame, sidecars: DataFrame) -> DataFrame:
     return rows.select("path", what.alias("status"))
 
 
-def case_collisions(paths: DataFrame, path: str, added: DataFrame) -> DataFrame:
-    """Prefixes with one caseless spelling and several real ones, if an added path has the prefix."""
-    cut = lambda df: df.select(F.explode(F.expr(f"transform(sequence(1, size(split({path}, '/'))), i -> array_join(slice(split({path}, '/'), 1, i), '/'))")).alias("prefix"))
-    spelled = cut(paths).distinct().withColumn("key", F.lower("prefix"))
-    many = spelled.groupBy("key").agg(F.count("*").alias("spellings")).filter("spellings > 1")
-    return many.join(cut(added).select(F.lower("prefix").alias("key")).distinct(), "key", "left_semi")
-
-
 def seeded_sample(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
     """T5: n rows by a seeded hash; the same ones whenever the keys are the same."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), *key).limit(n)
 
 
 def cap(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
-    """Flags the rows within the cap of each key; the others stay as explicit overflow."""
-    return rows.withColumn("within", F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= most)
+    """Flags the rows within the cap of each key; the others stay as explicit overflow. Order must be unique within a key."""
+    found = R.plain(R.numbered(R.ranges(rows, [key], order), [key], order, "_n"))
+    return found.withColumn("within", F.col("_n") <= most).drop("_n")
+
+
+def union_merge(rows: DataFrame, base: str, ours: str, theirs: str, out: str) -> DataFrame:
+    """Rows with ``out``, the three-way merge of texts, line by line, in which both sides' lines stay where both changed the same place.
+
+    What only one side changed, deletions included, is taken from it; of what both changed, lines in common come once and others in the order
+    ours, theirs. A null text counts as empty. A text is one file, so one row by nature.
+    """
 
+    @F.pandas_udf("string")
+    def of(b: pd.Series, o: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([merged_text(x or "", y or "", z or "") for x, y, z in zip(b, o, t, strict=True)], dtype=object)
 
-def union_merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Ledger lines (id, n, line): the base's, then what ours and then theirs added; legitimate repeats stay."""
-    new = lambda side, k: side.join(base.select("id", "n"), ["id", "n"], "left_anti").withColumn("part", F.lit(k))
-    return base.withColumn("part", F.lit(0)).unionByName(new(ours, 1)).unionByName(new(theirs, 2))
+    return rows.withColumn(out, of(base, ours, theirs))

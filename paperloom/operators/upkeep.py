@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import paths as Q
 
-from .snapshots import cas_check, compare_snapshots
+from .snapshots import cas_check, compare_snapshots, union_merge
 
 HOUR, DAY = 3_600, 86_400
 
@@ -125,10 +125,10 @@ def retirement(keys: DataFrame, key: str, conditions: dict[str, DataFrame], stat
 
 
 def merge_actions(base: DataFrame, ours: DataFrame, theirs: DataFrame, derived: Column, union: Column, region: str) -> DataFrame:
-    """(path, class, kept, copied): what a merge does with paths (path, content) that both sides changed.
+    """(path, class, kept, copied, content): what a merge does with paths (path, content) that both sides changed.
 
     union paths merge their lines; derived ones, and index pages of which only the generated region changed on our side, take
-    theirs; others take theirs and keep a copy of ours; where one side deleted, the other's change stays.
+    theirs; others take theirs and keep a copy of ours; where one side deleted, the other's change stays. content is what the path holds then.
     """
     rows = base.select("path", F.col("content").alias("b")).join(ours.select("path", F.col("content").alias("o")), "path", "full_outer").join(theirs.select("path", F.col("content").alias("t")), "path", "full_outer")
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
@@ -139,7 +139,10 @@ def merge_actions(base: DataFrame, ours: DataFrame, theirs: DataFrame, derived:
     kind = F.when(union & both, "union").when(derived, "derived").when(both & only_region, "derived").when(both, "general").otherwise("delete-modify")
     rows = rows.withColumn("class", kind)
     kept = F.when(F.col("class") == "union", "both").when(F.col("class").isin("derived", "general"), "remote").when(F.col("o").isNotNull(), "local").otherwise("remote")
-    return rows.select("path", "class", kept.alias("kept"), (F.col("class") == "general").alias("copied"))
+    rows = rows.withColumn("kept", kept)
+    merged = union_merge(rows.filter("class = 'union'"), "b", "o", "t", "content")
+    others = rows.filter("class <> 'union'").withColumn("content", F.when(F.col("kept") == "local", F.col("o")).otherwise(F.col("t")))
+    return merged.unionByName(others).select("path", "class", "kept", (F.col("class") == "general").alias("copied"), "content")
 
 
 def dependent_indexes(changed: DataFrame, links: DataFrame) -> DataFrame:

@@ -124,6 +124,27 @@ def _(spark, d):
     return G.ref_problems(updates, G.is_ancestor(updates, commits, checkpoint)).drop("rule")
 
 
+#: Three deep histories: commit m<k> follows m<k - 3>; every tenth has a side branch s<k> that m<k + 6> merges. Ancestry is arithmetic.
+@query("deep_ancestry", """WITH m AS (SELECT doc_id AS k FROM documents), last AS (SELECT k % 3 AS r, max(k) AS last FROM m GROUP BY 1),
+u AS (SELECT concat('h', k % 3) AS store, concat('m', k) AS old, concat('m', last) AS new FROM m JOIN last ON r = k % 3 WHERE k % 50 = 0
+UNION SELECT concat('h', k % 3), concat('s', k), concat('m', k + 6) FROM m WHERE k % 10 = 0 AND k + 6 IN (SELECT k FROM m)
+UNION SELECT concat('h', k % 3), concat('m', k - 3), concat('s', k) FROM m WHERE k % 10 = 0 AND k >= 3
+UNION SELECT concat('h', k % 3), concat('s', k), concat('s', k + 30) FROM m WHERE k % 10 = 0 AND k + 30 IN (SELECT k FROM m)) SELECT * FROM u""")
+def _(spark, d):
+    k = read(spark, d, "documents").select(F.col("doc_id").alias("k"))
+    store, name = F.concat(F.lit("h"), F.expr("k % 3")).alias("store"), lambda c, by=0: F.concat(F.lit(c), F.col("k") + by)
+    main = k.select(store, name("m").alias("commit"), F.when(F.col("k") >= 3, name("m", -3)).alias("parent"), (F.col("k") * 2).alias("ord"))
+    tenth = k.filter("k % 10 = 0")
+    side = tenth.select(store, name("s"), name("m"), F.col("k") * 2 + 1)
+    merges = tenth.select(store, name("m", 6), name("s"), (F.col("k") + 6) * 2).join(k.select(F.concat(F.lit("m"), "k").alias("there")), F.expr("`concat(m, (k + 6))` = there"), "left_semi")
+    commits = main.union(side).union(merges)
+    last = k.groupBy(F.expr("k % 3").alias("r")).agg(F.max("k").alias("last"))
+    asked = k.filter("k % 50 = 0").join(F.broadcast(last), F.expr("k % 3 = r")).select(store, name("m").alias("old"), F.concat(F.lit("m"), "last").alias("new"))
+    asked = asked.union(tenth.select(store, name("s"), name("m", 6))).union(tenth.select(store, name("s"), name("m", 3))).union(tenth.filter("k >= 3").select(store, name("m", -3), name("s")))
+    asked = asked.union(tenth.select(store, name("m", 3), name("s"))).union(tenth.select(store, name("s"), name("s", 30)))
+    return G.is_ancestor(asked, commits, checkpoint)
+
+
 #: Texts that name a commit by its first 7 to 40 letters.
 NAMED = "concat(text, ' see ', substring(sha1(cast(doc_id AS {})), 1, CAST(7 + doc_id % 34 AS INT)), '.')"
 _TOK = """d AS (SELECT doc_id, sha1(doc_id::VARCHAR) AS sha, sha1(concat('new', doc_id)) AS new, substr(sha1(doc_id::VARCHAR), 1, (7 + doc_id % 34)::INT) AS token FROM documents),

@@ -55,6 +55,21 @@ def _(spark, d):
     return H.fold_by_id(rows, "user_id", ["s", "event_id"], ["event_type", "bought"])
 
 
+#: Lines of a conflict ledger: fields come and go, a status may be set to null, and every 13th line can't be read.
+CONFLICT = """CASE WHEN event_id % 13 = 0 THEN 'not json' ELSE concat('{"id":"u', user_id, '"', CASE WHEN event_id % 3 = 0 THEN ',"status":"open"' WHEN event_id % 3 = 1 THEN ',"status":null' ELSE '' END,
+',"n', event_id % 2, '":', event_id, '}') END"""
+
+
+@query("open_conflicts", f"""WITH {EV}, l AS (SELECT user_id, s::HUGEINT * 1000000000 + event_id AS pos, event_id, s FROM e WHERE event_id % 13 <> 0)
+SELECT concat('u', user_id) AS id, min(s) AS first_seen, arg_max(event_id % 3, pos) FILTER (event_id % 3 <> 2) AS status, arg_max(event_id, pos) FILTER (event_id % 2 = 0) AS n0, arg_max(event_id, pos) FILTER (event_id % 2 = 1) AS n1
+FROM l GROUP BY user_id HAVING status = 0""")
+def _(spark, d):
+    lines = events(spark, d).select("s", "event_id", F.expr(CONFLICT).alias("line"))
+    found = H.open_conflicts(H.fold_json(lines, "line", ["s", "event_id"]))
+    number = lambda c: F.try_element_at("fields", F.lit(c)).cast("long").alias(c)
+    return found.select("id", F.col("first_seen.s").alias("first_seen"), F.lit(0).cast("long").alias("status"), number("n0"), number("n1"))
+
+
 @query("assign_seq", f"""WITH {EV}, p AS (SELECT user_id, count(*) AS seq FROM e WHERE event_type = 'signup' GROUP BY 1)
 SELECT event_id, coalesce(p.seq, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY s, event_id) AS seq FROM e LEFT JOIN p USING (user_id) WHERE event_type <> 'signup'""")
 def _(spark, d):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.operators import gate as G
 from paperloom.operators import pages as P
-from paperloom.operators import snapshots as S
 from paperloom.sources import corpus as C
 
 from paperloom.storage import checkpoint
@@ -124,10 +124,17 @@ def _(spark, d):
     return P.keyword_route(read(spark, d, "documents"), "doc_id", "text", ROUTES, "inbox")
 
 
-@query("web_page_text", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|section|article|h[1-6]|li|ul|ol|br|tr|table)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b)
-SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ')) AS text_md5 FROM c""")
+#: The tags whose places become lines, and what is trimmed at both ends, as the text's rules have them.
+LINE_TAGS = "main|article|section|p|div|li|h[1-6]|br|tr|td|th|blockquote"
+ENDS = r"[\s\x0B\p{Zs}\x{2028}\x{2029}\x{FEFF}]+"
+
+
+@query("web_page_text", rf"""WITH n AS (SELECT page_id, regexp_replace(coalesce(html, ''), '\r\n?', chr(10), 'g') AS t FROM pages),
+a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<noscript\b.*?</noscript>', ' ', 'g') AS t FROM n),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?({LINE_TAGS})[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(regexp_replace(t, '&nbsp;', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS t FROM b),
+s AS (SELECT page_id, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g') AS t FROM c)
+SELECT page_id, md5(regexp_replace(t, '\A{ENDS}|{ENDS}\z', '', 'g')) AS text_md5 FROM s""")
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(X.html_to_text(F.col("html")).cast("binary")).alias("text_md5"))
 
@@ -142,4 +149,5 @@ def _(spark, d):
     paths = C.generated_pages(spark, d).select("path")
     number = F.regexp_extract("path", r"(\d+)\.md\z", 1).cast("long")
     added = paths.filter(number % 29 == 0).select(F.replace("path", F.lit("/d"), F.lit("/D")).alias("path"))
-    return S.case_collisions(paths.union(added), "path", added)
+    one = lambda df: df.select(F.lit("").alias("store"), "path")
+    return G.case_collisions(one(paths.union(added)), one(added), ["store"]).select(F.col("case_key").alias("key"), "spellings")

@@ -66,18 +66,26 @@ def _(spark, d):
     return U.retirement(rows, "store", conditions, state)
 
 
-@query("merge_actions", """SELECT concat(CASE doc_id % 6 WHEN 0 THEN 'log/' WHEN 1 THEN 'graph/' WHEN 2 THEN 'f/' ELSE 'd/' END, doc_id, CASE WHEN doc_id % 6 = 2 THEN '/README.md' ELSE '.md' END) AS path, CASE doc_id % 6 WHEN 0 THEN 'union' WHEN 1 THEN 'derived' WHEN 2 THEN 'derived' WHEN 3 THEN 'general' ELSE 'delete-modify' END AS class,
-CASE doc_id % 6 WHEN 0 THEN 'both' WHEN 4 THEN 'local' ELSE 'remote' END AS kept, doc_id % 6 = 3 AS copied FROM documents WHERE doc_id % 10 <> 9""")
+#: A ledger of four lines before the text; our side drops the first and adds two at the end, theirs changes the third and adds two.
+LEDGER = {"base": "concat('a', chr(10), 'm', chr(10), 'b', chr(10), 'c', chr(10), text, chr(10))", "ours": "concat('m', chr(10), 'b', chr(10), 'c', chr(10), text, chr(10), 'our ', doc_id, chr(10), 'same', chr(10))"}
+LEDGER["theirs"] = "concat('a', chr(10), 'm', chr(10), 'B', chr(10), 'c', chr(10), text, chr(10), 'their', chr(10), 'same', chr(10))"
+PAGE = "concat('head', chr(10), '<!-- index:start -->', chr(10), '{}', chr(10), '<!-- index:end -->', chr(10), text)"
+
+
+@query("merge_actions", f"""SELECT concat(CASE doc_id % 6 WHEN 0 THEN 'log/' WHEN 1 THEN 'graph/' WHEN 2 THEN 'f/' ELSE 'd/' END, doc_id, CASE WHEN doc_id % 6 = 2 THEN '/README.md' ELSE '.md' END) AS path, CASE doc_id % 6 WHEN 0 THEN 'union' WHEN 1 THEN 'derived' WHEN 2 THEN 'derived' WHEN 3 THEN 'general' ELSE 'delete-modify' END AS class,
+CASE doc_id % 6 WHEN 0 THEN 'both' WHEN 4 THEN 'local' ELSE 'remote' END AS kept, doc_id % 6 = 3 AS copied,
+md5(CASE doc_id % 6 WHEN 0 THEN concat('m', chr(10), 'B', chr(10), 'c', chr(10), text, chr(10), 'our ', doc_id, chr(10), 'their', chr(10), 'same', chr(10)) WHEN 4 THEN {PAGE.format('ours')} ELSE concat({PAGE.format('theirs')}, 'x') END) AS content_md5 FROM documents WHERE doc_id % 10 <> 9""")
 def _(spark, d):
     path = F.expr("concat(CASE doc_id % 6 WHEN 0 THEN 'log/' WHEN 1 THEN 'graph/' WHEN 2 THEN 'f/' ELSE 'd/' END, doc_id, CASE WHEN doc_id % 6 = 2 THEN '/README.md' ELSE '.md' END)")
-    page = lambda x: F.concat(F.lit("head\n<!-- index:start -->\n"), F.lit(x), F.lit("\n<!-- index:end -->\n"), "text")
+    page = lambda x: F.when(F.expr("doc_id % 6 = 0"), F.expr(LEDGER[x])).otherwise(F.expr(PAGE.format(x)))
     docs = read(spark, d, "documents").select("doc_id", "text", path.alias("path"))
     base = docs.select("path", page("base").alias("content"))
     ours = docs.filter("doc_id % 6 <> 5").select("path", page("ours").alias("content"))
-    theirs = docs.filter("doc_id % 6 <> 4").select("path", F.when(F.expr("doc_id % 10 = 9 and doc_id % 6 <> 5"), page("base")).when(F.expr("doc_id % 10 = 9"), page("base")).otherwise(F.concat(page("theirs"), F.lit("x"))).alias("content"))
+    theirs = docs.filter("doc_id % 6 <> 4").select("path", F.when(F.expr("doc_id % 10 = 9 and doc_id % 6 <> 5"), page("base")).when(F.expr("doc_id % 10 = 9"), page("base")).otherwise(F.concat(page("theirs"), F.expr("CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'x' END"))).alias("content"))
     ours = ours.union(docs.filter("doc_id % 10 = 9 and doc_id % 6 = 5").select("path", page("base")))
     theirs = theirs.union(docs.filter("doc_id % 10 = 9 and doc_id % 6 = 4").select("path", page("base")))
-    return U.merge_actions(base, ours, theirs, F.startswith("path", F.lit("graph/")), F.startswith("path", F.lit("log/")), "index")
+    found = U.merge_actions(base, ours, theirs, F.startswith("path", F.lit("graph/")), F.startswith("path", F.lit("log/")), "index")
+    return found.withColumn("content_md5", F.md5(F.col("content").cast("binary"))).drop("content")
 
 
 @query("two_level_totals", "WITH d AS (SELECT concat('domains/', source) AS dir, count(*) AS files, sum(length(text))::BIGINT AS bytes FROM documents GROUP BY 1) SELECT dir, files, bytes, row_number() OVER (ORDER BY bytes DESC, files DESC, dir) AS place FROM d")

@@ -109,7 +109,7 @@ def test_patterns(spark):
     assert tuple(first) == ("b/", "b", None)
     with pytest.raises(ValueError):
         Q.match_patterns(F.lit("a"), ["!a"])
-    assert [Q.anchor_pattern(p, "/t/") for p in ("*.tmp", "a/b/", "/a", "# x")] == ["t/**/*.tmp", "t/a/b/", "t/a", None]
+    assert Q.rebased_patterns(("*.tmp", "a/b/", "/a", "# x", "", "b/ "), "/t/") == ["t/**/*.tmp", "t/a/b/", "t/a", "t/**/b/"]
 
 
 def test_unicode_keys_and_checkout(spark):

@@ -1,5 +1,7 @@
 """Page text functions on the shapes that pages come in."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
@@ -49,12 +51,60 @@ def test_rolling_growth_is_strict_at_a_day(spark):
     assert got == {0: 10, 85_800: 11, 86_400: 6}
 
 
-def test_union_merge_keeps_repeats(spark):
-    line = "id string, n int, line string"
-    base = spark.createDataFrame([("x", 1, "l"), ("x", 2, "l")], line)
-    ours = spark.createDataFrame([("x", 1, "l"), ("x", 2, "l"), ("x", 3, "m")], line)
-    got = S.union_merge(base, ours, base).select("n", "line", "part").collect()
-    assert sorted(map(tuple, got)) == [(1, "l", 0), (2, "l", 0), (3, "m", 1)]
+def plain_diff3(base, ours, theirs):
+    """Three-way merge by longest common subsequences from full tables."""
+
+    def lcs(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+        i = j = 0
+        found = []
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                found.append((i, j))
+                i, j = i + 1, j + 1
+            elif n[i + 1][j] >= n[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return found
+
+    o, t = dict(lcs(base, ours)), dict(lcs(base, theirs))
+    out, b0, o0, t0 = [], 0, 0, 0
+    for k in [*sorted(o.keys() & t.keys()), len(base)]:
+        ok, tk = o.get(k, len(ours)), t.get(k, len(theirs))
+        b, x, y = base[b0:k], ours[o0:ok], theirs[t0:tk]
+        if x == b or x == y:
+            out += y
+        elif y == b:
+            out += x
+        else:
+            i = j = 0
+            for p, q in [*lcs(x, y), (len(x), len(y))]:
+                out += x[i:p] + y[j:q] + x[p : p + 1]
+                i, j = p + 1, q + 1
+        out += base[k : k + 1]
+        b0, o0, t0 = k + 1, ok + 1, tk + 1
+    return out
+
+
+def test_union_merge_equals_plain(spark):
+    rng, rows = random.Random(4), []
+    for _ in range(60):
+        base = [f"l{k}" for k in range(rng.randrange(12))]
+
+        def side(base=base):
+            out = [x for x in base if rng.random() > 0.2]
+            for _ in range(rng.randrange(4)):
+                out.insert(rng.randrange(len(out) + 1), f"n{rng.randrange(6)}")
+            return out
+
+        rows.append((base, side(), side()))
+    text = lambda x: "".join(f"{y}\n" for y in x)
+    frame = spark.createDataFrame([(text(b), text(o), text(t), text(plain_diff3(b, o, t))) for b, o, t in rows] + [(None, "a\n", None, "a\n"), (None, None, None, ""), ("x", "x\ny", "z", "x\ny\nz")], "b string, o string, t string, want string")
+    assert [(r["got"], r["want"]) for r in S.union_merge(frame, "b", "o", "t", "got").collect() if r["got"] != r["want"]] == []
 
 
 def test_text_of_notes(spark):
