@@ -65,14 +65,20 @@ def _bare(value: Column) -> Column:
 
 
 def _last_of_each(rows: Column) -> Column:
-    """Of rows with equal keys the last one, at the place of the first."""
+    """Of rows with equal keys the last one, at the place of the first. Without equal keys, as is usual, nothing is searched."""
     keys = lambda rs: F.array_distinct(F.transform(rs, lambda r: r["key"]))
-    return let(rows, lambda rs: F.transform(keys(rs), lambda k: F.element_at(F.filter(rs, lambda r: r["key"] == k), -1)))
+    return let(rows, lambda rs: F.when(F.size(keys(rs)) == F.size(rs), rs).otherwise(F.transform(keys(rs), lambda k: F.element_at(F.filter(rs, lambda r: r["key"] == k), -1))))
 
 
 def _rows(block: Column, pattern: str) -> Column:
-    parts = [F.regexp_extract_all(block, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "kiv", strict=True)]), lambda r: F.struct(r["k"].alias("key"), r["i"].alias("lines"), r["v"].alias("value")))
+    """Array of struct (key, lines, value) of the fields, which one pass finds; each is then cut at its colon and its first line end."""
+
+    def of(m: Column) -> Column:
+        key, first = F.substring_index(m, ":", 1), F.substring_index(m, "\n", 1)
+        value = F.btrim(F.substring(first, F.length(key) + 2, F.length(first)), F.lit(" \t"))
+        return F.struct(key.alias("key"), F.substring(m, F.length(first) + 1, F.length(m)).alias("lines"), value.alias("value"))
+
+    return F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(0)), of)
 
 
 def _block_items(lines: Column) -> Column:

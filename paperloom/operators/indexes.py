@@ -317,12 +317,12 @@ def index_structure(pages: DataFrame) -> DataFrame:
     """
     lines = F.split(F.replace("content", F.lit("\r"), F.lit("")), "\n")
     rows = pages.select("store", "path", lines.alias("lines"))
-    starts = F.filter(F.transform("lines", lambda x, k: F.when(x.rlike(r"\A##\s+\S"), k)), lambda k: k.isNotNull())
-    subs = F.filter(F.transform("lines", lambda x, k: F.when(x.rlike(r"\A###?\s+\S"), k)), lambda k: k.isNotNull())
-    rows = rows.select("*", starts.alias("starts"), subs.alias("subs"))
-    rows = rows.select("store", "path", "lines", "starts", "subs", F.posexplode_outer("lines").alias("pos", "line")).filter(r"line rlike '\\A-\\s+\\[[^\\]]+\\]\\([^)]+\\.md\\)'")
-    last = lambda xs: F.element_at("lines", F.array_max(F.filter(xs, lambda k: k < F.col("pos"))) + 1)
-    head, sub = last("starts"), last("subs")
+    places = lambda form: F.filter(F.transform("lines", lambda x, k: F.when(x.rlike(form), k)), lambda k: k.isNotNull())
+    rows = rows.select("*", places(r"\A##\s+\S").alias("starts"), places(r"\A###?\s+\S").alias("subs"))
+    above = lambda xs, k: F.element_at("lines", F.array_max(F.filter(xs, lambda n: n < k)) + 1)
+    # Only links leave the page's row, each with the headings above it.
+    link = lambda x, k: F.when(x.rlike(r"\A-\s+\[[^\]]+\]\([^)]+\.md\)"), F.struct(k.alias("pos"), x.alias("line"), above("starts", k).alias("head"), above("subs", k).alias("sub")))
+    found = F.filter(F.transform("lines", link), lambda x: x["head"].isNotNull())
+    rows = rows.select("store", "path", F.inline(found))
     name = lambda x, n: F.regexp_extract(x, rf"\A{'#' * n}\s+(.+?)\s*\z", 1)
-    rows = rows.filter(head.isNotNull())
-    return rows.select("store", "path", "pos", F.trim(F.regexp_extract("line", r"\A-\s+\[[^\]]+\]\(([^)]+\.md)\)", 1)).alias("target"), name(head, 2).alias("section"), F.when(sub.rlike(r"\A###\s"), name(sub, 3)).alias("subsection"))
+    return rows.select("store", "path", "pos", F.trim(F.regexp_extract("line", r"\A-\s+\[[^\]]+\]\(([^)]+\.md)\)", 1)).alias("target"), name(F.col("head"), 2).alias("section"), F.when(F.col("sub").rlike(r"\A###\s"), name(F.col("sub"), 3)).alias("subsection"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import frontmatter as M
+from paperloom.storage import checkpoint
 
 from . import enrich as E
 from . import indexes as I
@@ -15,11 +16,11 @@ from . import rules as R
 from .snapshots import sidecar_status
 
 
-def lint_tree(pages: DataFrame, profile: I.Profile, stores: DataFrame | None = None, full: bool = True, wanted: DataFrame | None = None) -> DataFrame:
+def lint_tree(pages: DataFrame, profile: I.Profile, stores: DataFrame | None = None, full: bool = True, wanted: DataFrame | None = None, writers: dict[str, str] | None = None) -> DataFrame:
     """B2: (store, file, code, detail, severity) of every rule that pages break.
 
     With ``full`` links, index regions and whole trees are checked too; with ``wanted`` (store, path) only those pages, and
-    what is missing of them. ``stores`` is the registry.
+    what is missing of them. ``stores`` is the registry; ``writers`` are the special files that the schema page must describe (none: it isn't checked).
     """
     chosen = pages if wanted is None else pages.join(wanted.select("store", "path").distinct(), ["store", "path"], "left_semi")
     checked = R.checked_pages(chosen, profile)
@@ -33,7 +34,10 @@ def lint_tree(pages: DataFrame, profile: I.Profile, stores: DataFrame | None = N
         pointed = P.pointer_rows(chosen)
         judged = None if stores is None else P.pointers(chosen, stores, pages)
         found = found.union(R.cross_store_issues(pointed, judged))
+        if writers is not None:
+            found = found.union(R.schema_issues(pages, profile, writers))
         if wanted is None:
+            found = found.union(R.navigation_issues(pages, profile, checkpoint))
             found = found.union(R.tree_issues(pages, profile, I.index_lines(I.index_entries(pages, profile))))
     return R.with_severity(found)
 

@@ -21,12 +21,12 @@ def sections(pages: DataFrame) -> DataFrame:
     level-two headings in page order, with the body's line at which each starts."""
     rows = pages.select("store", "path", X.let(X.body(F.col("content")), lambda b: F.split(F.concat(F.lit("\n"), b), r"\n(?=##\s+[^\n])")).alias("parts"))
     sizes = F.transform("parts", lambda p, k: F.size(F.split(p, "\n")) - F.when(k == 0, 1).otherwise(0))
-    rows = rows.withColumn("sizes", sizes)
-    rows = rows.select("store", "path", "sizes", F.posexplode("parts").alias("pos", "part"))
-    line = F.aggregate(F.slice("sizes", F.lit(1), F.col("pos")), F.lit(1), lambda acc, n: acc + n)
+    starts = F.aggregate(sizes, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    pairs = F.transform(F.arrays_zip("parts", F.slice("starts", F.lit(1), F.size("parts")).alias("line")), lambda x: F.struct(x["parts"].alias("part"), x["line"].alias("line")))
+    rows = rows.withColumn("starts", starts).select("store", "path", F.posexplode(pairs).alias("pos", "x")).select("store", "path", "pos", "x.part", "x.line")
     heading = F.when(F.col("pos") > 0, F.trim(F.regexp_extract("part", r"\A##\s+([^\n]*)", 1)))
     text = X.trim(F.when(F.col("pos") > 0, F.regexp_replace("part", r"\A[^\n]*\n?", "")).otherwise(F.col("part")))
-    found = rows.select("store", "path", "pos", heading.alias("heading"), line.alias("line"), F.length(text).alias("chars"))
+    found = rows.select("store", "path", "pos", heading.alias("heading"), "line", F.length(text).alias("chars"))
     return found.filter("pos > 0 or chars > 0")
 
 
@@ -132,13 +132,15 @@ def folder_children(files: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, roots: DataFrame, store_checkpoint) -> DataFrame:
-    """G1: (store, path) reached from ``roots`` over ``edges`` (store, path, to): a frontier that grows until nothing is new."""
-    seen = store_checkpoint(roots.select("store", "path").distinct())
-    frontier = seen
+    """G1: (store, path) reached from ``roots`` over ``edges`` (store, path, to): a frontier that grows until nothing is new.
+
+    A round stores what is new and nothing else. Rounds are as many as the longest way has steps, which for index pages are folders.
+    """
+    seen = frontier = store_checkpoint(roots.select("store", "path").distinct())
     while not frontier.isEmpty():
         step = frontier.join(edges, ["store", "path"]).select("store", F.col("to").alias("path")).distinct()
         frontier = store_checkpoint(step.join(seen, ["store", "path"], "left_anti"))
-        seen = store_checkpoint(seen.union(frontier))
+        seen = seen.union(frontier)
     return seen
 
 
@@ -182,8 +184,9 @@ def grep_lines(docs: DataFrame, id_col: str, text_col: str, pattern: str, contex
     rows = docs.filter(F.col(text_col).rlike(f"(?i){pattern}")).select(id_col, lines.alias("lines"))
     rows = rows.withColumn("hits", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.element_at("lines", k + 1).rlike(f"(?i){pattern}")))
     near = F.array_distinct(F.flatten(F.transform("hits", lambda k: F.sequence(F.greatest(k - context, F.lit(0)), F.least(k + context, F.size("lines") - 1)))))
-    rows = rows.withColumn("line", F.explode_outer(near)).filter("line is not null")
-    return rows.select(id_col, "line", F.array_contains("hits", F.col("line")).alias("hit"), F.element_at("lines", F.col("line") + 1).alias("text"))
+    # The lines to give are picked within the text, as an exploded row would carry all of them.
+    found = F.transform(near, lambda k: F.struct(k.alias("line"), F.array_contains("hits", k).alias("hit"), F.element_at("lines", k + 1).alias("text")))
+    return rows.select(id_col, F.inline_outer(found)).filter("line is not null")
 
 
 def keyword_route(docs: DataFrame, id_col: str, text_col: str, lists: dict[str, list[str]], default: str) -> DataFrame:

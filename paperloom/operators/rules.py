@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import frontmatter as M
 from paperloom.functions import text as X
 
-from .indexes import Profile, missing_regions, page_class, stale_regions
+from .indexes import Profile, missing_regions, page_class, readme_pages, stale_regions
+from .pages import links, reachable, resolve_nav
 
 #: What the two special files must declare.
 SPECIAL = {
@@ -223,9 +224,29 @@ def schema_issues(pages: DataFrame, profile: Profile, writers: dict[str, str]) -
     missing = both.filter("text is null").select("store", F.col("name").alias("detail"))
     extra = said.join(F.broadcast(known), "name", "left_anti").select("store", F.col("name").alias("detail"))
     diverged = missing.union(extra).groupBy("store").agg(F.array_join(F.array_sort(F.collect_set("detail")), ",").alias("detail"))
+    whole = lambda stores, code: stores.select("store", F.lit(profile.schema_path).alias("file"), F.lit(code).alias("code"), F.lit("").alias("detail"))
+    absent = pages.select("store").distinct().join(trees, "store", "left_anti")
+    issues = issues.union(whole(absent, "missing-schema")).union(whole(trees.join(said, "store", "left_anti"), "schema-special-files-missing"))
     return issues.union(diverged.select("store", F.lit(profile.schema_path).alias("file"), F.lit("schema-runtime-special-file-mismatch").alias("code"), "detail"))
 
 
+def navigation_issues(pages: DataFrame, profile: Profile, store_checkpoint) -> DataFrame:
+    """2.11, G1: (store, file, code, detail): pages that no way leads to from a tree's root over the regions of its index pages, and links of the
+    index pages on these ways that mean nothing. Trees without a root page are left to ``tree_issues``.
+    """
+    kind = page_class(F.col("path"), profile)
+    inside = pages.filter(~(kind["archive"] | kind["plans"] | kind["bucket"] | kind["hidden"] | kind["root_non_nav"]))
+    files = store_checkpoint(inside.select("store", "path"))
+    regions = readme_pages(inside).select("store", "path", X.region(F.col("content"), profile.region).alias("content")).filter("content is not null")
+    nav = store_checkpoint(resolve_nav(links(regions), pages.select("store", "path")))
+    seen = store_checkpoint(reachable(nav.filter("`to` is not null").select("store", "path", "to"), files.filter("path = 'README.md'"), store_checkpoint))
+    rooted = files.filter("path = 'README.md'").select("store")
+    lost = files.join(rooted, "store", "left_semi").join(seen, ["store", "path"], "left_anti")
+    lost = lost.select("store", F.col("path").alias("file"), F.lit("unreachable-page").alias("code"), F.lit("").alias("detail"))
+    wrong = nav.filter("code is not null").join(seen, ["store", "path"], "left_semi")
+    return lost.union(wrong.select("store", F.col("path").alias("file"), "code", F.col("target").alias("detail")))
+
+
 def tree_issues(pages: DataFrame, profile: Profile, lines: DataFrame) -> DataFrame:
     """2.11: rules of whole trees: index regions (``lines`` are the expected ones), folders without an index, shared buckets, old memos."""
     row = lambda df, file, code: df.select("store", file.alias("file"), F.lit(code).alias("code"), F.lit("").alias("detail"))

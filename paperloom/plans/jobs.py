@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import enrich as E
 from paperloom.operators import indexes as I
 from paperloom.operators import jobs as J
+from paperloom.operators import pages as P
+from paperloom.operators import rules as R
 from paperloom.sources import corpus as C
 from paperloom.storage import checkpoint
 
-from .rules import ISSUES, PROFILE, typed_pages
+from .rules import ISSUES, PROFILE, STORE, typed_pages
 
 QUERIES, ORACLES = {}, {}
+#: Pages of a store that one sync fills in.
+MOST = 30
 
 
 def query(name: str, sql: str):
@@ -28,8 +33,45 @@ def _(spark, d):
     return found.select("file", "code", F.when(F.col("code") == "missing-root-readme", F.col("store")).otherwise(F.col("detail")).alias("detail"), "severity")
 
 
-@query("sync_report", f"""WITH d AS (SELECT {C.STORE} AS store, source, {C.DEEP_DIR} AS dir, {C.CUT.format(40000)} AS b FROM documents), n AS (SELECT store, count(DISTINCT dir) + count(DISTINCT concat(source, '/', b)) + count(DISTINCT source) + 2 AS indexes FROM d GROUP BY 1)
-SELECT store, 0::BIGINT AS sidecars, 0::BIGINT AS enriched, indexes::BIGINT AS indexes FROM n""")
+#: A text file beside each 50th page, a page a store that is filled in, and links to pages that aren't in the folder.
+@query("sync_report", f"""WITH m AS (SELECT max(doc_id) AS last FROM documents), d AS (SELECT {C.STORE} AS store, doc_id, source, {C.DEEP_DIR} AS dir, {C.CUT.format(40000)} AS b, {C.CUT.format(400)} AS c, last FROM documents, m),
+n AS (SELECT store, count(DISTINCT dir) + count(DISTINCT concat(source, '/', b)) + count(DISTINCT source) + 2 AS indexes, count(*) FILTER (doc_id % 50 = 3) AS sidecars, least(count(*), {MOST}) AS enriched,
+count(*) FILTER (doc_id % 4 = 1 AND (doc_id + 20 > last OR floor((doc_id + 20) / 400) <> c)) AS issues FROM d GROUP BY 1)
+SELECT store, sidecars::BIGINT AS sidecars, enriched::BIGINT AS enriched, indexes::BIGINT AS indexes, issues::BIGINT AS issues, issues = 0 AS clean FROM n""")
 def _(spark, d):
-    _, report = J.sync(C.deep_pages(spark, d), I.Profile(enforce_frontmatter=False), checkpoint)
-    return report.select("store", "sidecars", "enriched", "indexes")
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 50 = 3")
+    path = F.concat(F.expr(C.DEEP_DIR), F.lit("/f"), "doc_id", F.lit(".txt"))
+    binaries = docs.select(F.expr(C.STORE).alias("store"), path.alias("path"), F.col("text").cast("binary").alias("content"))
+    profile = I.Profile(enforce_frontmatter=False, sidecar_exts=("pdf", "txt"))
+    _, report = J.sync(C.deep_pages(spark, d), profile, checkpoint, binaries, E.first_words, MOST, "2024-01-01")
+    return report
+
+
+@query("schema_issues", f"""WITH d AS (SELECT {STORE} AS store, doc_id % 14 = 10 AS has FROM documents), t AS (SELECT store, bool_or(has) AS has FROM d GROUP BY 1),
+w AS (SELECT unnest(['decisions.md', 'dispatch-log.md']) AS name)
+SELECT store, 'schema.md' AS file, CASE WHEN has THEN 'schema-special-files-missing' ELSE 'missing-schema' END AS code, '' AS detail FROM t
+UNION ALL SELECT store, name, 'schema-missing-file', '' FROM t, w WHERE has UNION ALL SELECT store, 'schema.md', 'schema-runtime-special-file-mismatch', 'decisions.md,dispatch-log.md' FROM t WHERE has""")
+def _(spark, d):
+    return R.schema_issues(typed_pages(spark, d), PROFILE, {"decisions.md": "user-direct", "dispatch-log.md": "hook"})
+
+
+#: Whole index pages, but for those of every fifth folder, whose pages nothing leads to.
+@query("navigation_issues", f"""WITH d AS (SELECT {C.STORE} AS store, source, doc_id, {C.DEEP_DIR} AS dir, {C.CUT.format(400)} AS c, {C.CUT.format(40000)} AS b FROM documents)
+SELECT store, concat(dir, '/d', doc_id, '.md') AS file, 'unreachable-page' AS code, '' AS detail FROM d WHERE c % 5 = 1
+UNION ALL SELECT DISTINCT store, concat('domains/', source, '/b', b, '/README.md'), 'broken-link', concat('c', c, '/README.md') FROM d WHERE c % 5 = 1""")
+def _(spark, d):
+    pages, profile = C.deep_pages(spark, d), I.Profile()
+    readmes, _, _ = I.index_fixed_point(pages, profile, checkpoint)
+    kept = readmes.filter(~(F.regexp_extract("path", r"/c([0-9]+)/README\.md\z", 1).try_cast("int") % 5).eqNullSafe(1))
+    pages = pages.join(readmes.select("store", "path"), ["store", "path"], "left_anti").unionByName(kept)
+    return R.navigation_issues(pages, profile, checkpoint)
+
+
+@query("cross_store_issues", f"""WITH d AS (SELECT doc_id, {C.STORE} AS store, {C.PATH} AS path FROM documents WHERE doc_id % 23 = 0), r AS (SELECT path AS file, concat('s', doc_id % 4, ':', path) AS detail,
+CASE WHEN doc_id % 4 = 3 THEN 'cross-store-unknown-store' WHEN concat('s', doc_id % 4) <> store THEN 'cross-store-pointer-unresolved' END AS code FROM d)
+SELECT file, code, detail, 'error' AS severity FROM r WHERE code IS NOT NULL UNION ALL SELECT '(registry)', 'cross-store-check-skipped', count(*)::VARCHAR, 'warn' FROM d GROUP BY store""")
+def _(spark, d):
+    pages = C.generated_pages(spark, d)
+    judged = P.pointers(pages, pages.select("store").distinct(), pages)
+    found = R.cross_store_issues(None, judged).unionByName(R.cross_store_issues(P.pointer_rows(pages), None))
+    return R.with_severity(found).drop("store")

@@ -55,8 +55,8 @@ def _(spark, d):
 @query("stream_enrich_queue", None)
 def _(spark, d):
     name = F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'queued' WHEN 'purchase' THEN 'tick' WHEN 'error' THEN 'failed' ELSE 'tick' END")
-    rows = events(spark, d).select(F.expr("user_id % 20").alias("store"), F.col("s").alias("at_s"), name.alias("event"), F.concat(F.lit("p"), F.expr("user_id % 50")).alias("page"))
-    return L.drain(L.enrich_queue(rows, "store", "at_s", "event", "page"))
+    rows = events(spark, d).select(F.expr("user_id % 20").alias("store"), "ts", name.alias("event"), F.concat(F.lit("p"), F.expr("user_id % 50")).alias("page"))
+    return L.drain(L.enrich_queue(rows, "store", "ts", "event", "page"))
 
 
 @query("stream_ready_paths", None)

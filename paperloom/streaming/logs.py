@@ -160,26 +160,31 @@ def uncollected_alarm(stream: DataFrame, key: str, at: str, changed: str, age: i
 
 
 def enrich_queue(
-    stream: DataFrame, key: str, seconds: str, event: str, path: str, most: int = 1_000, per_tick: int = 2, per_hour: int = 10, retry: int = 1_800, give_up: int = 3
+    stream: DataFrame, key: str, at: str, event: str, path: str, delay: str = "10 minutes", most: int = 1_000, per_tick: int = 2, per_hour: int = 10, retry: int = 1_800, give_up: int = 3
 ) -> DataFrame:
-    """ST7, ST12: (key, at, action, path) of a store's queue of pages to fill in, from its log of events in order of time.
+    """ST7, ST12: (key, at, action, path) of a store's queue of pages to fill in, from its log of events, in whole seconds.
 
     Events: queued (a page changed), tick (the time to run), done or raced (it leaves the queue; a raced page comes back with
     its next change), failed, and declared or undeclared (an undeclared store holds its pages back). A tick runs ``per_tick``
     pages or fewer, ``per_hour`` an hour, the longest queued first, and none for ``retry`` seconds after a failure. Actions: run,
     dropped (the oldest of more than ``most``) and gave-up (after ``give_up`` failures). A page queued again starts over.
 
-    The state of a store is its queue, bounded by ``most``, and the runs of the last hour. Events that come back with an
-    earlier time than one already taken are taken in the order in which they arrive.
+    Events wait until the watermark has passed them and are then taken in order of time, event and path, so the way they are cut into batches makes
+    no difference; those that come later still are left out. The state of a store is its queue, bounded by ``most``, the runs of the last hour, and
+    the events within ``delay``.
     """
     kind = dict(stream.select(key).dtypes)[key]
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, tries, calls, retry_at, declared = state.get if state.exists else ([], [], [], 0, True)
+        names, tries, calls, retry_at, declared, told, times, events, pages = state.get if state.exists else ([], [], [], 0, True, -(2**62), [], [], [])
         pending, calls, out = dict(zip(names, tries, strict=True)), list(calls), []
-        rows = [r for frame in frames for r in zip(frame[seconds], frame[event], frame[path], strict=True)]
-        for at, what, page in sorted(rows, key=lambda r: r[0]):
-            at = int(at)
+        waiting = list(zip(times, events, pages, strict=True))
+        for frame in () if state.hasTimedOut else frames:
+            waiting += [(int(s), e, None if pd.isna(p) else p) for s, e, p in zip(frame["_s"], frame["_event"], frame["_path"], strict=True) if s > told]
+        now = state.getCurrentWatermarkMs() // 1000
+        waiting.sort(key=lambda r: (r[0], r[1] or "", r[2] or ""))
+        ripe = [r for r in waiting if r[0] < now]
+        for at, what, page in ripe:
             if what == "queued":
                 pending.pop(page, None)
                 pending[page] = 0
@@ -202,29 +207,36 @@ def enrich_queue(
                 for name in list(pending)[: max(0, min(per_tick, per_hour - len(calls)))]:
                     calls.append(at)
                     out.append((k[0], at, "run", name))
-        state.update((list(pending), list(pending.values()), calls, retry_at, declared))
+        waiting, told = waiting[len(ripe) :], max(told, ripe[-1][0]) if ripe else told
+        state.update((list(pending), list(pending.values()), calls, retry_at, declared, told, *([r[n] for r in waiting] for n in range(3))))
+        if waiting:
+            state.setTimeoutTimestamp(max((waiting[0][0] + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at", "action", "path"])
 
-    rows = stream.select(key, seconds, event, path)
-    kept = "names array<string>, tries array<int>, calls array<long>, retry_at long, declared boolean"
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at long, action string, path string", kept, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark(at, delay).filter(F.col(at).isNotNull()).select(key, at, F.unix_timestamp(at).alias("_s"), F.col(event).alias("_event"), F.col(path).alias("_path"))
+    kept = "names array<string>, tries array<int>, calls array<long>, retry_at long, declared boolean, told long, times array<long>, events array<string>, pages array<string>"
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at long, action string, path string", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ready_paths(stream: DataFrame, key: str, at: str, forced: str, delay: str = "10 minutes", quiet: int = 120, force: int = 600) -> DataFrame:
     """ST4: (key, since, ready, changes, was_forced), in whole seconds, whenever a path may be saved.
 
     It may once it has been quiet for ``quiet`` seconds, or ``force`` seconds after its first change if the flag
-    ``forced`` is set (text), which starts anew with the next change. The watermark's clock decides what is still pending.
+    ``forced`` is set (text) on its latest change, any of those of that second; it starts anew with the next change. The watermark's clock decides what is still pending.
     """
     kind = dict(stream.select(key).dtypes)[key]
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, last, n, text = state.get if state.exists else (None, None, 0, False)
         counts: dict[int, int] = {}
+        seen = -(2**62) if last is None else last
         for frame in frames:
             if frame.empty:  # a time-out brings no rows
                 continue
-            text = bool(frame["_forced"].iloc[0])
+            newest = frame["_s"].max()
+            if newest >= seen:
+                text = bool(frame.loc[frame["_s"] == newest, "_forced"].any()) or (newest == seen and text)
+                seen = int(newest)
             for s, m in frame["_s"].value_counts().items():
                 counts[int(s)] = counts.get(int(s), 0) + int(m)
         out = []
@@ -280,23 +292,37 @@ def hourly(stream: DataFrame, key: str, at: str, flagged: Column) -> DataFrame:
     return rows.select(key, F.unix_timestamp(F.col("w.start")).alias("hour"), "samples", "flagged")
 
 
+def read_inbox(spark: SparkSession, path: str, schema: str, archive: str | None = None) -> DataFrame:
+    """ST11: a stream of the JSON files of a folder; with ``archive``, a file is moved there once a later batch has begun, as streams clean up."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1_000)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.json(path)
+
+
 def ingest_once(stream: DataFrame, content: str, order: str, folder: str | None = None) -> DataFrame:
-    """ST11: of equal contents the first by ``order`` of the batch that brought it; what an earlier batch took is left out.
+    """ST11: (order, content_sha): of equal contents the first by ``order`` of the batch that brought it; what an earlier batch took is left out.
 
-    A batch joins only hashes. Null contents count as empty ones.
+    The hashes that were taken are keyed state, of which a batch reads and writes what it meets; nothing of earlier results is read. Equal contents are brought
+    down to one row within each Arrow batch before anything moves. Null contents count as empty ones.
     """
-    spark = stream.sparkSession
-    folder = folder or shared_folder(spark)
-    hashed = stream.withColumn("content_sha", F.sha2(F.coalesce(content, F.lit("")), 256))
-    spark.createDataFrame([], hashed.select(order, "content_sha").schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
+    kind = dict(stream.select(order).dtypes)[order]
 
-    def take(batch: DataFrame, number: int) -> None:
-        known = spark.read.parquet(f"{folder}/out").filter(F.col("batch") < number).select("content_sha")
-        first = batch.groupBy("content_sha").agg(F.min(order).alias(order)).join(known, "content_sha", "left_anti")
-        first.select(order, "content_sha").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby("content_sha", as_index=False)[order].min()[[order, "content_sha"]]
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = [frame[order].min() for frame in frames if len(frame)]
+        if state.exists or not found:
+            yield pd.DataFrame({order: [], "content_sha": []})
+        else:
+            state.update((True,))
+            yield pd.DataFrame({order: [min(found)], "content_sha": [k[0]]})
 
-    hashed.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    rows = stream.select(order, F.sha2(F.coalesce(content, F.lit("")), 256).alias("content_sha")).mapInPandas(least, f"{order} {kind}, content_sha string")
+    rows = rows.groupBy("content_sha").applyInPandasWithState(fold, f"{order} {kind}, content_sha string", "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    return drain(rows, folder=folder)
 
 
 def affected_indexes(stream: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Streams: paths that are ready against brute force, batches that continue earlier ones, and empty input."""
 
+import json
+import random
 import uuid
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom import plans
@@ -86,14 +89,24 @@ def test_uncollected_changes_raise_an_alarm_after_an_hour(spark, tmp_path):
     assert got == [("a", 0, 1, 0, False), ("a", 3000, 1, 0, False), ("a", 3600, 1, 0, True), ("a", 4000, 0, None, False), ("a", 5000, 1, 5000, False), ("b", 0, 0, None, False)]
 
 
-def test_enrich_queue(spark, tmp_path):
-    op = lambda s: L.enrich_queue(s, "k", "s", "event", "page", most=3, per_tick=2, per_hour=3)
-    step = feed(spark, tmp_path, op, "k string, s long, event string, page string")
-    assert step([("a", k, "queued", f"p{k}") for k in range(4)] + [("a", 5, "tick", None)]) == [("a", 3, "dropped", "p0"), ("a", 5, "run", "p1"), ("a", 5, "run", "p2")]
-    got = step([("a", 6, "done", "p1"), ("a", 7, "failed", "p2"), ("a", 8, "tick", None), ("a", 1807, "tick", None), ("a", 1808, "tick", None)])
-    assert got[3:] == [("a", 1807, "run", "p2")]  # one run is left of the hour
-    got = step([("a", 4000, "failed", "p2"), ("a", 4001, "failed", "p2"), ("a", 4002, "undeclared", None), ("a", 7000, "tick", None), ("a", 7001, "declared", None), ("a", 7002, "tick", None), ("a", 7003, "raced", "p3")])
-    assert [r for r in got if r[1] >= 4000] == [("a", 4001, "gave-up", "p2"), ("a", 7002, "run", "p3")]
+QUEUE = [
+    *[("a", k, "queued", f"p{k}") for k in range(4)],
+    *[("a", 5, "tick", None), ("a", 6, "done", "p1"), ("a", 7, "failed", "p2"), ("a", 8, "tick", None), ("a", 1807, "tick", None), ("a", 1808, "tick", None)],
+    *[("a", 4000, "failed", "p2"), ("a", 4001, "failed", "p2"), ("a", 4002, "undeclared", None), ("a", 7000, "tick", None), ("a", 7001, "declared", None), ("a", 7002, "tick", None), ("a", 7003, "raced", "p3")],
+    ("z", 20_000, "tick", None),
+]
+RUNS = [("a", 3, "dropped", "p0"), ("a", 5, "run", "p1"), ("a", 5, "run", "p2"), ("a", 1807, "run", "p2"), ("a", 4001, "gave-up", "p2"), ("a", 7002, "run", "p3")]
+
+
+@pytest.mark.parametrize("cuts", [[], [4, 11], [2, 5, 6, 9, 12, 16]])
+def test_enrich_queue_however_its_log_is_cut(spark, tmp_path, cuts):
+    op = lambda s: L.enrich_queue(s, "k", "at", "event", "page", most=3, per_tick=2, per_hour=3)
+    step = feed(spark, tmp_path, op, "k string, t_at long, event string, page string")
+    for low, high in zip([0, *cuts], [*cuts, len(QUEUE)], strict=True):
+        part = QUEUE[low:high]
+        random.Random(low).shuffle(part)
+        got = step(part)
+    assert got == RUNS  # one run is left of the hour at 1807
 
 
 def test_inbox_takes_a_content_once_over_all_batches(spark):
@@ -107,6 +120,17 @@ def test_inbox_takes_a_content_once_over_all_batches(spark):
     assert sorted(r.id for r in step([(4, "a"), (5, "b"), (6, "")]).collect()) == [1, 3, 5]
 
 
+def test_inbox_files_are_moved(spark, tmp_path):
+    inbox, archive = tmp_path / "inbox", tmp_path / "done"
+    for folder in (inbox, archive):
+        folder.mkdir()
+    run = lambda: L.ingest_once(L.read_inbox(spark, str(inbox), "id long, text string", str(archive)), "text", "id", str(tmp_path / "run"))
+    for k, text in enumerate(("a", "b", "a")):
+        (inbox / f"{k}.json").write_text(json.dumps({"id": k, "text": text}))
+        got = sorted(r["id"] for r in run().collect())
+    assert got == [0, 1] and len(list(archive.rglob("*.json"))) >= 1 and len(list(inbox.glob("*.json"))) <= 2
+
+
 def test_clamped_times(spark):
     rows = spark.sql("select timestamp'2024-01-01 10:00:00' as seen, explode(array(timestamp'2024-01-01 10:05:00', timestamp'2024-01-01 10:05:01', null)) as at")
     assert [r.x and r.x.minute for r in rows.select(L.clamp_future(F.col("at"), F.col("seen")).alias("x")).collect()] == [5, 0, None]
