@@ -192,16 +192,19 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
     ``similarity`` or more. The first token, in order of rarity, that two such texts share is among the rarest
     n - ceil(similarity * n) + 1 of each, and even the rarest n - ceil(2 similarity / (1 + similarity) * n) + 1 of the one with fewer
     tokens (prefix filter, which loses nothing): there they meet, if what is left of both suffices. Texts without words are
-    alike. Where a token has many, leaders are compared to the rest first, until groups have formed; then all pairs of different
-    groups are.
+    alike. Before that, each text is compared to one leader of the texts with the same most frequent token, and of those with the same one in the middle,
+    which joins the bulk of large groups by a row a text. Where a token still has many groups, leaders are compared to the rest first, until these have
+    joined; then all pairs of different groups are.
     """
     texts = checkpoint(_candidates(docs, text_col, size, similarity))
+    links = _first_links(texts, similarity)
+    groups = connected_components(links)
     prefix = F.size("tokens") - _least_shared(similarity) + 1
     met = texts.select("node", "n", F.size("tokens").alias("size"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("k", "token"))
     small = F.col("k") <= F.col("size") - _least_shared(2 * similarity / (1 + similarity))
-    left = checkpoint(met.select("token", "node", F.col("node").alias("root"), "n", (F.col("size") - F.col("k")).alias("rest"), small.alias("small")))
-    share = similarity / (1 + similarity)
-    links, best, turn, stale = None, math.inf, 0, 0
+    met = met.join(groups, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", (F.col("size") - F.col("k")).alias("rest"), small.alias("small"))
+    left, share = checkpoint(met), similarity / (1 + similarity)
+    best, turn, stale = math.inf, 0, 0
     while True:
         left, cross = _apart(left)
         if not cross:
@@ -210,16 +213,23 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
         last = cross <= 4 * left.count() or stale == 3  # leaders that join no more groups: these texts are unlike
         pairs = checkpoint((_across(left, share) if last else _led(left, turn, share)).distinct())
         found = _alike(pairs, texts, similarity)
-        links = checkpoint(found if links is None else links.union(found))
+        links = checkpoint(links.union(found))
         if last:
             break
         left = _merged(left, links)
         best, turn = min(best, cross), turn + 1
-    if links is None:
-        return texts.select("node", F.col("node").alias("root")).limit(0)
     return connected_components(links)
 
 
+def _first_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), stored: texts that are alike, by one comparison of each text for two of its tokens, the most frequent one and the one in the middle."""
+    places = F.array_distinct(F.array(F.size("tokens"), F.floor(F.size("tokens") / 2 + 1).cast("int")))
+    rows = texts.select("node", F.explode(F.transform(places, lambda k: F.element_at("tokens", k))).alias("token"))
+    lead = rows.groupBy("token").agg(F.min("node").alias("a"))
+    pairs = rows.join(lead.hint("merge"), "token").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return checkpoint(_alike(checkpoint(pairs), texts, similarity))
+
+
 def _apart(left: DataFrame) -> tuple[DataFrame, int]:
     """The rows of tokens in which some text meets a smaller one of another group, and the number of such pairs."""
     sizes = left.groupBy("token", "root").agg(F.count("*").alias("k"), F.count_if("small").alias("m"))
