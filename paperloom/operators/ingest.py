@@ -76,18 +76,18 @@ def mentioned_project(docs: DataFrame, id_col: str, text_col: str, projects: Dat
     """(id, project): the longest project that a text names as a whole token, blanks, hyphens and underscores between its parts
     being alike.
 
-    Projects meet texts by equality with their first run of letters and digits: a text emits the beginnings of its distinct
-    tokens, of the lengths that such runs have, and only those pairs are matched, so no text meets all projects.
+    Projects meet texts by equality with their first run of letters and digits of any script: a text emits, from each place that no a-z or digit
+    stands before, what such runs can be, and only those pairs are matched, so no text meets all projects but those without a letter or digit.
     """
     parts = F.filter(F.split(F.lower("project"), r"[-_\s]+"), lambda x: x != "")
     known = projects.select("project").distinct().withColumn("_parts", parts).filter(F.size("_parts") > 0)
     escaped = F.transform("_parts", lambda x: F.regexp_replace(x, r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
     pattern = F.concat(F.lit(r"(?:\A|[^a-z0-9])"), F.array_join(escaped, r"[-_\s]*"), F.lit(r"(?:[^a-z0-9]|\z)"))
-    known = known.select("project", F.regexp_extract(F.col("_parts")[0], r"\A([a-z0-9]*)", 1).alias("_start"), pattern.alias("_form"), "_parts")
-    lengths = [r[0] for r in known.select(F.length("_start")).distinct().collect()]  # as many as names have letters
-    tokens = F.array_distinct(F.regexp_extract_all("_low", F.lit(r"([a-z0-9]+)"), F.lit(1)))
-    cuts = F.array(*map(F.lit, sorted(lengths))) if lengths else F.array().cast("array<int>")
-    starts = X.let(tokens, lambda ts: F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(cuts, lambda n: F.transform(ts, lambda t: F.substring(t, F.lit(1), n)))))))
+    known = known.select("project", F.regexp_extract(F.array_join("_parts", "-"), r"([\p{L}\p{N}]+)", 1).alias("_start"), pattern.alias("_form"), "_parts")
+    lengths = sorted(r[0] for r in known.select(F.length("_start")).distinct().collect())  # as many as names have letters
+    runs = F.array_distinct(F.regexp_extract_all("_low", F.lit(rf"(?<![a-z0-9])(?=([\p{{L}}\p{{N}}]{{1,{max(lengths, default=0) or 1}}}))"), F.lit(1)))
+    cuts = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
+    starts = X.let(runs, lambda ts: F.array_distinct(F.flatten(F.transform(cuts, lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(ts, lambda t: F.substring(t, F.lit(1), n)))))))
     low = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
     met = low.select(id_col, F.explode(starts).alias("_start")).join(known, "_start")
     # The candidates of a text, the longest first, come back to it in one row, so that its words move once.

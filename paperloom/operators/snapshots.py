@@ -11,13 +11,18 @@ from paperloom.functions.merge import merged_text
 from . import scans as R
 
 
-def compare_snapshots(left: DataFrame, right: DataFrame, path: str, value: str) -> DataFrame:
-    """Every path whose value differs between two snapshots, and how; both sides meet in one aggregation. A path is in a snapshot once."""
+def compare_snapshots(left: DataFrame, right: DataFrame, path: str, value: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(path, before, after, change) of every path that differs between two snapshots; both sides meet in one aggregation.
+
+    A path is in a snapshot once; null is a value like any other. ``value`` may be a struct, of mode and content, say. ``allowed`` has paths that may differ.
+    """
     rows = left.select(path, F.lit(True).alias("_old"), F.col(value).alias("_v")).unionAll(right.select(path, F.lit(False), F.col(value)))
-    one = lambda old: F.max(F.when(F.col("_old") == old, F.col("_v")))
-    rows = rows.groupBy(path).agg(one(True).alias("before"), one(False).alias("after")).filter(~F.col("before").eqNullSafe(F.col("after")))
-    what = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("changed")
-    return rows.withColumn("change", what)
+    one = lambda old: F.max(F.when(F.col("_old") == old, F.struct("_v")))
+    rows = rows.groupBy(path).agg(one(True).alias("_b"), one(False).alias("_a")).filter(~F.col("_b").eqNullSafe(F.col("_a")))
+    if allowed is not None:
+        rows = rows.join(allowed.select(path).distinct(), path, "left_anti")
+    what = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "deleted").otherwise("changed")
+    return rows.select(path, F.col("_b._v").alias("before"), F.col("_a._v").alias("after"), what.alias("change"))
 
 
 def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -29,6 +34,13 @@ def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.withColumn("_x", F.explode(F.sequence(F.lit(1), F.abs("_n")))).select(*columns, "side")
 
 
+def inventory_report(diff: DataFrame, order: list[str], most: int = 20) -> DataFrame:
+    """(side, rows, and the columns of ``order``) of an ``inventory_diff``: how many rows a side has alone, and the first ``most`` of them."""
+    counts = diff.groupBy("side").agg(F.count("*").alias("rows"))
+    first = [diff.filter(F.col("side") == s).select("side", *order).orderBy(*order).limit(most) for s in ("before", "after")]
+    return first[0].unionAll(first[1]).join(F.broadcast(counts), "side")  # a row for each side
+
+
 def cas_check(pointers: DataFrame, objects: DataFrame) -> DataFrame:
     """Pointers (path, oid, size) without an object, or with one of another size."""
     rows = pointers.join(objects.select("oid", F.col("size").alias("have")), "oid", "left")
@@ -59,9 +71,9 @@ def evict_until(objects: DataFrame, key: str, order: list[str], size: str, limit
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, path: str, value: str) -> DataFrame:
-    """What a merge does with each path that a side changed."""
+    """What a merge does with each path that a side changed; null is a value like any other."""
     part = lambda df, n: df.select(path, F.lit(n).alias("_n"), F.col(value).alias("_v"))
-    one = lambda n: F.max(F.when(F.col("_n") == n, F.col("_v")))
+    one = lambda n: F.max(F.when(F.col("_n") == n, F.struct("_v")))
     rows = part(base, 0).unionAll(part(ours, 1)).unionAll(part(theirs, 2)).groupBy(path).agg(one(0).alias("b"), one(1).alias("o"), one(2).alias("t"))
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     what = (

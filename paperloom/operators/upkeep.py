@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import paths as Q
 
+from . import scans
 from .snapshots import cas_check, compare_snapshots, union_merge
 
 HOUR, DAY = 3_600, 86_400
@@ -60,6 +61,47 @@ def verify_rewrite(before: DataFrame, after: DataFrame, pointers: DataFrame, obj
     return trees.union(cas).union(outside)
 
 
+def sampled_commits(commits: DataFrame, odd: DataFrame, ends: int = 50, most: int = 200, seed: int = 1) -> DataFrame:
+    """(store, commit, place) of the commits (store, commit, ord) to verify: the first and last ``ends`` by order, ``most`` at random of
+    those between, and all of ``odd`` (store, commit); orders are unique within a store, and places count from 1.
+    """
+    ranged = scans.ranges(commits.select("store", "commit", "ord"), ["store"], ["ord"])
+    rows = scans.plain(scans.numbered(ranged, ["store"], ["ord"], "place")).join(commits.groupBy("store").agg(F.count("*").alias("n")), "store")
+    edge = (F.col("place") <= ends) | (F.col("place") > F.col("n") - ends)
+    # The seeded choice ranks a few times as many as it needs, so no store is ranked whole.
+    share = F.pmod(F.xxhash64(F.lit(seed), "store", "commit"), F.lit(1 << 30)) / F.lit(1 << 30)
+    few = rows.filter(~edge).withColumn("_h", share).filter(F.col("_h") * (F.col("n") - 2 * ends) < 4 * most + 100)
+    by = Window.partitionBy("store").orderBy("_h", "commit")
+    picked = few.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= most).select("store", "commit", "place")
+    return rows.filter(edge).select("store", "commit", "place").union(picked).union(rows.join(odd, ["store", "commit"], "left_semi").select("store", "commit", "place")).distinct()
+
+
+def history_faults(picked: DataFrame, renamed: DataFrame, before: DataFrame, after: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(check, store, commit, path) of what a rewrite got wrong in the commits ``picked`` (store, commit), by their old names.
+
+    ``renamed`` has (store, commit, new), ``before`` and ``after`` are trees (store, commit, path, mode, blob), of old and new names, and
+    ``allowed`` the paths (store, path) that may differ. Commits without a new name, or with several, are faults; only trees of picked commits are read.
+    """
+    names = renamed.groupBy("store", "commit").agg(F.min("new").alias("new"), F.count("*").alias("names"))
+    rows = picked.select("store", "commit").distinct().join(names, ["store", "commit"], "left")
+    row = lambda df, check, path: df.select(F.lit(check).alias("check"), "store", "commit", path.alias("path"))
+    none = F.lit(None).cast("string")
+    pairs = rows.filter("new is not null")
+    side = lambda df: df.select(F.struct("store", "commit", "path").alias("at"), F.struct("mode", "blob").alias("what"))
+    old = before.join(pairs.select("store", "commit"), ["store", "commit"], "left_semi")
+    new = after.withColumnRenamed("commit", "new").join(pairs.select("store", "commit", "new"), ["store", "new"])
+    found = compare_snapshots(side(old), side(new), "at", "what").select(F.concat(F.lit("tree-"), "change").alias("check"), "at.*")
+    found = found.join(allowed.select("store", "path").distinct(), ["store", "path"], "left_anti").select("check", "store", "commit", "path")
+    return found.union(row(rows.filter("new is null"), "commit-unnamed", none)).union(row(rows.filter("names > 1"), "commit-ambiguous", none))
+
+
+def content_faults(pointers: DataFrame, objects: DataFrame) -> DataFrame:
+    """(check, path) of pointers (path, oid, size) whose object (oid, content) is missing or, hashed anew, another one."""
+    rows = pointers.join(objects.select("oid", F.sha2("content", 256).alias("sha"), F.octet_length("content").alias("bytes")), "oid", "left")
+    what = F.when(F.col("sha").isNull(), "object-missing").when(F.col("sha") != F.col("oid"), "object-hash").when(F.col("bytes") != F.col("size"), "object-size")
+    return rows.select(what.alias("check"), "path").filter("check is not null")
+
+
 def ignored_outside(files: DataFrame, key: str, most_bytes: int) -> DataFrame:
     """Per store the ignored files (path, size) outside reject places; active if one is of a large kind, or from ``most_bytes`` on."""
     large = Q.is_large_path(F.col("path"))

@@ -177,6 +177,13 @@ def _(spark, d):
     return S.inventory_diff(snapshot(spark, d, 0), snapshot(spark, d, 1))
 
 
+@query("inventory_report", f"""WITH {LI}, x AS (SELECT path, blob, 'before' AS side FROM l WHERE k % 7 <> 0 AND (k % 11 = 0 OR k % 13 = 0)
+UNION ALL SELECT path, CASE WHEN k % 13 = 0 THEN 'XX' ELSE blob END, 'after' FROM l WHERE k % 11 <> 0 AND (k % 7 = 0 OR k % 13 = 0))
+SELECT side, path, blob, count(*) OVER (PARTITION BY side) AS rows FROM x QUALIFY row_number() OVER (PARTITION BY side ORDER BY path, blob) <= 20""")
+def _(spark, d):
+    return S.inventory_report(S.inventory_diff(snapshot(spark, d, 0), snapshot(spark, d, 1)), ["path", "blob"])
+
+
 @query("three_way", f"""WITH {LI} SELECT path, CASE WHEN k % 11 = 0 AND k % 5 = 0 THEN 'same' WHEN k % 11 = 0 AND k % 7 <> 0 AND k % 3 = 0 THEN 'delete-modify'
 WHEN k % 5 = 0 AND k % 13 = 0 THEN 'delete-modify' WHEN k % 3 = 0 AND k % 13 = 0 THEN 'conflict' WHEN k % 5 = 0 OR k % 3 = 0 THEN 'theirs' ELSE 'ours' END AS action
 FROM (SELECT * FROM l WHERE k % 7 <> 0) WHERE k % 11 = 0 OR k % 13 = 0 OR k % 5 = 0 OR k % 3 = 0""")

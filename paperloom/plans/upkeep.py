@@ -66,6 +66,34 @@ def _(spark, d):
     return U.retirement(rows, "store", conditions, state)
 
 
+#: A tree a document: three files, of which a rewrite changed one in some commits, lost one in others, and left some commits without a name.
+@query("history_faults", """WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY doc_id % 2) AS n FROM documents),
+s AS (SELECT * FROM d WHERE place <= 50 OR place > n - 50 OR doc_id % 9 = 0), c AS (SELECT concat('s', doc_id % 2) AS store, concat('old', doc_id) AS "commit", doc_id FROM s)
+SELECT 'tree-changed' AS "check", store, "commit", 'a.md' AS path FROM c WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 UNION ALL SELECT 'tree-deleted', store, "commit", 'b.md' FROM c WHERE doc_id % 11 = 0 AND doc_id % 7 <> 0
+UNION ALL SELECT 'commit-unnamed', store, "commit", NULL FROM c WHERE doc_id % 7 = 0""")
+def _(spark, d):
+    k = read(spark, d, "documents").select("doc_id", "text")
+    store, old, new = F.expr("concat('s', doc_id % 2)").alias("store"), F.expr("concat('old', doc_id)"), F.expr("concat('new', doc_id)")
+    odd = k.filter("doc_id % 9 = 0").select(store, old.alias("commit"))
+    picked = U.sampled_commits(k.select(store, old.alias("commit"), F.col("doc_id").alias("ord")), odd, most=0)
+    files = F.explode(F.array(F.lit("a.md"), F.lit("b.md"), F.lit("free.md"))).alias("path")
+    trees = k.select("doc_id", "text", files).withColumns({"mode": F.lit("100644"), "blob": F.sha1(F.concat("path", "text").cast("binary"))})
+    before = trees.select(store, old.alias("commit"), "path", "mode", "blob")
+    blob = F.when(F.expr("path = 'free.md' or path = 'a.md' and doc_id % 5 = 0"), "other").otherwise(F.col("blob"))
+    after = trees.filter("not (path = 'b.md' and doc_id % 11 = 0)").select(store, new.alias("commit"), "path", "mode", blob.alias("blob"))
+    renamed = k.filter("doc_id % 7 <> 0").select(store, old.alias("commit"), new.alias("new"))
+    return U.history_faults(picked, renamed, before, after, k.select(store, F.lit("free.md").alias("path")).distinct())
+
+
+@query("content_faults", """SELECT CASE WHEN doc_id % 13 = 0 THEN 'object-missing' WHEN doc_id % 5 = 0 THEN 'object-hash' ELSE 'object-size' END AS "check", doc_id::VARCHAR AS path FROM documents WHERE doc_id % 13 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0""")
+def _(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")).withColumn("content", F.concat("content", F.col("doc_id").cast("string").cast("binary")))
+    oid = F.sha2("content", 256).alias("oid")
+    pointers = docs.select(F.col("doc_id").cast("string").alias("path"), oid, (F.octet_length("content") + F.expr("CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END")).alias("size"))
+    objects = docs.filter("doc_id % 13 <> 0").select(oid, F.when(F.expr("doc_id % 5 = 0"), F.lit(b"x")).otherwise(F.col("content")).alias("content"))
+    return U.content_faults(pointers, objects)
+
+
 #: A ledger of four lines before the text; our side drops the first and adds two at the end, theirs changes the third and adds two.
 LEDGER = {"base": "concat('a', chr(10), 'm', chr(10), 'b', chr(10), 'c', chr(10), text, chr(10))", "ours": "concat('m', chr(10), 'b', chr(10), 'c', chr(10), text, chr(10), 'our ', doc_id, chr(10), 'same', chr(10))"}
 LEDGER["theirs"] = "concat('a', chr(10), 'm', chr(10), 'B', chr(10), 'c', chr(10), text, chr(10), 'their', chr(10), 'same', chr(10))"

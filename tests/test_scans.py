@@ -2,13 +2,16 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from paperloom.operators import gate as G
 from paperloom.operators import history as H
+from paperloom.operators import ingest as N
 from paperloom.operators import scans
 from paperloom.operators import snapshots as S
+from paperloom.operators import upkeep as U
 from paperloom.storage import checkpoint
 
 
@@ -64,3 +67,34 @@ def test_ancestry_of_a_long_chain_takes_few_rounds(spark):
     keep = lambda df: rounds.append(1) or checkpoint(df)
     got = sorted((r["old"], r["new"]) for r in G.is_ancestor(updates, commits.union(merge), keep).collect())
     assert got == [("0", str(n - 1)), ("12345", "y"), ("5", "x"), ("x", "y")] and len(rounds) < 40
+
+
+def test_sampled_commits(spark):
+    commits = spark.range(2_000).select(F.when(F.col("id") < 1_900, "a").otherwise("b").alias("store"), F.concat(F.lit("c"), "id").alias("commit"), F.col("id").alias("ord"))
+    odd = spark.createDataFrame([("a", "c700"), ("a", "no")], "store string, commit string")
+    rows = [(r["store"], r["place"]) for r in U.sampled_commits(commits, odd).collect()]
+    a = sorted(p for s, p in rows if s == "a")
+    assert len(set(rows)) == len(rows) and sum(s == "b" for s, _ in rows) == 100 and len(a) in (300, 301) and 701 in a
+    assert a[:50] == list(range(1, 51)) and a[-50:] == list(range(1_851, 1_901))
+    assert sorted(rows) == sorted((r["store"], r["place"]) for r in U.sampled_commits(commits, odd).collect())
+
+
+def test_null_is_a_value_of_a_snapshot(spark):
+    side = lambda *rows: spark.createDataFrame(list(rows), "path string, blob string")
+    left, right = side(("a", None), ("b", None), ("c", "1"), ("d", "1")), side(("a", None), ("c", None), ("d", "2"), ("e", None))
+    got = {r["path"]: r["change"] for r in S.compare_snapshots(left, right, "path", "blob", side(("d", ""))).collect()}
+    assert got == {"b": "deleted", "c": "changed", "e": "added"}
+    assert {r["path"]: r["action"] for r in S.three_way(side(("a", None)), side(), side(("a", "x")), "path", "blob").collect()} == {"a": "delete-modify"}
+
+
+def test_projects_with_names_of_any_script(spark):
+    names = ["가나", "été-plan", "app", "app-2", ".net", "!!"]
+    texts = ["see 가나 now", "다가나라", "x가나", "the ÉTÉ plan", "my app_2!", "happy", "use .NET", None, "what !! is"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["project"] for r in N.mentioned_project(rows, "id", "text", spark.createDataFrame([(n,) for n in names], "project string")).collect()}
+
+    def plain(text):
+        form = lambda n: r"(?:^|[^a-z0-9])" + r"[-_\s]*".join(re.escape(x) for x in re.split(r"[-_\s]+", n)) + r"(?:[^a-z0-9]|$)"
+        return max((n for n in names if re.search(form(n), (text or "").lower())), key=lambda n: (len(n), n), default=None)
+
+    assert got == {k: plain(t) for k, t in enumerate(texts) if plain(t)}
