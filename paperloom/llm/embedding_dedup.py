@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint, connected_components, sized
 
 
+#: Vectors of a length from which on they are dealt to cells, and cells that a vector is in at most, on average, where the number of centres allows it.
+HANDFUL, COPIES = 16, 3.0
+
+
 def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """k unit centres of unit rows; empty cells start anew from a random row."""
     rng = np.random.default_rng(seed)
@@ -109,13 +113,22 @@ def _units(xs: pd.Series) -> np.ndarray:
 def _split_cells(rows: DataFrame, threshold: float, margin: float | None, cell_rows: int, fan: int, max_fit: int, seed: int) -> DataFrame:
     """rows (rep, label, dim, vec, times, x) with ``cell``, a row for each cell that a vector is in; cells of a length begin with it.
 
-    A cell with more than twice ``cell_rows`` vectors of a label gets ``fan`` centres, or one for 8 vectors of a sample of
-    ``max_fit``, on which they are fitted. It is split only if that, by the sample, at least halves the work, a copy of a vector
+    Vectors of a length are dealt to cells at any number, down to a handful: as many centres as a sample of ``max_fit`` has 16 vectors, ``fan`` at most,
+    or the quarter of that, and so on, until a vector is in ``COPIES`` cells or fewer by the sample; two centres at the least. Cells that still have more
+    than twice ``cell_rows`` vectors of a label are split further, if that, by the sample, at least halves the work, a copy of a vector
     being as much as ``cell_rows`` products; a cluster that is narrower than the margin isn't, and stays a cell.
     """
     rows = rows.withColumn("cell", F.col("dim").cast("string"))
     kinds = dict(rows.dtypes)
 
+    def fit_first(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, k = _units(part["x"]), max(2, min(fan, len(part) // 16))
+        while True:
+            c = spherical_kmeans(x, k, seed)
+            if k == 2 or _near(x, c, threshold, margin).sum(axis=1).mean() <= COPIES:
+                return pd.DataFrame({"cell": [key[0]], "centres": [c.ravel()]})
+            k = max(2, k // 4)
+
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x = _units(part["x"])
         c = spherical_kmeans(x, max(1, min(fan, len(part) // 8)), seed)
@@ -135,10 +148,10 @@ def _split_cells(rows: DataFrame, threshold: float, margin: float | None, cell_r
     done = None
     while True:
         sizes = rows.groupBy("cell", "label", "dim").count().groupBy("cell", "dim").agg(F.max("count").alias("most"), F.sum("count").alias("total"))
-        big = checkpoint(sizes.filter(F.col("most") > 2 * cell_rows))
+        big = checkpoint(sizes.filter(F.col("total") >= HANDFUL if done is None else F.col("most") > 2 * cell_rows))
         few = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(2**31)) < F.lit(2.0**31 * max_fit) / F.col("total")
         sample = rows.join(sized(big.select("cell", "total", "most")), "cell").filter(few).select("cell", "x", "most")
-        centres = checkpoint(sample.groupBy("cell").applyInPandas(fit, "cell string, centres array<double>").filter("centres is not null"))
+        centres = checkpoint(sample.groupBy("cell").applyInPandas(fit_first if done is None else fit, "cell string, centres array<double>").filter("centres is not null"))
         if centres.isEmpty():
             return rows if done is None else done.union(rows)
         parts = big.join(centres, "cell").select("cell", "centres", F.ceil(F.col("total") * F.col("dim") / 2_000_000).cast("int").alias("parts"))
@@ -173,8 +186,8 @@ def embedding_near_dups(
 
     Equal vectors count as one until the end. A vector is in the cell of its nearest centre and in every cell whose
     centre is less than ``margin`` further by dot product; left out, it is 4.5 standard deviations of what two vectors
-    at the threshold can differ by, along a direction taken at random. Cells with more than twice ``cell_rows`` vectors
-    of a label are split by ``fan`` centres or fewer, which come from bounded samples of ``max_fit`` vectors of the cell.
+    at the threshold can differ by, along a direction taken at random. All vectors but a handful are dealt to cells, and cells with more than twice
+    ``cell_rows`` vectors of a label again, by ``fan`` centres or fewer, which come from bounded samples of ``max_fit`` vectors of the cell.
     Cells are cut into blocks of ``block_rows``, and pairs of blocks are compared, so no task holds a whole cell. Rows that
     repeat an id count as one more vector each. An empty table gives an empty result; further columns are ignored.
     """

@@ -1,7 +1,7 @@
 """Secret scan with structural confirmation.
 
 Three plain patterns give the base findings. Further candidates are reported only if their bytes hold up: PEM
-blocks and base64 or hex runs must decode to DER with consistent nested lengths, SSH keys to a chain of
+blocks and base64 or hex runs must decode to DER with consistent nested lengths and the parts of a private key, SSH keys to a chain of
 length-prefixed fields, and signed tokens to a JSON header that names an algorithm.
 """
 
@@ -22,11 +22,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: The label, header lines, and what they enclose.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----\s+((?:[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 #: A token starts where a run of its characters starts, so that a long run without dots is read once.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_BYTES = (re.compile(r"[0-9a-f]{48,}"), re.compile(r"[0-9A-F]{48,}"))
+HEX_BYTES = re.compile(r"[0-9A-Fa-f]{48,}")
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "pem", "signed", "ssh", "der")
 
@@ -51,13 +52,41 @@ def der_ends(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -
     return True
 
 
+def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """(tag, start, end) of the elements in a part of which ``der_ends`` holds."""
+    found = []
+    while at < end:
+        tag, size, at = data[at], data[at + 1], at + 2
+        if size >= 128:
+            n = size & 127
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        found.append((tag, at, at + size))
+        at += size
+    return found
+
+
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence that fills the bytes, holds an integer or a sequence first and is as long as any key."""
-    if len(data) < 24 or data[0] != 0x30 or not der_ends(data):
+    """A DER sequence that fills the bytes, as long as any key, with what private keys are made of.
+
+    These are a version of 0 or 1, then an algorithm and octets, or octets, or five integers and more; or an algorithm and octets alone, if
+    encrypted. Certificates, public keys and other sequences aren't keys.
+    """
+    if len(data) < 24 or data[0] != SEQUENCE or not der_ends(data):
+        return False
+    top = der_children(data, 0, len(data))
+    if len(top) != 1:
         return False
-    inner = 2 + (data[1] & 127 if data[1] >= 128 else 0)  # six at most, as lengths take four bytes at most
-    size = int.from_bytes(data[2:inner], "big") if data[1] >= 128 else data[1]
-    return inner + size == len(data) and data[inner] in (2, 0x30)
+    parts = der_children(data, *top[0][1:])
+    tags = [tag for tag, _, _ in parts]
+    algorithm = lambda k: tags[k] == SEQUENCE and [t for t, _, _ in der_children(data, *parts[k][1:])][:1] == [OID]
+    if tags == [SEQUENCE, OCTETS]:
+        return algorithm(0)
+    if len(tags) < 2 or tags[0] != INTEGER or data[parts[0][1] : parts[0][2]] not in (b"\0", b"\1"):
+        return False
+    return tags[1] == OCTETS or set(tags) == {INTEGER} and len(tags) >= 6 or tags[1:3] == [SEQUENCE, OCTETS] and algorithm(1)
 
 
 def ssh_fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int]:
@@ -121,8 +150,9 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = from_base64(m[2])
-            if is_der_key(data) or is_ssh_key(data):
+            data = from_base64(m[3])
+            # An old encrypted key is whole blocks of a cipher, and its headers name that.
+            if is_der_key(data) or is_ssh_key(data) or ("ENCRYPTED" in m[2] and "DEK-Info: " in m[2] and len(data) >= 24 and len(data) % 8 == 0):
                 found.append(("pem", m.start(), m.end()))
     if "eyJ" in text:
         found += [("signed", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_header(m[0].split(".")[0])]
@@ -132,10 +162,9 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             found.append(("ssh", m.start(), m.end()))
         elif is_der_key(data):
             found.append(("der", m.start(), m.end()))
-    for pattern in HEX_BYTES:
-        for m in pattern.finditer(text):
-            if is_der_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
-                found.append(("der", m.start(), m.end()))
+    for m in HEX_BYTES.finditer(text):
+        if is_der_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
+            found.append(("der", m.start(), m.end()))
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -352,3 +352,32 @@ def test_pipeline_equals_plain_stages(spark):
         assert r["target"] == pytest.approx(want[r["source"]]) and 0 < r["taken"] <= 3 * len(r["text"].split())
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, SMALL).collect()) == sorted((r["doc_id"], r["taken"]) for r in mixed)
+
+
+def test_keys_are_told_from_certificates():
+    def der(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+    number = der(2, bytes(range(1, 30)))
+    algorithm, octets = der(0x30, der(6, b"\x2a\x86\x48\x86"), der(5)), der(4, bytes(range(40)))
+    keys = {
+        "PRIVATE KEY": der(0x30, der(2, b"\0"), algorithm, octets),
+        "RSA PRIVATE KEY": der(0x30, der(2, b"\0"), *[number] * 8),
+        "EC PRIVATE KEY": der(0x30, der(2, b"\1"), octets, der(0xA0, der(6, b"\x2a\x86\x48"))),
+        "ENCRYPTED PRIVATE KEY": der(0x30, algorithm, octets),
+    }
+    certificate = der(0x30, der(0x30, der(0xA0, der(2, b"\2")), number, algorithm), algorithm, der(3, bytes(200)))
+    public = der(0x30, algorithm, der(3, bytes(70)))
+    pem = lambda label, data, head="": f"-----BEGIN {label}-----\n{head}{base64.encodebytes(data).decode()}-----END {label}-----"
+    for label, data in keys.items():
+        assert [k for k, _, _ in secret_scan.find_secrets(f"x {pem(label, data)} y")][:1] == ["pem"]
+        assert "der" in [k for k, _, _ in secret_scan.find_secrets(base64.b64encode(data).decode())]
+        assert "der" in [k for k, _, _ in secret_scan.find_secrets(data.hex().replace("a", "A"))]
+    for data in (certificate, public, der(0x30, number, number), b"\x30\x82"):
+        assert not secret_scan.is_der_key(data)
+        assert not [k for k, _, _ in secret_scan.find_secrets(pem("CERTIFICATE", data)) if k in ("pem", "der", "ssh")]
+    old = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    assert [k for k, _, _ in secret_scan.find_secrets(pem("RSA PRIVATE KEY", bytes(64), old))] == ["pem"]
+    assert secret_scan.find_secrets(pem("RSA PRIVATE KEY", bytes(64))) == []

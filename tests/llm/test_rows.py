@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paperloom.llm import decontaminate, embedding_dedup, language_id, line_dedup, mixing, quality, secret_scan, simhash_dedup, toxicity, url_filter
 from paperloom.llm import queries as Q
 
@@ -11,6 +12,8 @@ NAMES = (
     *("_at", "_of", "_doc", "_split", "_stay", "_lines", "_kept", "_size", "size", "mix", "s", "at", "row", "id", "host", "path", "rule", "verdict", "judged", "label", "length", "features"),
     *("fold", "suffix", "language", "lang_pred", "secrets", "toxicity", "quality", "_gone", "_hash", "_id", "root", "node", "w", "total", "n", "h", "token", "doc", "item_id", "words", "url_"),
 )
+SMALL = "/root/testdata/sf0.001"
+MORE = ("held_out", "score", "part", "placed", "encoded", "code", "error", "shard", "slot", "h_", "mask", "cell", "vec", "dim", "rep", "node_", "component_id", "n_links", "kept", "fingerprint", "sketch", "df", "least", "most")
 LONG = "\n".join(" ".join(f"w{k * 7 + j}" for j in range(9)) for k in range(20_000))
 TEXTS = ["one two three four five six\nseven", "one two three four five six\nseven", None, "", "   \n ", LONG, "https://a.example.com/en/1?q=2"]
 
@@ -58,6 +61,28 @@ def test_rows_and_columns_of_the_caller_stay(spark, docs, name):
         assert {r["text"] for r in rows} <= set(TEXTS)
 
 
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """The smallest tables with a column more for every name that the operators use."""
+    folder = str(tmp_path_factory.mktemp("clash"))
+    for name in ("documents", "pages", "embeddings", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        taken = {c.lower() for c in rows.columns}
+        rows.select("*", *[F.lit("mine").alias(c) for c in (*NAMES, *MORE) if c not in taken]).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_queries_read_their_own_columns(spark, clashing, name):
+    rows = lambda folder: sorted(map(str, Q.QUERIES[name](spark, folder).collect()))
+    assert rows(clashing) == rows(SMALL)
+
+
+def test_the_first_stage_reads_its_own_columns(spark, clashing):
+    rows = lambda folder: sorted(map(str, corpus_pipeline.identify_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()))
+    assert rows(clashing) == rows(SMALL)
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_empty_tables(spark, docs, name):
     assert OPS[name](spark, docs.limit(0)).count() == 0
