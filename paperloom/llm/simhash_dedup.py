@@ -147,8 +147,31 @@ def _least_shared(similarity: float) -> Column:
     return F.ceil(F.col("n") * similarity - 1e-9)
 
 
-#: Texts of the sample in which frequent tokens are looked for, and how many of these a frequent token is in.
-SAMPLE, FREQUENT = 20_000, 100
+#: Texts of the sample in which frequent tokens are looked for, how many of these a frequent token is in, and how many tokens are counted in this way.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 100, 100_000
+
+
+def _frequent_counts(texts: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
+    """(token, df_, least_, most_) of the given tokens, sorted: how many rows have them, and the smallest and largest node. A task sums up what it reads."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, least, most = np.zeros(len(frequent), np.int64), np.full(len(frequent), 2**63 - 1), np.full(len(frequent), -(2**63))
+        seen: set[int] = set()
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                tokens = shingle_tokens(text.as_py(), size)
+                at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+                at = at[frequent[at] == tokens]
+                n[at] += 1
+                least[at], most[at] = np.minimum(least[at], node), np.maximum(most[at], node)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (frequent, n, least, most)], ["token", "n", "a", "b"])
+
+    rows = texts.mapInArrow(of, "token long, n long, a long, b long")
+    return rows.groupBy("token").agg(F.sum("n").alias("df_"), F.min("a").alias("least_"), F.max("b").alias("most_"))
 
 
 def _candidates(docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
@@ -158,14 +181,12 @@ def _candidates(docs: DataFrame, text_col: str, size: int, similarity: float) ->
     sums before and then dealt out, so that no task gets them. Both counts are exact, whatever the sample.
     """
     texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    some = bounded_sample(texts, ["node"], SAMPLE, 1)
-    frequent = checkpoint(_tokens(some, size).groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") >= FREQUENT).select("token"))
-    rows = _tokens(texts, size).withColumn("part", F.lit(0))
-    known = not frequent.isEmpty()
+    some = _tokens(bounded_sample(texts, ["node"], SAMPLE, 1), size).groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") >= FREQUENT)
+    frequent = np.sort(np.array([r["token"] for r in some.orderBy(F.desc("k"), "token").limit(MOST_FREQUENT).collect()], np.int64))
+    rows, known = _tokens(texts, size).withColumn("part", F.lit(0)), len(frequent) > 0
     if known:
-        counts = _tokens(texts, size).join(sized(frequent, 500_000), "token").groupBy("token")
-        counts = checkpoint(counts.agg(F.count("*").alias("df_"), F.min("node").alias("least_"), F.max("node").alias("most_")))
-        rows = rows.join(sized(counts, 500_000), "token", "left").withColumn("part", F.when(F.col("df_").isNotNull(), F.pmod("node", F.lit(4096))).otherwise(0))
+        counts = checkpoint(_frequent_counts(texts, size, frequent))
+        rows = rows.join(sized(counts, MOST_FREQUENT), "token", "left").withColumn("part", F.when(F.col("df_").isNotNull(), F.pmod("node", F.lit(4096))).otherwise(0))
     by = Window.partitionBy("token", "part")
     for name, met in (("df", F.count("*")), ("least", F.min("node")), ("most", F.max("node"))):
         rows = rows.withColumn(name, F.coalesce(f"{name}_", met.over(by)) if known else met.over(by))
@@ -198,12 +219,11 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
     """
     texts = checkpoint(_candidates(docs, text_col, size, similarity))
     links = _first_links(texts, similarity)
-    groups = connected_components(links)
     prefix = F.size("tokens") - _least_shared(similarity) + 1
     met = texts.select("node", "n", F.size("tokens").alias("size"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("k", "token"))
     small = F.col("k") <= F.col("size") - _least_shared(2 * similarity / (1 + similarity))
-    met = met.join(groups, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", (F.col("size") - F.col("k")).alias("rest"), small.alias("small"))
-    left, share = checkpoint(met), similarity / (1 + similarity)
+    met = met.select("token", "node", F.col("node").alias("root"), "n", (F.col("size") - F.col("k")).alias("rest"), small.alias("small"))
+    left, share = checkpoint(_merged(checkpoint(met), links)), similarity / (1 + similarity)
     best, turn, stale = math.inf, 0, 0
     while True:
         left, cross = _apart(left)
