@@ -26,9 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at ``path``, a file or a folder that grows.
 
-    The path is given as a pattern, as a stream takes a plain path for a folder.
+    The path is given as a pattern, as a stream takes a plain path for a folder. A backlog is cut into batches of a thousand files.
     """
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.option("maxFilesPerTrigger", 1_000).schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, mode: str = "append", key: list[str] | None = None, folder: str | None = None) -> DataFrame:
