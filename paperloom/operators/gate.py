@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import paths as Q
@@ -35,37 +35,55 @@ def commit_chains(commits: DataFrame, store_checkpoint) -> DataFrame:
             return rows.select("store", "commit", "ord", F.col("up").alias("chain"), "place")
 
 
+def _blocks(low: Column, high: Column, levels: int) -> Column:
+    """Blocks (level, at) of 2^level numbers that together make up the numbers from low to high, two a level at most."""
+
+    def of(level: Column) -> Column:
+        start, end = -F.call_function("shiftright", -low, level), F.call_function("shiftright", high + 1, level)
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        block = lambda when, at: F.when((start < end) & when, F.struct(level.alias("level"), at.alias("at")))
+        return F.array(block(odd(start), start), block(odd(end), end - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of)))
+
+
 def is_ancestor(updates: DataFrame, commits: DataFrame, store_checkpoint) -> DataFrame:
     """The (store, old, new) of ``updates`` in which old is an ancestor of new, or new itself.
 
     ``commits`` has (store, commit, parent, ord), ord growing along every parent edge. Commits older than all old ones of their store, or later
-    than all new ones, are left out. The others are cut into chains; a search then knows of each chain the latest place it has reached, which stands for all
-    before it, and goes from there to other chains. So a round crosses whole chains, and rounds grow with the logarithm of the depth
-    and with how often a way must change chains, not with the depth.
+    than all new ones, are left out. The others are cut into chains; a search then knows of each chain the latest commit it has reached, by its ord,
+    which stands for all before it, and goes from there to other chains, but never below its old commit. So a round crosses whole chains, and rounds
+    grow with the logarithm of the depth and with how often a way must change chains, not with the depth. Ranges of a chain meet the
+    edges that leave it by blocks of powers of two, so only edges between old and new are met.
     """
     pairs = updates.select("store", "old", "new").distinct()
-    ords = commits.groupBy("store", "commit").agg(F.max("ord").alias("ord"))
+    ords = commits.groupBy("store", "commit").agg(F.max("ord").cast("long").alias("ord"))
     ends = pairs.join(ords.withColumnsRenamed({"commit": "old", "ord": "low"}), ["store", "old"]).join(ords.withColumnsRenamed({"commit": "new", "ord": "high"}), ["store", "new"])
-    ends = store_checkpoint(ends)
+    ends = store_checkpoint(ends.filter("low <= high"))
     span = ends.groupBy("store").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     some = store_checkpoint(commits.join(span, "store").filter("ord between low and high").select(*commits.columns))
     chains = store_checkpoint(commit_chains(some, store_checkpoint))
-    at = lambda df, c, a, p: df.join(chains.select("store", F.col("commit").alias(c), F.col("chain").alias(a), F.col("place").alias(p)), ["store", c])
+    at = lambda df, c, a, o: df.join(chains.select("store", F.col("commit").alias(c), F.col("chain").alias(a), F.col("ord").cast("long").alias(o)), ["store", c])
     # Edges that leave a chain, and where each search starts and has to come to.
     leaving = at(at(some.filter("parent is not null").select("store", "commit", "parent").distinct(), "commit", "chain", "from"), "parent", "to_chain", "to")
     leaving = store_checkpoint(leaving.filter("chain <> to_chain").select("store", "chain", "from", "to_chain", "to").distinct())
-    goals = store_checkpoint(at(at(ends, "new", "chain", "place"), "old", "goal", "goal_place"))
-    search = ["store", "old", "new", "goal", "goal_place"]
-    reached = store_checkpoint(goals.select(*search, "chain", "place"))
-    frontier, found = reached.withColumn("before", F.lit(-1).cast("long")), None
+    widest = leaving.agg(F.greatest(F.abs(F.min("from")), F.abs(F.max("from")))).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(int(widest).bit_length()))
+    leaving = store_checkpoint(leaving.withColumn("block", F.explode(F.transform(levels, lambda n: F.struct(n.alias("level"), F.call_function("shiftright", "from", n).alias("at"))))))
+    goals = store_checkpoint(at(at(ends, "new", "chain", "ord"), "old", "goal", "low_").drop("low_", "high"))
+    search = ["store", "old", "new", "goal", "low"]
+    reached = store_checkpoint(goals.select(*search, "chain", "ord"))
+    frontier, found = reached.withColumn("before", F.col("low")), None
     while True:
-        hit = frontier.filter("chain = goal and place >= goal_place").select("store", "old", "new").distinct()
+        hit = frontier.filter("chain = goal and ord >= low").select("store", "old", "new").distinct()
         found = store_checkpoint(hit if found is None else found.union(hit).distinct())
-        step = frontier.join(found, ["store", "old", "new"], "left_anti").join(leaving, ["store", "chain"]).filter("`from` <= place and `from` > before")
-        step = step.groupBy(*search, F.col("to_chain").alias("chain")).agg(F.max("to").alias("place"))
-        known = reached.select("store", "old", "new", "chain", F.col("place").alias("before"))
-        step = step.join(known, ["store", "old", "new", "chain"], "left").withColumn("before", F.coalesce("before", F.lit(-1).cast("long"))).filter("place > before")
-        frontier = store_checkpoint(step.select(*search, "chain", "place", "before"))
+        step = frontier.join(found, ["store", "old", "new"], "left_anti").filter("ord > before")
+        step = step.select(*search, "chain", F.explode(_blocks(F.col("before") + 1, F.col("ord"), int(widest).bit_length())).alias("block"))
+        step = step.join(leaving, ["store", "chain", "block"]).filter("to >= low")
+        step = step.groupBy(*search, F.col("to_chain").alias("chain")).agg(F.max("to").alias("ord"))
+        known = reached.select("store", "old", "new", "chain", F.col("ord").alias("before"))
+        step = step.join(known, ["store", "old", "new", "chain"], "left").filter("before is null or ord > before").withColumn("before", F.coalesce("before", "low"))
+        frontier = store_checkpoint(step.select(*search, "chain", "ord", "before"))
         if frontier.isEmpty():
             return found
         reached = store_checkpoint(reached.join(frontier, ["store", "old", "new", "chain"], "left_anti").unionByName(frontier.drop("before")))

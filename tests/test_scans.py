@@ -12,7 +12,7 @@ from paperloom.operators import ingest as N
 from paperloom.operators import scans
 from paperloom.operators import snapshots as S
 from paperloom.operators import upkeep as U
-from paperloom.storage import checkpoint
+from paperloom.storage import checkpoint, loop_checkpoint
 
 
 def test_scans_over_one_key_and_many(spark):
@@ -69,6 +69,26 @@ def test_ancestry_of_a_long_chain_takes_few_rounds(spark):
     assert got == [("0", str(n - 1)), ("12345", "y"), ("5", "x"), ("x", "y")] and len(rounds) < 40
 
 
+def test_ancestry_meets_only_branches_between_both_commits(spark):
+    n, sizes = 3_000, []
+    m, s = F.concat(F.lit("m"), "id"), F.concat(F.lit("s"), "id")
+    row = lambda df, c, p, at: df.select(F.lit("h").alias("store"), c.alias("commit"), p.alias("parent"), at.alias("ord"))
+    ids = spark.range(n)
+    commits = row(ids, m, F.when(F.col("id") > 0, F.concat(F.lit("m"), F.col("id") - 1)), F.col("id") * 2)
+    tenth = spark.range(0, n - 2, 10)
+    commits = commits.union(row(tenth, s, m, F.col("id") * 2 + 1)).union(row(tenth, F.concat(F.lit("m"), F.col("id") + 2), s, F.col("id") * 2 + 4))
+    updates = tenth.select(F.lit("h").alias("store"), s.alias("old"), F.concat(F.lit("m"), F.col("id") + 2).alias("new"))
+    updates = updates.union(tenth.select(F.lit("h"), s, F.concat(F.lit("m"), F.col("id") + 1)))
+
+    def keep(df):
+        sizes.append(df.count())
+        return loop_checkpoint(df)
+
+    got = {(r["old"], r["new"]) for r in G.is_ancestor(updates, commits, keep).collect()}
+    assert got == {(f"s{k}", f"m{k + 2}") for k in range(0, n - 2, 10)}
+    assert max(sizes) < 5 * commits.count()
+
+
 def test_sampled_commits(spark):
     commits = spark.range(2_000).select(F.when(F.col("id") < 1_900, "a").otherwise("b").alias("store"), F.concat(F.lit("c"), "id").alias("commit"), F.col("id").alias("ord"))
     odd = spark.createDataFrame([("a", "c700"), ("a", "no")], "store string, commit string")
