@@ -10,7 +10,8 @@ from paperloom.functions import text as X
 
 from .changes import PLAIN_CAP, PLAIN_WARNING
 
-ZERO = r"\A0+\z"
+#: A name of zeros only; git shortens names to seven letters at the least, so "0" is one like any other.
+ZERO = r"\A0{7,}\z"
 LINK, SUBMODULE = "120000", "160000"
 
 

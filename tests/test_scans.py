@@ -89,6 +89,12 @@ def test_ancestry_meets_only_branches_between_both_commits(spark):
     assert max(sizes) < 5 * commits.count()
 
 
+def test_a_commit_named_zero_is_no_deletion(spark):
+    updates = spark.createDataFrame([("a", "refs/heads/main", "8", "0", None), ("b", "refs/heads/main", "8", "0" * 40, None)], "store string, ref string, old string, new string, role string")
+    forward = updates.select("store", "old", "new").limit(0)
+    assert {(r["store"], r["problem"]) for r in G.ref_problems(updates, forward).collect()} == {("a", "not-fast-forward"), ("b", "deletes-main")}
+
+
 def test_sampled_commits(spark):
     commits = spark.range(2_000).select(F.when(F.col("id") < 1_900, "a").otherwise("b").alias("store"), F.concat(F.lit("c"), "id").alias("commit"), F.col("id").alias("ord"))
     odd = spark.createDataFrame([("a", "c700"), ("a", "no")], "store string, commit string")
