@@ -11,6 +11,7 @@ from paperloom.operators import history as H
 from paperloom.operators import ingest as N
 from paperloom.operators import scans
 from paperloom.operators import snapshots as S
+from paperloom.operators import tokens as K
 from paperloom.operators import upkeep as U
 from paperloom.storage import checkpoint, loop_checkpoint
 
@@ -95,6 +96,16 @@ def test_a_commit_named_zero_is_no_deletion(spark):
     assert {(r["store"], r["problem"]) for r in G.ref_problems(updates, forward).collect()} == {("a", "not-fast-forward"), ("b", "deletes-main")}
 
 
+def test_short_names_mean_commits_of_their_own_store(spark):
+    one, two = "abcdef0" + "1" * 33, "abcdef0" + "2" * 33
+    frame = lambda rows, columns: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns.split()))
+    objects = frame([("a", one, "commit"), ("b", two, "blob"), ("c", one, "commit"), ("c", two, "commit")], "store sha type")
+    mapped, targets = frame([("a", one, "9" * 40), ("c", one, "9" * 40)], "store old new"), frame([("a", "9" * 40, "commit"), ("c", "9" * 40, "commit")], "store sha type")
+    tokens = frame([(s, "abcdef0") for s in "abc"], "store token")
+    found = K.decide(tokens, objects, mapped, targets, key=("store",)).collect()
+    assert {(r["store"], r["replace"], r["review"]) for r in found} == {("a", "9" * 7, None), ("b", None, None), ("c", None, "ambiguous-from")}
+
+
 def test_sampled_commits(spark):
     commits = spark.range(2_000).select(F.when(F.col("id") < 1_900, "a").otherwise("b").alias("store"), F.concat(F.lit("c"), "id").alias("commit"), F.col("id").alias("ord"))
     odd = spark.createDataFrame([("a", "c700"), ("a", "no")], "store string, commit string")
