@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,27 +137,35 @@ def uncollected_alarm(stream: DataFrame, key: str, at: str, changed: str, age: i
 
     A row of the stream is an open path of a scan, ``at`` being the scan's time in whole seconds; a scan of a clean store has one
     row without a change. The alarm is active once such changes have been there for ``alarm`` seconds. A scan is reported once the
-    watermark has passed it; the state of a store is its scans until then and one number.
+    watermark has passed it; the state of a store is its scans until then, two numbers each in arrays, and one number.
     """
     kind = dict(stream.select(key).dtypes)[key]
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, counts, since = state.get if state.exists else ([], [], None)
-        waiting = {a: [n, 0] for a, n in zip(starts, counts, strict=True)}
-        out = []
-        for s, n, _ in _ripe(() if state.hasTimedOut else frames, state, waiting, 1):
-            since = (s if since is None else since) if n else None
-            out.append((k[0], s, n, since, since is not None and s - since >= alarm))
-        kept = sorted(waiting)
-        state.update((kept, [waiting[a][0] for a in kept], since))
-        if kept:
-            state.setTimeoutTimestamp(max((kept[0] + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "scan", "n", "since", "active"]).astype({"since": "Int64"})
+        starts, counts, since = state.get if state.exists else (b"", b"", None)
+        parts = [(np.frombuffer(starts, np.int64), np.frombuffer(counts, np.int64))]
+        for frame in () if state.hasTimedOut else frames:
+            parts.append((frame["bucket"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)))
+        at, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.zeros(len(at), np.int64)
+        np.add.at(n, place, np.concatenate([p[1] for p in parts]))
+        done = int(np.searchsorted(at, state.getCurrentWatermarkMs() // 1000 - 1, "right"))
+        s, on = at[:done], n[:done] > 0
+        # The latest start of a run of such scans, that of the state being the first.
+        none = -(2**62)
+        first = np.where(on & ~np.r_[since is not None, on][:-1], s, none)
+        run = np.maximum.accumulate(np.r_[none if since is None else since, first])[1:]
+        if done:
+            since = int(run[-1]) if on[-1] else None
+        state.update((at[done:].tobytes(), n[done:].tobytes(), since))
+        if done < len(at):
+            state.setTimeoutTimestamp(max((int(at[done]) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * done, "scan": s, "n": n[:done], "since": pd.arrays.IntegerArray(run, ~on), "active": on & (s - run >= alarm)})
 
     old = F.coalesce(F.unix_timestamp(at) - F.unix_timestamp(changed) >= age, F.lit(False))
     rows = _summed(stream, key, at, 1, delay, old.cast("long"), F.lit(0))
     result = f"{key} {kind}, scan long, n long, since long, active boolean"
-    return rows.groupBy(key).applyInPandasWithState(fold, result, "starts array<long>, counts array<long>, since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(fold, result, "starts binary, counts binary, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def enrich_queue(

@@ -2,9 +2,12 @@
 
 import json
 import random
+import tracemalloc
 import uuid
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +143,35 @@ def test_empty_log(spark):
     folder = shared_root(spark) + f"/{uuid.uuid4().hex}"
     spark.createDataFrame([], "k string, at timestamp, size long").write.parquet(f"{folder}/in")
     assert L.drain(L.growth_alarm(L.read_log(spark, f"{folder}/in"), "k", "at", "size", 3, 10**9)).count() == 0
+
+
+class FakeState:
+    """A group's state outside a stream, the watermark being at the start."""
+
+    exists = hasTimedOut = False
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, at):
+        self.at = at
+
+    def update(self, value):
+        self.value = value
+
+
+def peak_of_fold(monkeypatch, spark, op, frames):
+    """Bytes of Python that a fold takes while all rows of ``frames`` wait."""
+    found = []
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandasWithState", lambda self, fold, *_: found.append(fold))
+    op(spark.createDataFrame([], "k string, at timestamp, changed timestamp, event string, page string"))
+    tracemalloc.start()
+    list(found[0](("a",), frames, FakeState()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_waiting_scans_are_kept_in_arrays(spark, monkeypatch):
+    frames = (pd.DataFrame({"bucket": np.arange(10_000) + low, "n": 1, "size": 0}) for low in range(0, 400_000, 10_000))
+    assert peak_of_fold(monkeypatch, spark, lambda s: L.uncollected_alarm(s, "k", "at", "changed"), frames) < 100 * 400_000
