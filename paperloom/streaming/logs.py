@@ -168,6 +168,14 @@ def uncollected_alarm(stream: DataFrame, key: str, at: str, changed: str, age: i
     return rows.groupBy(key).applyInPandasWithState(fold, result, "starts binary, counts binary, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _rows(times: np.ndarray, events: np.ndarray, pages: np.ndarray, labels: list, most: int) -> Iterator[tuple]:
+    """The first ``most`` waiting events as (time, event, path), a few thousand at a time."""
+    for low in range(0, most, 8_192):
+        part = slice(low, min(low + 8_192, most))
+        for at, what, page in zip(times[part].tolist(), events[part].tolist(), pages[part].tolist(), strict=True):
+            yield at, labels[what], labels[page]
+
+
 def enrich_queue(
     stream: DataFrame, key: str, at: str, event: str, path: str, delay: str = "10 minutes", most: int = 1_000, per_tick: int = 2, per_hour: int = 10, retry: int = 1_800, give_up: int = 3
 ) -> DataFrame:
@@ -185,15 +193,25 @@ def enrich_queue(
     kind = dict(stream.select(key).dtypes)[key]
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, tries, calls, retry_at, declared, told, times, events, pages = state.get if state.exists else ([], [], [], 0, True, -(2**62), [], [], [])
+        names, tries, calls, retry_at, declared, told, labels, *waits = state.get if state.exists else ([], [], [], 0, True, -(2**62), [], b"", b"", b"")
         pending, calls, out = dict(zip(names, tries, strict=True)), list(calls), []
-        waiting = list(zip(times, events, pages, strict=True))
+        # What waits: three arrays, events and paths being numbers of labels, each of which is kept once.
+        number = {x: n for n, x in enumerate(labels)}
+        parts = [tuple(np.frombuffer(x, t) for x, t in zip(waits, (np.int64, np.int32, np.int32), strict=True))]
         for frame in () if state.hasTimedOut else frames:
-            waiting += [(int(s), e, None if pd.isna(p) else p) for s, e, p in zip(frame["_s"], frame["_event"], frame["_path"], strict=True) if s > told]
+            frame = frame[frame["_s"] > told]
+            coded = lambda c: np.array([number.setdefault(None if pd.isna(x) else x, len(number)) for x in frame[c]], np.int32)  # noqa: B023, E731
+            parts.append((frame["_s"].to_numpy(np.int64), coded("_event"), coded("_path")))
+        times, events, pages = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        labels = list(number)
+        place = {x: n for n, x in enumerate(sorted({x or "" for x in labels}))}
+        rank = np.array([place[x or ""] for x in labels], np.int32)
+        by = np.lexsort((rank[pages], rank[events], times))
+        times, events, pages = times[by], events[by], pages[by]
         now = state.getCurrentWatermarkMs() // 1000
-        waiting.sort(key=lambda r: (r[0], r[1] or "", r[2] or ""))
-        ripe = [r for r in waiting if r[0] < now]
-        for at, what, page in ripe:
+        ripe = int(np.searchsorted(times, now))
+        for at, what, page in _rows(times, events, pages, labels, ripe):
             if what == "queued":
                 pending.pop(page, None)
                 pending[page] = 0
@@ -216,14 +234,18 @@ def enrich_queue(
                 for name in list(pending)[: max(0, min(per_tick, per_hour - len(calls)))]:
                     calls.append(at)
                     out.append((k[0], at, "run", name))
-        waiting, told = waiting[len(ripe) :], max(told, ripe[-1][0]) if ripe else told
-        state.update((list(pending), list(pending.values()), calls, retry_at, declared, told, *([r[n] for r in waiting] for n in range(3))))
-        if waiting:
-            state.setTimeoutTimestamp(max((waiting[0][0] + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        told = max(told, int(times[ripe - 1])) if ripe else told
+        times = times[ripe:]
+        used, codes = np.unique(np.concatenate([events[ripe:], pages[ripe:]]), return_inverse=True)
+        codes = codes.astype(np.int32)
+        kept = [labels[n] for n in used], times.tobytes(), codes[: len(times)].tobytes(), codes[len(times) :].tobytes()
+        state.update((list(pending), list(pending.values()), calls, retry_at, declared, told, *kept))
+        if len(times):
+            state.setTimeoutTimestamp(max((int(times[0]) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at", "action", "path"])
 
     rows = stream.withWatermark(at, delay).filter(F.col(at).isNotNull()).select(key, at, F.unix_timestamp(at).alias("_s"), F.col(event).alias("_event"), F.col(path).alias("_path"))
-    kept = "names array<string>, tries array<int>, calls array<long>, retry_at long, declared boolean, told long, times array<long>, events array<string>, pages array<string>"
+    kept = "names array<string>, tries array<int>, calls array<long>, retry_at long, declared boolean, told long, labels array<string>, times binary, events binary, pages binary"
     return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at long, action string, path string", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 

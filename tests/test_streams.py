@@ -175,3 +175,8 @@ def peak_of_fold(monkeypatch, spark, op, frames):
 def test_waiting_scans_are_kept_in_arrays(spark, monkeypatch):
     frames = (pd.DataFrame({"bucket": np.arange(10_000) + low, "n": 1, "size": 0}) for low in range(0, 400_000, 10_000))
     assert peak_of_fold(monkeypatch, spark, lambda s: L.uncollected_alarm(s, "k", "at", "changed"), frames) < 100 * 400_000
+
+
+def test_waiting_events_are_kept_in_arrays(spark, monkeypatch):
+    frames = (pd.DataFrame({"_s": np.arange(10_000) + low, "_event": "queued", "_path": [f"p{n % 50}" for n in range(10_000)]}) for low in range(0, 400_000, 10_000))
+    assert peak_of_fold(monkeypatch, spark, lambda s: L.enrich_queue(s, "k", "at", "event", "page"), frames) < 100 * 400_000
