@@ -78,12 +78,13 @@ def mentioned_project(docs: DataFrame, id_col: str, text_col: str, projects: Dat
 
     Projects meet texts by equality with their first run of letters and digits of any script: a text emits, from each place that no a-z or digit
     stands before, what such runs can be, and only those pairs are matched, so no text meets all projects but those without a letter or digit.
+    A pattern is tried only where the text without blanks, hyphens and underscores holds the project's parts in a row, as every match does.
     """
     parts = F.filter(F.split(F.lower("project"), r"[-_\s]+"), lambda x: x != "")
     known = projects.select("project").distinct().withColumn("_parts", parts).filter(F.size("_parts") > 0)
     escaped = F.transform("_parts", lambda x: F.regexp_replace(x, r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
     pattern = F.concat(F.lit(r"(?:\A|[^a-z0-9])"), F.array_join(escaped, r"[-_\s]*"), F.lit(r"(?:[^a-z0-9]|\z)"))
-    known = known.select("project", F.regexp_extract(F.array_join("_parts", "-"), r"([\p{L}\p{N}]+)", 1).alias("_start"), pattern.alias("_form"), "_parts")
+    known = known.select("project", F.regexp_extract(F.array_join("_parts", "-"), r"([\p{L}\p{N}]+)", 1).alias("_start"), pattern.alias("_form"), F.array_join("_parts", "").alias("_flat"))
     lengths = sorted(r[0] for r in known.select(F.length("_start")).distinct().collect())  # as many as names have letters
     runs = F.array_distinct(F.regexp_extract_all("_low", F.lit(rf"(?<![a-z0-9])(?=([\p{{L}}\p{{N}}]{{1,{max(lengths, default=0) or 1}}}))"), F.lit(1)))
     cuts = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
@@ -91,10 +92,12 @@ def mentioned_project(docs: DataFrame, id_col: str, text_col: str, projects: Dat
     low = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
     met = low.select(id_col, F.explode(starts).alias("_start")).join(known, "_start")
     # The candidates of a text, the longest first, come back to it in one row, so that its words move once.
-    ranked = F.array_sort(F.collect_set(F.struct((-F.length("project")).alias("less"), "project", "_form", "_parts")))
+    ranked = F.array_sort(F.collect_set(F.struct((-F.length("project")).alias("less"), "project", "_form", "_flat")))
     met = met.groupBy(id_col).agg(ranked.alias("_ways"))
-    rows = low.join(met, id_col).select(id_col, F.get(F.expr("filter(_ways, w -> forall(w._parts, p -> contains(_low, p)) and _low rlike w._form)"), F.lit(0))["project"].alias("project"))
-    return rows.filter("project is not null").groupBy(id_col).agg(F.max_by("project", F.struct(F.length("project"), "project")).alias("project"))
+    told = lambda text: F.filter("_ways", lambda w: F.contains(text, w["_flat"]) & F.rlike("_low", w["_form"]))
+    ways = X.let(F.translate("_low", "-_ \t\n\x0b\f\r", ""), told)  # the text is brought into this form once, not for each way
+    rows = low.join(met, id_col).select(id_col, F.explode(F.transform(F.slice(ways, 1, 1), lambda w: w["project"])).alias("project"))  # a filter would match again
+    return rows.groupBy(id_col).agg(F.max_by("project", F.struct(F.length("project"), "project")).alias("project"))
 
 
 def fence_state(body: Column) -> Column:

@@ -135,3 +135,11 @@ def test_projects_with_names_of_any_script(spark):
         return max((n for n in names if re.search(form(n), (text or "").lower())), key=lambda n: (len(n), n), default=None)
 
     assert got == {k: plain(t) for k, t in enumerate(texts) if plain(t)}
+
+
+def test_projects_are_matched_once_and_only_where_their_parts_stand_in_a_row(spark):
+    names = spark.createDataFrame([(f"a-b-{n}",) for n in range(30)], "project string")
+    found = N.mentioned_project(spark.createDataFrame([(1, "a b_7. 8 9"), (2, "a-b 12x"), (3, "b a 7")], "id int, text string"), "id", "text", names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rlike") == 1 and "contains(" in plan and "forall(" not in plan
+    assert [tuple(r) for r in found.collect()] == [(1, "a-b-7")]
