@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import changes as C
 from paperloom.operators import gate as G
 from paperloom.operators import history as H
 from paperloom.operators import ingest as N
@@ -143,3 +144,15 @@ def test_projects_are_matched_once_and_only_where_their_parts_stand_in_a_row(spa
     plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("rlike") == 1 and "contains(" in plan and "forall(" not in plan
     assert [tuple(r) for r in found.collect()] == [(1, "a-b-7")]
+
+
+def test_changes_of_a_store_do_not_meet_for_its_freeze(spark):
+    rows = spark.range(10).selectExpr("concat('s', id % 2 + 1) store", "id commit", "'p' path", "1L size", "true large")
+    freezes = spark.createDataFrame([("s1", "theirs"), ("s2", "mine")], "store string, id string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C.judge_changes(rows, F.lit(False), freezes, "mine")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count() == 5 and {r["rule"] for r in found.collect()} == {"freeze"}
