@@ -14,6 +14,7 @@ from paperloom.operators import scans
 from paperloom.operators import snapshots as S
 from paperloom.operators import tokens as K
 from paperloom.operators import upkeep as U
+from paperloom.plans.history import files
 from paperloom.storage import checkpoint, loop_checkpoint
 
 
@@ -146,6 +147,20 @@ def test_projects_are_matched_once_and_only_where_their_parts_stand_in_a_row(spa
     assert [tuple(r) for r in found.collect()] == [(1, "a-b-7")]
 
 
+def last_stages(df):
+    """The text of a plan below each of its lowest exchanges: what tasks do that read the inputs."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    tops = [n for n, line in enumerate(lines) if "Exchange" in line or "Repartition" in line]
+    ends = [next((m for m in range(n + 1, len(lines)) if depth(lines[m]) <= depth(lines[n])), len(lines)) for n in tops]
+    return ["\n".join(lines[n + 1 : end]) for n, end in zip(tops, ends, strict=True)]
+
+
+def test_tasks_that_read_line_items_gather_none(spark):
+    found = [x for x in last_stages(files(spark, "/root/testdata/sf0.001")) if "Scan" in x]
+    assert found and not any("Aggregate" in x for x in found)
+
+
 def test_changes_of_a_store_do_not_meet_for_its_freeze(spark):
     rows = spark.range(10).selectExpr("concat('s', id % 2 + 1) store", "id commit", "'p' path", "1L size", "true large")
     freezes = spark.createDataFrame([("s1", "theirs"), ("s2", "mine")], "store string, id string").repartition(3)
