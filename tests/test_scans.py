@@ -161,6 +161,13 @@ def test_tasks_that_read_line_items_gather_none(spark):
     assert found and not any("Aggregate" in x for x in found)
 
 
+def test_snapshots_are_dealt_out_by_path_before_they_are_grouped(spark):
+    side = spark.createDataFrame([("a", "x")], "path string, blob string")
+    for df in (S.compare_snapshots(side, side, "path", "blob"), S.three_way(side, side, side, "path", "blob")):
+        found = last_stages(df)
+        assert found and not any("Aggregate" in x for x in found)
+
+
 def test_changes_of_a_store_do_not_meet_for_its_freeze(spark):
     rows = spark.range(10).selectExpr("concat('s', id % 2 + 1) store", "id commit", "'p' path", "1L size", "true large")
     freezes = spark.createDataFrame([("s1", "theirs"), ("s2", "mine")], "store string, id string").repartition(3)
