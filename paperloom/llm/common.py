@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.storage import checkpoint
+from paperloom.storage import checkpoint, loop_checkpoint
 
-__all__ = ["bounded_sample", "checkpoint", "connected_components", "free_name", "held_out", "lower_ascii", "sized", "table", "words"]
+__all__ = ["bounded_sample", "checkpoint", "connected_components", "free_name", "held_out", "loop_checkpoint", "lower_ascii", "sized", "table", "words"]
 
 #: ASCII white space, as a Java regular expression.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -59,24 +61,24 @@ def bounded_sample(df: DataFrame, key: list[str], most: int, seed: int) -> DataF
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(2**31)) < share)
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", store: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """(node, root) for every node that a link joins to another; root is the component's smallest node.
 
     Each round hooks every node to its smallest neighbour, follows the chains this makes to their roots, and rewrites the
     links between those roots, so the graph shrinks at least by half. Minima are taken by partial aggregation, and
     the joins are plain equi-joins of stored tables, whose hot keys Spark splits.
-    Null ends and links of a node to itself are ignored; without links the result is empty.
+    Null ends and links of a node to itself are ignored; without links the result is empty. ``store`` keeps the tables of a round.
     """
     edges = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a is not null and b is not null and a <> b")
-    edges = checkpoint(edges.distinct())
+    edges = store(edges.distinct())
     total = None
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-        parent = checkpoint(parent)
+        parent = store(parent)
         while True:  # every chain of parents is halved until all nodes know their root
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            higher = checkpoint(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+            higher = store(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
             parent = higher.select("node", "root")
             if higher.filter("moved").isEmpty():
                 break
@@ -85,12 +87,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         else:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
             total = total.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-            total = checkpoint(total)
+            total = store(total)
         ends = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         edges = edges.join(ends, "a").select("b", "ra")
         ends = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = edges.join(ends, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = checkpoint(edges.distinct())
+        edges = store(edges.distinct())
     if total is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root"))
     return total

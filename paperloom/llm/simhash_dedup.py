@@ -4,13 +4,14 @@ Two fingerprints of 64 bits within two bits share at least one value within one
 the values within one bit of it, and those within two bits meet on a common value. A group of equal fingerprints sends
 one leader, so a value gathers at most 65 rows, whatever the number of copies.
 
-No ball of two bits reaches a similarity of 0.8, so near copies are found by their shingles: see ``near_copies``.
+Near copies start from these groups: each text is compared to the leader of its group by its exact similarity. No ball of two bits reaches every pair
+of a similarity of 0.8, so an exact way by shingles finds the links that are left: see ``near_copies``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, checkpoint, connected_components, sized
+from .common import bounded_sample, checkpoint, connected_components, loop_checkpoint, sized
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -73,6 +74,7 @@ def simhash_near_dups(
     bits: int = 64,
     tables: int = 1,
     distance: int = 2,
+    store: Callable[[DataFrame], DataFrame] = checkpoint,
 ) -> DataFrame:
     """(id, sketch, component_id) for every row of ``docs``: component_id is the smallest id of its group.
 
@@ -80,29 +82,29 @@ def simhash_near_dups(
     64 bits is exact, so no other is taken.
 
     Null and empty texts have a sketch of zeros and so form one group. Repeated rows stay repeated. Rows with a
-    null id get the group's smallest id, or null if no row of the group has one. Further columns are ignored.
+    null id get the group's smallest id, or null if no row of the group has one. Further columns are ignored. ``store`` keeps tables between the steps.
     """
     if (bits, tables) != (64, 1) or not 0 <= distance <= 2:
         raise ValueError("links are exact only with one table of 64 bits and a distance of 2 or less")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = checkpoint(rows.select("id", sketch(F.col("text"), size).alias("sketch")))
+    rows = store(rows.select("id", sketch(F.col("text"), size).alias("sketch")))
     same = rows.groupBy("sketch").agg(F.min("id").alias("id"))
-    node = checkpoint(same.withColumn("node", F.monotonically_increasing_id()))  # small numbers, stored once
-    links = _links(node.select("node", "sketch"), distance)
-    roots = connected_components(links)
+    node = store(same.withColumn("node", F.monotonically_increasing_id()))  # small numbers, stored once
+    links = _links(node.select("node", "sketch"), distance, store)
+    roots = connected_components(links, store=store)
     ids = node.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = checkpoint(node.select("node", "sketch").join(ids.select("node", "root"), "node").join(least, "root").select("sketch", "component_id"))
+    found = store(node.select("node", "sketch").join(ids.select("node", "root"), "node").join(least, "root").select("sketch", "component_id"))
     return rows.join(found, "sketch").select("id", "sketch", "component_id")
 
 
-def _links(node: DataFrame, distance: int) -> DataFrame:
+def _links(node: DataFrame, distance: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between nodes, by way of leaders. Rows that move hold a key and a node; sketches join the few pairs that meet."""
     masks = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]])
     ball = node.select("node", F.explode(F.transform(masks, lambda m: F.col("sketch")[0].bitwiseXOR(m))).alias("value"))
     first = Window.partitionBy("value").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = ball.withColumn("a", F.first("node").over(first)).filter("a <> node").select("a", F.col("node").alias("b"))
-    met = checkpoint(met.distinct())
+    met = store(met.distinct())
     met = met.join(node.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(node.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     return met.filter(F.expr("bit_count(x[0] ^ y[0])") <= distance).select("a", "b")
 
@@ -213,12 +215,14 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
     ``similarity`` or more. The first token, in order of rarity, that two such texts share is among the rarest
     n - ceil(similarity * n) + 1 of each, and even the rarest n - ceil(2 similarity / (1 + similarity) * n) + 1 of the one with fewer
     tokens (prefix filter, which loses nothing): there they meet, if what is left of both suffices. Texts without words are
-    alike. Before that, each text is compared to one leader of the texts with the same most frequent token, and of those with the same one in the middle,
-    which joins the bulk of large groups by a row a text. Where a token still has many groups, leaders are compared to the rest first, until these have
+    alike. Before that, each text is compared to the leader of its SimHash group, and to one of the texts with the same most frequent token, and of those
+    with the same one in the middle, which joins the bulk of large groups by a row a text. Where a token still has many groups, leaders are compared to the rest first, until these have
     joined; then all pairs of different groups are.
     """
     texts = checkpoint(_candidates(docs, text_col, size, similarity))
-    links = _first_links(texts, similarity)
+    named = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    groups = simhash_near_dups(named, "node", "text", size, store=loop_checkpoint).select(F.col("id").alias("node"), F.col("component_id").alias("token"))
+    links = _first_links(texts, groups.distinct(), similarity)
     prefix = F.size("tokens") - _least_shared(similarity) + 1
     met = texts.select("node", "n", F.size("tokens").alias("size"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("k", "token"))
     small = F.col("k") <= F.col("size") - _least_shared(2 * similarity / (1 + similarity))
@@ -230,33 +234,36 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = 5, similari
         if not cross:
             break
         stale = 0 if cross < best / 2 else stale + 1
-        last = cross <= 4 * left.count() or stale == 3  # leaders that join no more groups: these texts are unlike
-        pairs = checkpoint((_across(left, share) if last else _led(left, turn, share)).distinct())
+        last = cross <= (16 if stale else 4) * left.count() or stale == 3  # leaders that join no more groups: these texts are unlike
+        pairs = loop_checkpoint((_across(left, share) if last else _led(left, turn, share)).distinct())
         found = _alike(pairs, texts, similarity)
-        links = checkpoint(links.union(found))
+        links = loop_checkpoint(links.union(found))
         if last:
             break
         left = _merged(left, links)
         best, turn = min(best, cross), turn + 1
-    return connected_components(links)
+    return connected_components(links, store=loop_checkpoint)
 
 
-def _first_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), stored: texts that are alike, by one comparison of each text for two of its tokens, the most frequent one and the one in the middle."""
+def _first_links(texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), stored: texts that are alike, by one comparison of each text for its SimHash group (node, token) and for two of its tokens, the most
+    frequent one and the one in the middle."""
     places = F.array_distinct(F.array(F.size("tokens"), F.floor(F.size("tokens") / 2 + 1).cast("int")))
     rows = texts.select("node", F.explode(F.transform(places, lambda k: F.element_at("tokens", k))).alias("token"))
-    lead = rows.groupBy("token").agg(F.min("node").alias("a"))
-    pairs = rows.join(lead.hint("merge"), "token").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    return checkpoint(_alike(checkpoint(pairs), texts, similarity))
+    grouped = groups.join(texts.select("node").hint("merge"), "node").select("node", "token", F.lit(True).alias("sketched"))
+    rows = loop_checkpoint(rows.withColumn("sketched", F.lit(False)).unionByName(grouped))
+    lead = rows.groupBy("sketched", "token").agg(F.min("node").alias("a"))
+    pairs = rows.join(lead.hint("merge"), ["sketched", "token"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return loop_checkpoint(_alike(loop_checkpoint(pairs), texts, similarity))
 
 
 def _apart(left: DataFrame) -> tuple[DataFrame, int]:
     """The rows of tokens in which some text meets a smaller one of another group, and the number of such pairs."""
     sizes = left.groupBy("token", "root").agg(F.count("*").alias("k"), F.count_if("small").alias("m"))
     sizes = sizes.groupBy("token").agg((F.sum("k") * F.sum("m") - F.sum(F.col("k") * F.col("m"))).alias("pairs")).filter("pairs > 0")
-    sizes = checkpoint(sizes)
+    sizes = loop_checkpoint(sizes)
     cross = sizes.agg(F.sum("pairs")).first()[0]
-    return checkpoint(left.join(sizes.select("token").hint("merge"), "token")), int(cross or 0)
+    return loop_checkpoint(left.join(sizes.select("token").hint("merge"), "token")), int(cross or 0)
 
 
 def _enough(rest: str, n: str, other_rest: str, other_n: str, share: float) -> Column:
@@ -272,7 +279,7 @@ def _merged(left: DataFrame, links: DataFrame) -> DataFrame:
     of = left.select("node", "root").distinct()
     columns = left.columns
     ends = links.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").filter("ra <> rb")
-    hung = checkpoint(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("up")))
+    hung = loop_checkpoint(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("up")))
     for _ in range(2):
         hung = hung.join(hung.toDF("up", "above"), "up", "left").select("root", F.coalesce("above", "up").alias("up"))
     return left.join(hung, "root", "left").withColumn("root", F.coalesce("up", "root")).select(*columns)

@@ -105,6 +105,27 @@ def test_near_copies_behind_an_unlike_leader(spark):
     assert got == set(linked.values())
 
 
+def test_near_copies_start_from_simhash_groups(spark, monkeypatch):
+    seen, of, compared = [], simhash_dedup.simhash_near_dups, []
+    monkeypatch.setattr(simhash_dedup, "simhash_near_dups", lambda *a, **b: seen.append(1) or of(*a, **b))
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = docs(spark, [text, text + " more", " ".join(f"v{k}" for k in range(400))])
+    first = simhash_dedup._first_links
+    monkeypatch.setattr(simhash_dedup, "_first_links", lambda *a: compared.append(first(*a)) or compared[0])
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(rows).collect()) == sorted(rows.toPandas()["doc_id"].iloc[[0, 2]])
+    assert seen and compared[0].count() == 1
+
+
+def test_turns_keep_guessed_sizes_small(spark):
+    rows = [(t, n, n, 10, 5, True) for t in (1, 2) for n in range(1, 6)]
+    left = spark.createDataFrame(rows, "token long, node long, root long, n int, rest int, small boolean")
+    links = simhash_dedup.checkpoint(spark.createDataFrame([(1, 2)], "a long, b long"))
+    for _ in range(4):
+        left, cross = simhash_dedup._apart(simhash_dedup._merged(left, links))
+    assert cross == 2 * (25 - 7)
+    assert int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**64
+
+
 def test_keep_one_tells_rows_of_an_id_apart(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
     rows = spark.createDataFrame([(None, a, ""), (None, b, ""), (1, a, ""), (2, a, ""), (2, c, "")], DOC)
