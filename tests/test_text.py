@@ -134,3 +134,11 @@ def test_ledger_lines_there_and_back(spark):
 def test_ancestors_and_bullets(spark):
     row = spark.range(1).select(X.ancestors(F.lit("a/b/c.md")), X.ancestors(F.lit("c.md")), X.bullets(F.lit("- x\ny\n - z"))).first()
     assert tuple(row) == (["", "a", "a/b"], [""], ["x", "z"])
+
+
+def test_trim_does_not_try_every_run_of_blanks(spark):
+    blanks = " \t\n\x0b\f\r\u00a0\ufeff"
+    rows = [("a", f"{blanks}a{blanks}b{blanks}"), ("b", blanks), ("c", ""), ("d", None), ("e", "\u2003x\u2003")]
+    got = spark.createDataFrame(rows, "k string, text string").select("k", X.trim(F.col("text")).alias("x"))
+    assert {r["k"]: r["x"] for r in got.collect()} == {"a": f"a{blanks}b", "b": "", "c": "", "d": None, "e": "\u2003x\u2003"}
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
