@@ -155,4 +155,5 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         for texts in batches:
             yield pd.DataFrame([scorer.predict(x) for x in texts], columns=["lang", "score"])
 
-    return docs.withColumn(free_name(docs, out), of(F.col(text_col)))
+    # Else Spark would push a caller's filter on the result below this column, and read each text twice, in two Python workers a core.
+    return docs.withColumn(free_name(docs, out), of.asNondeterministic()(F.col(text_col)))

@@ -83,6 +83,12 @@ def test_the_first_stage_reads_its_own_columns(spark, clashing):
     assert rows(clashing) == rows(SMALL)
 
 
+def test_the_first_stage_reads_each_text_once(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = corpus_pipeline.identify_language(spark, documents, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_empty_tables(spark, docs, name):
     assert OPS[name](spark, docs.limit(0)).count() == 0
